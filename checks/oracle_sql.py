@@ -58,3 +58,162 @@ SQL["filter_language"] = f"""
 WITH {COMMENTS}
 SELECT doc_id, published_at, platform, length(comment)::BIGINT AS n_chars
 FROM comments WHERE language = 'en'"""
+
+
+# ---------------------------------------------------------------- text family
+STOP = "['a','an','and','are','as','at','be','by','for','from','in','is','it','of','on','or','that','the','this','to','was','with']"
+URLM = r"http\S+|www\S+|@[\p{L}\p{N}_]+"
+
+
+def _nz(x):
+    return f"coalesce({x}, '')"
+
+
+def _collapse(x):
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+def _keep(x, extra=""):
+    return f"regexp_replace({x}, '[^\\p{{L}}\\s{extra}]', '', 'g')"
+
+
+def _lower_or_empty(x):
+    return f"CASE WHEN {x} IS NULL OR {x} = '' THEN '' ELSE lower({x}) END"
+
+
+def _urls(x):
+    return f"regexp_replace({x}, '{URLM}', '', 'g')"
+
+
+def clean_normalized(x):
+    return _collapse(_keep(_urls(f"lower({_nz(x)})")))
+
+
+CLEAN = {
+    "clean_strict": lambda x: (
+        f"array_to_string(list_filter(string_split({_collapse(_keep(f'lower({_nz(x)})'))}, ' '), "
+        f"lambda w: length(w) >= 3 AND NOT list_contains({STOP}, w)), ' ')"),
+    "clean_punct": lambda x: _keep(_collapse(_urls(_lower_or_empty(x))), ".,!?;:\\-"),
+    "clean_light": lambda x: _keep(_collapse(_urls(_lower_or_empty(x))), ".,!?\\-"),
+    "clean_letters": lambda x: _keep(_collapse(_urls(_lower_or_empty(x)))),
+    "clean_letters_normalized": clean_normalized,
+}
+for _k, _f in CLEAN.items():
+    SQL[_k] = f"WITH {COMMENTS} SELECT doc_id, {_f('comment')} AS clean FROM comments"
+
+
+def tok_words(x):
+    return f"list_filter(regexp_split_to_array(lower({_nz(x)}), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> '')"
+
+
+def tok_vec(x):
+    return f"list_filter({tok_words(x)}, lambda t: length(t) >= 2)"
+
+
+TOK = {
+    "tokenize_words": tok_words,
+    "tokenize_whitespace": lambda x: f"list_filter(regexp_split_to_array({_nz(x)}, '\\s+'), lambda t: t <> '')",
+    "tokenize_space": lambda x: f"string_split({_nz(x)}, ' ')",
+    "tokenize_vectorizer": tok_vec,
+    "tokenize_segments": lambda x: f"regexp_extract_all({_nz(x)}, '\\p{{L}}+|\\p{{N}}+|[^\\s\\p{{L}}\\p{{N}}]')",
+    "ngrams": lambda x: (
+        f"list_concat(list_transform(range(1, len({x}) + 1), lambda i: {x}[i]), "
+        f"list_transform(range(1, len({x})), lambda i: {x}[i] || ' ' || {x}[i + 1]))"),
+    "remove_stopwords": lambda x: f"list_filter({x}, lambda t: NOT list_contains({STOP}, t))",
+}
+for _k, _f in TOK.items():
+    _src = "comment" if _k not in ("ngrams", "remove_stopwords") else "w"
+    SQL[_k] = (f"WITH {COMMENTS}, c AS (SELECT doc_id, comment, {tok_words('comment')} AS w FROM comments), "
+               f"t AS (SELECT doc_id, {_f(_src)} AS tokens FROM c) "
+               f"SELECT doc_id, len(tokens)::BIGINT AS n_tokens, array_to_string(tokens, '|') AS joined FROM t")
+
+CLEANED = f"""{COMMENTS},
+cleaned AS (SELECT *, {clean_normalized('comment')} AS clean FROM comments),
+docs AS (SELECT *, {tok_vec('clean')} AS tokens FROM cleaned)"""
+
+SQL["filter_min_length"] = f"""WITH {CLEANED}
+SELECT doc_id, length(clean)::BIGINT AS n_chars FROM docs WHERE language = 'en' AND length(clean) >= 15"""
+
+SQL["drop_empty"] = f"""WITH {COMMENTS}, c AS (SELECT doc_id, published_at, {CLEAN['clean_strict']('comment')} AS clean FROM comments)
+SELECT doc_id, clean FROM c WHERE published_at IS NOT NULL AND clean IS NOT NULL AND clean <> ''"""
+
+SQL["parse_time_coerce"] = f"""WITH {COMMENTS}
+SELECT doc_id, try_strptime(strftime(published_at, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') AS parsed_ok,
+       try_strptime(substr(comment, 1, 19), '%Y-%m-%d %H:%M:%S') AS parsed_bad FROM comments"""
+
+SQL["calendar_parts"] = f"""WITH {COMMENTS}
+SELECT doc_id, 'fixture' AS source_name, year(published_at)::BIGINT AS year, month(published_at)::BIGINT AS month,
+       strftime(published_at, '%Y-%m') AS year_month FROM comments"""
+
+H32 = "('0x' || substr(md5({seed} || ':' || CAST({x} AS VARCHAR)), 1, 8))::BIGINT"
+
+
+def h32(x, seed):
+    return H32.format(seed=f"'{seed}'", x=x)
+
+
+SQL["sample_exact_n"] = f"""WITH {COMMENTS}
+SELECT doc_id, published_at FROM comments ORDER BY {h32('doc_id', 42)}, doc_id LIMIT 100"""
+
+SQL["stratified_split"] = f"""WITH {COMMENTS},
+c AS (SELECT doc_id, strftime(published_at, '%Y-%m') AS slice FROM comments),
+r AS (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY {h32('doc_id', 42)}, doc_id) AS rk,
+             count(*) OVER (PARTITION BY slice) AS n FROM c)
+SELECT doc_id, slice, CASE WHEN rk <= round(n * 0.1) THEN 'test' ELSE 'train' END AS split FROM r"""
+
+SQL["doc_length"] = f"WITH {CLEANED} SELECT doc_id, len(tokens)::BIGINT AS dl FROM docs"
+
+SQL["avg_doc_length"] = f"""WITH {CLEANED}
+SELECT count(*) AS n_docs, sum(len(tokens))::BIGINT AS n_tokens,
+       coalesce(sum(len(tokens)) / nullif(count(*), 0), 1.0)::DOUBLE AS avg_dl FROM docs"""
+
+SQL["term_frequency"] = f"""WITH {CLEANED}, t AS (SELECT doc_id, unnest(tokens) AS term FROM docs)
+SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term"""
+
+SQL["document_frequency"] = f"""WITH {CLEANED}, t AS (SELECT DISTINCT doc_id, unnest(tokens) AS term FROM docs WHERE language = 'en')
+SELECT term, count(*) AS df FROM t GROUP BY term"""
+
+VOCAB = f"""{CLEANED},
+toks AS (SELECT doc_id, unnest(tokens) AS term FROM docs),
+stats AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM toks GROUP BY term),
+kept AS (SELECT * FROM stats WHERE df >= 2 AND df <= floor(0.9 * (SELECT count(*) FROM docs))
+         ORDER BY tf DESC, term LIMIT 5000),
+vocab AS (SELECT row_number() OVER (ORDER BY term) - 1 AS term_id, term, tf, df FROM kept),
+bow AS (SELECT doc_id, term_id, count(*) AS tf FROM toks JOIN vocab USING (term) GROUP BY doc_id, term_id)"""
+
+SQL["build_vocabulary"] = f"WITH {VOCAB} SELECT term_id, term, tf, df FROM vocab"
+SQL["bag_of_words"] = f"WITH {VOCAB} SELECT doc_id, term_id, tf FROM bow"
+SQL["filter_min_terms"] = f"""WITH {VOCAB}
+SELECT doc_id, sum(tf)::BIGINT AS n_terms FROM bow GROUP BY doc_id HAVING sum(tf) >= 50"""
+SQL["time_word_frequency"] = f"""WITH {VOCAB}
+SELECT year(d.published_at) || 'Q' || quarter(d.published_at) AS time_slice, b.term_id, sum(b.tf)::BIGINT AS tf
+FROM bow b JOIN docs d USING (doc_id) GROUP BY 1, 2"""
+
+SQL["slice_month"] = f"""WITH {COMMENTS}
+SELECT doc_id, strftime(published_at, '%Y-%m') AS slice_month,
+       year(published_at) || 'Q' || quarter(published_at) AS slice_quarter,
+       date_trunc('month', published_at) AS month_start, date_trunc('quarter', published_at) AS quarter_start
+FROM comments"""
+
+MONTHS = f"""{COMMENTS}, c AS (SELECT doc_id, strftime(published_at, '%Y-%m') AS slice FROM comments),
+v AS (SELECT slice, count(*) AS n_docs FROM c GROUP BY slice HAVING count(*) >= 10)"""
+SQL["valid_slices"] = f"WITH {MONTHS} SELECT slice, n_docs FROM v"
+SQL["slice_index"] = f"WITH {MONTHS} SELECT slice, (dense_rank() OVER (ORDER BY slice) - 1)::BIGINT AS t FROM v"
+
+TOPICS = f"""{COMMENTS},
+dt AS (SELECT c.*, coalesce(e.label, -1)::INT AS topic FROM comments c LEFT JOIN embeddings e ON c.doc_id = e.vec_id)"""
+
+SQL["nearest_slice"] = f"""WITH {TOPICS},
+s AS (SELECT DISTINCT date_trunc('quarter', published_at) AS ts FROM dt WHERE topic <> -1),
+si AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS t FROM s),
+cand AS (SELECT d.doc_id, d.published_at, si.t,
+                row_number() OVER (PARTITION BY d.doc_id
+                                   ORDER BY abs(epoch_us(si.ts) - epoch_us(d.published_at)), si.t) AS rk
+         FROM dt d, si)
+SELECT doc_id, published_at, t::BIGINT AS t FROM cand WHERE rk = 1"""
+
+SQL["equal_width_bins"] = f"""WITH {COMMENTS},
+b AS (SELECT min(epoch_us(published_at)) AS lo, max(epoch_us(published_at)) AS hi FROM comments)
+SELECT doc_id, published_at,
+       least(CASE WHEN hi = lo THEN 0 ELSE floor((epoch_us(published_at) - lo) / ((hi - lo) / 20.0)) END, 19)::BIGINT AS bin
+FROM comments, b"""

@@ -134,13 +134,22 @@ def tokenize_segments(x) -> Column:
 
 
 def ngrams(tokens, n_min: int = 1, n_max: int = 2) -> Column:
-    """All word n-grams with n in [n_min, n_max], space-joined, in order."""
+    """All word n-grams with n in [n_min, n_max], space-joined, in order.
+
+    Built from shifted copies of the token array combined with ``zip_with``,
+    so each lambda touches only its own arguments and the token array is
+    evaluated a fixed number of times per row, not once per element.
+    """
     tokens = _c(tokens)
+    size = F.size(tokens)
     parts = []
-    for n in range(n_min, n_max + 1):
-        idx = F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(0)))
-        parts.append(F.transform(F.filter(idx, lambda i: i >= 1),
-                                 lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")))
+    acc = tokens
+    for n in range(1, n_max + 1):
+        if n > 1:
+            shifted = F.slice(tokens, n, F.greatest(size - n + 1, F.lit(0)))
+            acc = F.zip_with(acc, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
+        if n >= n_min:
+            parts.append(F.filter(acc, lambda g: g.isNotNull()) if n > 1 else acc)
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
