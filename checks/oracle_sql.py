@@ -217,3 +217,249 @@ b AS (SELECT min(epoch_us(published_at)) AS lo, max(epoch_us(published_at)) AS h
 SELECT doc_id, published_at,
        least(CASE WHEN hi = lo THEN 0 ELSE floor((epoch_us(published_at) - lo) / ((hi - lo) / 20.0)) END, 19)::BIGINT AS bin
 FROM comments, b"""
+
+
+# ---------------------------------------------------------------- topic family
+TDOCS = f"""{TOPICS},
+td0 AS (SELECT dt.*, {CLEAN['clean_letters']('comment')} AS processed FROM dt),
+td AS (SELECT doc_id, published_at, platform, topic, processed, {tok_vec('processed')} AS tokens,
+              date_trunc('quarter', published_at) AS quarter, date_trunc('month', published_at) AS month
+       FROM td0 WHERE length(processed) >= 15)"""
+
+
+def ctfidf_ctes(src, slice_col, prefix, tuned=False):
+    """CTEs for class TF-IDF over time on `src`; final CTE `{prefix}ot`(topic, timestamp, words, frequency)."""
+    p = prefix
+    s = f"""
+{p}ct AS (SELECT topic, term, count(*) AS tf FROM (SELECT topic, unnest(tokens) AS term FROM {src}) GROUP BY topic, term),
+{p}f AS (SELECT term, sum(tf) AS f FROM {p}ct GROUP BY term),
+{p}idf AS (SELECT term, ln(1.0 + (SELECT sum(tf) / count(DISTINCT topic) FROM {p}ct) / f) AS idf FROM {p}f),
+{p}cq AS (SELECT topic, {slice_col} AS ts, term, count(*) AS tf
+          FROM (SELECT topic, {slice_col}, unnest(tokens) AS term FROM {src}) GROUP BY topic, ts, term),
+{p}cqt AS (SELECT topic, ts, sum(tf) AS tot FROM {p}cq GROUP BY topic, ts),
+{p}w0 AS (SELECT q.topic, q.ts, q.term, q.tf / t.tot * i.idf AS weight
+          FROM {p}cq q JOIN {p}cqt t USING (topic, ts) JOIN {p}idf i USING (term)),"""
+    if tuned:
+        s += f"""
+{p}ctt AS (SELECT topic, sum(tf) AS tot FROM {p}ct GROUP BY topic),
+{p}g AS (SELECT c.topic, c.term, c.tf / t.tot * i.idf AS g FROM {p}ct c JOIN {p}ctt t USING (topic) JOIN {p}idf i USING (term)),
+{p}w1 AS (SELECT w.topic, w.ts, w.term, (w.weight + coalesce(g.g, 0.0)) / 2 AS weight
+          FROM {p}w0 w LEFT JOIN {p}g g USING (topic, term)),
+{p}si AS (SELECT ts, dense_rank() OVER (ORDER BY ts) AS i FROM (SELECT DISTINCT ts FROM {p}w1)),
+{p}w2 AS (SELECT w.*, s.i FROM {p}w1 w JOIN {p}si s USING (ts)),
+{p}w AS (SELECT a.topic, a.ts, a.term, CASE WHEN b.weight IS NULL THEN a.weight ELSE (a.weight + b.weight) / 2 END AS weight
+         FROM {p}w2 a LEFT JOIN {p}w2 b ON b.topic = a.topic AND b.term = a.term AND b.i = a.i - 1),"""
+    else:
+        s += f"\n{p}w AS (SELECT * FROM {p}w0),"
+    s += f"""
+{p}top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic, ts ORDER BY round(weight, 10) DESC, term) AS rk
+                          FROM {p}w) WHERE rk <= 10),
+{p}wl AS (SELECT topic, ts, list(term ORDER BY rk) AS words FROM {p}top GROUP BY topic, ts),
+{p}fr AS (SELECT topic, {slice_col} AS ts, count(*) AS frequency FROM {src} GROUP BY topic, ts),
+{p}ot AS (SELECT f.topic, f.ts AS timestamp, coalesce(w.words, []::VARCHAR[]) AS words, f.frequency
+          FROM {p}fr f LEFT JOIN {p}wl w USING (topic, ts))"""
+    return s
+
+
+SQL["topics_over_time"] = f"""WITH {TDOCS}, {ctfidf_ctes('td', 'quarter', 'q_')}
+SELECT topic, timestamp, array_to_string(words, ', ') AS words, frequency FROM q_ot"""
+
+SQL["topics_over_time_tuned"] = f"""WITH {TDOCS}, {ctfidf_ctes('td', 'quarter', 'q_', tuned=True)}
+SELECT topic, timestamp, array_to_string(words, ', ') AS words, frequency FROM q_ot"""
+
+TOPIC_WORDS = f"""
+ct AS (SELECT topic, term, count(*) AS tf FROM (SELECT topic, unnest(tokens) AS term FROM td) GROUP BY topic, term),
+f AS (SELECT term, sum(tf) AS f FROM ct GROUP BY term),
+idf AS (SELECT term, ln(1.0 + (SELECT sum(tf) / count(DISTINCT topic) FROM ct) / f) AS idf FROM f),
+ctt AS (SELECT topic, sum(tf) AS tot FROM ct GROUP BY topic),
+wt AS (SELECT c.topic, c.term, c.tf / t.tot * i.idf AS weight FROM ct c JOIN ctt t USING (topic) JOIN idf i USING (term)),
+tw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(weight, 10) DESC, term) AS rank
+                      FROM wt) WHERE rank <= 10)"""
+
+SQL["topic_words"] = f"WITH {TDOCS}, {TOPIC_WORDS} SELECT topic, rank, term, round(weight, 6) AS weight FROM tw"
+
+SQL["topic_info"] = f"""WITH {TDOCS}, {TOPIC_WORDS},
+cnt AS (SELECT topic, count(*) AS n_docs FROM td GROUP BY topic),
+w5 AS (SELECT topic, list(term ORDER BY rank) AS words FROM tw WHERE rank <= 5 GROUP BY topic)
+SELECT c.topic, c.n_docs, array_to_string(coalesce(w5.words, []::VARCHAR[]), ', ') AS words
+FROM cnt c LEFT JOIN w5 USING (topic)"""
+
+SQL["topic_distribution"] = f"""WITH {TDOCS}
+SELECT topic, count(*) AS n_docs FROM td GROUP BY topic ORDER BY n_docs DESC, topic LIMIT 20"""
+
+SQL["topics_per_platform"] = f"""WITH {TDOCS}
+SELECT platform, count(DISTINCT topic) AS n_topics FROM td GROUP BY platform"""
+
+SQL["select_topics_by_docs"] = f"""WITH {TDOCS}
+SELECT topic, count(*) AS n_docs FROM td WHERE topic <> -1 GROUP BY topic ORDER BY n_docs DESC, topic LIMIT 30"""
+
+SQL["select_topics_by_frequency"] = f"""WITH {TDOCS}, {ctfidf_ctes('td', 'quarter', 'q_')}
+SELECT topic, sum(frequency)::BIGINT AS frequency FROM q_ot WHERE topic <> -1
+GROUP BY topic ORDER BY frequency DESC, topic LIMIT 30"""
+
+SQL["topic_report"] = f"""WITH {TDOCS}, {TOPIC_WORDS},
+cnt AS (SELECT topic, count(*) AS n_docs FROM td WHERE topic <> -1 GROUP BY topic),
+w5 AS (SELECT topic, list(term ORDER BY rank) AS words FROM tw WHERE rank <= 5 GROUP BY topic),
+top AS (SELECT c.topic, c.n_docs, array_to_string(coalesce(w5.words, []::VARCHAR[]), ', ') AS words
+        FROM cnt c LEFT JOIN w5 USING (topic) ORDER BY n_docs DESC, topic LIMIT 10)
+SELECT 'summary' AS section, 'total_comments' AS key, CAST(count(*) AS VARCHAR) AS value FROM td
+UNION ALL SELECT 'summary', 'date_range', CAST(min(published_at) AS VARCHAR) || ' to ' || CAST(max(published_at) AS VARCHAR) FROM td
+UNION ALL SELECT 'platform', platform, CAST(count(*) AS VARCHAR) FROM td GROUP BY platform
+UNION ALL SELECT 'topics', 'total_topics', CAST(count(DISTINCT topic) FILTER (WHERE topic <> -1) AS VARCHAR) FROM td
+UNION ALL SELECT 'topics', 'outliers', CAST(count(*) FILTER (WHERE topic = -1) AS VARCHAR) FROM td
+UNION ALL SELECT 'top_topics', CAST(topic AS VARCHAR), CAST(n_docs AS VARCHAR) || ': ' || words FROM top"""
+
+SQL["over_time_summary"] = f"""WITH {TDOCS},
+tdy AS (SELECT * FROM td WHERE platform = 'YouTube'), tdt AS (SELECT * FROM td WHERE platform = 'Telegram'),
+{ctfidf_ctes('tdy', 'quarter', 'y_')}, {ctfidf_ctes('tdt', 'quarter', 't_')},
+u AS (SELECT 'YouTube' AS platform, * FROM y_ot UNION ALL SELECT 'Telegram', * FROM t_ot)
+SELECT platform, count(*) AS n_rows, count(DISTINCT topic) AS n_topics, min(timestamp) AS first_ts, max(timestamp) AS last_ts
+FROM u GROUP BY platform"""
+
+
+def parse_words_sql(x, strip):
+    t = f"list_transform({x}, lambda w: trim(w))"
+    if strip:
+        t = f"list_transform({t}, lambda w: CASE WHEN starts_with(w, 'clustering ') THEN substr(w, 12) ELSE w END)"
+    return f"list_slice(list_filter({t}, lambda w: w <> ''), 1, 10)"
+
+
+def vocab_sql(prefix, src, min_df, max_df, max_features):
+    p = prefix
+    lo = f"df >= {min_df}"
+    hi = f"df <= floor({max_df} * (SELECT count(*) FROM {src}))" if isinstance(max_df, float) else f"df <= {max_df}"
+    return f"""
+{p}toks AS (SELECT doc_id, unnest(vtokens) AS term FROM {src}),
+{p}stats AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM {p}toks GROUP BY term),
+{p}vocab AS (SELECT term AS w FROM (SELECT * FROM {p}stats WHERE {lo} AND {hi} ORDER BY tf DESC, term LIMIT {max_features}))"""
+
+
+def dtm_ctes(variant, src="td", p="m_", ot=None):
+    """CTEs ending in {p}topic_time, {p}topic, {p}time, {p}overall for one preset."""
+    slice_col = "month" if variant == "B" else "quarter"
+    s = "" if ot else ctfidf_ctes(src, slice_col, p + "o") + ","
+    ot = ot or f"{p}oot"
+    if variant == "D":
+        sel = f"""{p}sel AS (SELECT topic FROM {ot} WHERE topic <> -1 GROUP BY topic ORDER BY sum(frequency) DESC, topic LIMIT 30)"""
+    elif variant == "B":
+        sel = f"""{p}sel AS (SELECT DISTINCT topic FROM {src} WHERE topic <> -1)"""
+    else:
+        sel = f"""{p}sel AS (SELECT topic FROM {src} WHERE topic <> -1 GROUP BY topic ORDER BY count(*) DESC, topic LIMIT 30)"""
+    s += f"""
+{sel},
+{p}st AS (SELECT timestamp, dense_rank() OVER (ORDER BY timestamp) - 1 AS t FROM (SELECT DISTINCT timestamp FROM {ot})),
+{p}g0 AS (SELECT s.topic, st.t FROM {p}sel s CROSS JOIN {p}st st),
+{p}otw AS (SELECT o.topic, st.t, o.words FROM {ot} o JOIN {p}st st USING (timestamp)),
+{p}grid AS (SELECT g.topic, g.t::INT AS t, {parse_words_sql('coalesce(o.words, []::VARCHAR[])', variant == 'A')} AS words
+            FROM {p}g0 g LEFT JOIN {p}otw o ON o.topic = g.topic AND o.t = g.t),
+{p}gw AS (SELECT topic, t, unnest(words) AS w, generate_subscripts(words, 1) AS pos FROM {p}grid),"""
+    if variant == "D":
+        s += f"""
+{p}corpus AS (SELECT CAST(topic AS VARCHAR) || ':' || CAST(t AS VARCHAR) AS doc_id,
+                     list_filter(regexp_split_to_array(array_to_string(words, ' '), '\\s+'), lambda x: x <> '') AS tokens
+              FROM {p}grid WHERE len(words) > 0),
+{p}vocab AS (SELECT DISTINCT w FROM {p}gw),"""
+    else:
+        where = "" if variant == "B" else f"WHERE topic IN (SELECT topic FROM {p}sel)"
+        s += f"""
+{p}corpus AS (SELECT doc_id, list_filter(regexp_split_to_array(processed, '\\s+'), lambda x: x <> '') AS tokens,
+                     {tok_vec('processed')} AS vtokens FROM {src} {where}),"""
+        if variant == "A":
+            s += vocab_sql(p, f"{p}corpus", 2, 0.9, 5000) + ","
+        elif variant == "B":
+            s += vocab_sql(p, f"{p}corpus", 5, 0.9, 10000) + ","
+        else:
+            s += vocab_sql(p, f"{p}corpus", 1, 1.0, 5000) + ","
+    n = f"(SELECT count(*) FROM {p}corpus)"
+    T = f"(SELECT count(*) FROM {p}st)"
+    if variant == "B":
+        ttc_rows = f"""{p}cat AS (SELECT a.topic, a.t, a.pos, a.w FROM {p}gw a
+                         WHERE EXISTS (SELECT 1 FROM {p}gw b WHERE b.topic = a.topic AND b.t = a.t + 1)
+                       UNION ALL
+                       SELECT b.topic, b.t - 1 AS t, b.pos + (SELECT len(g.words) FROM {p}grid g WHERE g.topic = b.topic AND g.t = b.t - 1), b.w
+                       FROM {p}gw b WHERE EXISTS (SELECT 1 FROM {p}gw a WHERE a.topic = b.topic AND a.t = b.t - 1)),
+{p}ttc_rows AS (SELECT a.topic, a.t, a.w AS wi, b.w AS wj FROM {p}cat a JOIN {p}cat b
+                ON a.topic = b.topic AND a.t = b.t AND a.pos < b.pos)"""
+        score = (f"CASE WHEN c_ij / {n} >= 1.0 THEN 1.0 ELSE ln((c_ij / {n}) / ((c_i / {n}) * (c_j / {n}) + 1e-10)) "
+                 f"/ (-ln(c_ij / {n} + 1e-10)) END")
+    else:
+        ttc_rows = f"""{p}ttc_rows AS (SELECT a.topic, a.t, a.w AS wi, b.w AS wj FROM {p}gw a JOIN {p}gw b
+                ON a.topic = b.topic AND b.t = a.t + 1)"""
+        score = f"ln((c_ij / {n} + 1e-10) / ((c_i / {n}) * (c_j / {n}) + 1e-10))"
+    last = T if variant == "B" else f"{T} - 1"
+    cells = f"{p}grid" if variant == "B" else f"(SELECT * FROM {p}grid WHERE len(words) > 0)"
+    s += f"""
+{p}needed AS (SELECT DISTINCT w FROM {p}gw WHERE w IN (SELECT w FROM {p}vocab)),
+{p}inc AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(tokens) AS w FROM {p}corpus)
+           WHERE w IN (SELECT w FROM {p}needed)),
+{p}ci AS (SELECT w, count(*) AS c FROM {p}inc GROUP BY w),
+{ttc_rows},
+{p}tc_rows AS (SELECT a.topic, a.t, a.w AS wi, b.w AS wj FROM {p}gw a JOIN {p}gw b
+               ON a.topic = b.topic AND a.t = b.t AND a.pos < b.pos),
+{p}pairs AS (SELECT DISTINCT wi, wj FROM (SELECT wi, wj FROM {p}ttc_rows UNION ALL SELECT wi, wj FROM {p}tc_rows)
+             WHERE wi IN (SELECT w FROM {p}needed) AND wj IN (SELECT w FROM {p}needed)),
+{p}co AS (SELECT p.wi, p.wj, count(*) AS c_ij FROM {p}pairs p JOIN {p}inc a ON a.w = p.wi
+          JOIN {p}inc b ON b.doc_id = a.doc_id AND b.w = p.wj GROUP BY p.wi, p.wj),
+{p}cnts AS (SELECT co.wi, co.wj, ci.c AS c_i, cj.c AS c_j, co.c_ij FROM {p}co co
+            JOIN {p}ci ci ON ci.w = co.wi JOIN {p}ci cj ON cj.w = co.wj),
+{p}scores AS (SELECT wi, wj, {score} AS score FROM {p}cnts),
+{p}ttc AS (SELECT r.topic, r.t, avg(s.score) AS ttc FROM {p}ttc_rows r JOIN {p}scores s USING (wi, wj) GROUP BY r.topic, r.t),
+{p}nx AS (SELECT a.topic, a.t, a.words, b.words AS nwords FROM {p}grid a LEFT JOIN {p}grid b ON b.topic = a.topic AND b.t = a.t + 1),
+{p}tts AS (SELECT topic, t, CASE WHEN len(words) > 0 AND nwords IS NOT NULL AND len(nwords) > 0
+                THEN len(list_intersect(words, nwords)) / len(list_distinct(list_concat(words, nwords))) ELSE 0.0 END AS tts
+           FROM {p}nx),
+{p}topic_time AS (SELECT g.topic, g.t, CASE WHEN g.t + 1 < {T} THEN coalesce(c.ttc, 0.0) ELSE 0.0 END AS ttc,
+                         coalesce(s.tts, 0.0) AS tts
+                  FROM {p}grid g LEFT JOIN {p}ttc c USING (topic, t) LEFT JOIN {p}tts s USING (topic, t)
+                  WHERE g.t < {last}),
+{p}topic AS (SELECT s.topic, coalesce(q.ttq, 0.0) AS ttq FROM (SELECT DISTINCT topic FROM {p}grid) s
+             LEFT JOIN (SELECT topic, avg(ttc * tts) AS ttq FROM {p}topic_time GROUP BY topic) q USING (topic)),
+{p}tcc AS (SELECT r.topic, r.t, avg(s.score) AS tc FROM {p}tc_rows r JOIN {p}scores s USING (wi, wj) GROUP BY r.topic, r.t),
+{p}tct AS (SELECT c.t, avg(coalesce(x.tc, 0.0)) AS tc FROM {cells} c LEFT JOIN {p}tcc x USING (topic, t) GROUP BY c.t),
+{p}tdt AS (SELECT t, count(DISTINCT w) / count(*) AS td FROM {p}gw GROUP BY t),
+{p}time AS (SELECT a.t, coalesce(c.tc, 0.0) AS tc, coalesce(d.td, 0.0) AS td, coalesce(c.tc, 0.0) * coalesce(d.td, 0.0) AS tq
+            FROM (SELECT DISTINCT t FROM {p}grid) a LEFT JOIN {p}tct c USING (t) LEFT JOIN {p}tdt d USING (t)),
+{p}ov AS (SELECT 'TTC' AS metric, coalesce(avg(ttc), 0.0) AS value FROM {p}topic_time
+          UNION ALL SELECT 'TTS', coalesce(avg(tts), 0.0) FROM {p}topic_time
+          UNION ALL SELECT 'TTQ', coalesce(avg(ttq), 0.0) FROM {p}topic
+          UNION ALL SELECT 'TC', coalesce(avg(tc), 0.0) FROM {p}time
+          UNION ALL SELECT 'TD', coalesce(avg(td), 0.0) FROM {p}time
+          UNION ALL SELECT 'TQ', coalesce(avg(tq), 0.0) FROM {p}time),
+{p}overall AS (SELECT metric, value FROM {p}ov
+               UNION ALL SELECT 'DTQ', 0.5 * sum(value) FILTER (WHERE metric IN ('TQ', 'TTQ')) FROM {p}ov)"""
+    return s
+
+
+DESC = {
+    "TTC": "Temporal Topic Coherence - coherence between consecutive time periods",
+    "TTS": "Temporal Topic Smoothness - smoothness of topic evolution",
+    "TTQ": "Temporal Topic Quality - combined temporal coherence and smoothness",
+    "TC": "Topic Coherence - coherence within time periods",
+    "TD": "Topic Diversity - diversity of topics within time periods",
+    "TQ": "Topic Quality - combined coherence and diversity",
+    "DTQ": "Dynamic Topic Quality - overall quality metric",
+}
+DESC_CASE = "CASE metric " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DESC.items()) + " END"
+
+for _v in "ABCD":
+    _l = _v.lower()
+    _c = f"WITH {TDOCS}, {dtm_ctes(_v)}"
+    SQL[f"dtm_overall_{_l}"] = f"{_c} SELECT metric, round(value, 6) AS value, {DESC_CASE} AS description FROM m_overall"
+    SQL[f"dtm_topic_time_{_l}"] = f"{_c} SELECT topic, t, round(ttc, 6) AS ttc, round(tts, 6) AS tts FROM m_topic_time"
+    SQL[f"dtm_topic_{_l}"] = f"{_c} SELECT topic, round(ttq, 6) AS ttq FROM m_topic"
+    SQL[f"dtm_time_{_l}"] = f"{_c} SELECT t, round(tc, 6) AS tc, round(td, 6) AS td, round(tq, 6) AS tq FROM m_time"
+
+SQL["topic_word_grid"] = f"WITH {TDOCS}, {dtm_ctes('C')} SELECT topic, t, array_to_string(words, ', ') AS words FROM m_grid"
+SQL["reference_corpus"] = f"WITH {TDOCS}, {dtm_ctes('A')} SELECT w FROM m_vocab"
+SQL["topic_word_corpus"] = f"WITH {TDOCS}, {dtm_ctes('D')} SELECT doc_id, array_to_string(tokens, ' ') AS text FROM m_corpus"
+SQL["pair_cooccurrence"] = f"WITH {TDOCS}, {dtm_ctes('A')} SELECT wi, wj, c_i, c_j, c_ij FROM m_cnts"
+SQL["coherence_pmi"] = f"WITH {TDOCS}, {dtm_ctes('A')} SELECT wi, wj, round(score, 6) AS score FROM m_scores"
+SQL["coherence_npmi"] = f"WITH {TDOCS}, {dtm_ctes('B')} SELECT wi, wj, round(score, 6) AS score FROM m_scores"
+SQL["temporal_evolution"] = f"""WITH {TDOCS}, {dtm_ctes('A')}
+SELECT t, round(avg(ttc), 6) AS mean_ttc, round(avg(tts), 6) AS mean_tts FROM m_topic_time GROUP BY t"""
+SQL["integrated_profile"] = f"""WITH {TDOCS}, {ctfidf_ctes('td', 'quarter', 'q_')}, {dtm_ctes('D', ot='q_ot')}
+SELECT o.topic, sum(frequency)::BIGINT AS frequency_sum, round(avg(frequency), 6) AS frequency_mean,
+       count(DISTINCT timestamp) AS time_periods, min(timestamp) AS start_date, max(timestamp) AS end_date,
+       round(coalesce(any_value(m.ttq), 0.0), 6) AS ttq,
+       date_diff('day', CAST(min(timestamp) AS DATE), CAST(max(timestamp) AS DATE))::BIGINT AS duration_days
+FROM q_ot o LEFT JOIN m_topic m USING (topic) WHERE o.topic <> -1 GROUP BY o.topic"""

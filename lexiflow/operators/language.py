@@ -11,13 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_ALL = Window.partitionBy()
+def _all():
+    return Window.partitionBy()
 
 
 def language_distribution(df: DataFrame, lang_col: str = "language", top_n: int = 20) -> DataFrame:
     """Count and percent of all rows per language, top ``top_n``."""
     g = df.groupBy(F.col(lang_col).alias("language")).agg(F.count(F.lit(1)).alias("n"))
-    return (g.withColumn("percent", F.round(F.col("n") * 100.0 / F.sum("n").over(_ALL), 6))
+    return (g.withColumn("percent", F.round(F.col("n") * 100.0 / F.sum("n").over(_all()), 6))
             .orderBy(F.desc("n"), F.asc("language"))
             .limit(top_n))
 
@@ -65,7 +66,7 @@ def language_crosstab(df: DataFrame, lang_col: str = "language", by: str = "plat
     p = p.select("language", F.col(a).cast("bigint").alias(f"n_{a.lower()}"),
                  F.col(b).cast("bigint").alias(f"n_{b.lower()}"))
     p = p.withColumn("total", F.col(f"n_{a.lower()}") + F.col(f"n_{b.lower()}"))
-    return (p.withColumn("percent", F.round(F.col("total") * 100.0 / F.sum("total").over(_ALL), 6))
+    return (p.withColumn("percent", F.round(F.col("total") * 100.0 / F.sum("total").over(_all()), 6))
             .orderBy(F.desc("total"), F.asc("language")).limit(top_n))
 
 
