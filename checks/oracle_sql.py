@@ -463,3 +463,120 @@ SELECT o.topic, sum(frequency)::BIGINT AS frequency_sum, round(avg(frequency), 6
        round(coalesce(any_value(m.ttq), 0.0), 6) AS ttq,
        date_diff('day', CAST(min(timestamp) AS DATE), CAST(max(timestamp) AS DATE))::BIGINT AS duration_days
 FROM q_ot o LEFT JOIN m_topic m USING (topic) WHERE o.topic <> -1 GROUP BY o.topic"""
+
+
+# ------------------------------------------------------ sketches and vectors
+TEXTDOCS = """docs AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_]+'),
+                                                     lambda t: t <> '') AS tokens FROM documents),
+dfq AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(tokens) AS term FROM docs) GROUP BY term)"""
+
+
+def sk_ctes(p, width, seeds, sign_seeds, signed, src="dfq"):
+    vals = ", ".join(f"({r}, {s}, {g})" for r, (s, g) in enumerate(zip(seeds, sign_seeds)))
+    val = "df * sign" if signed else "df"
+    return f"""
+{p}rows AS (SELECT * FROM (VALUES {vals}) t(row, seed, sign_seed)),
+{p}tr AS (SELECT d.term, d.df, r.row,
+                 ('0x' || substr(md5(CAST(r.seed AS VARCHAR) || ':' || d.term), 1, 8))::BIGINT % {width} AS bucket,
+                 CASE WHEN ('0x' || substr(md5(CAST(r.sign_seed AS VARCHAR) || ':' || d.term), 1, 8))::BIGINT % 2 = 0
+                      THEN 1 ELSE -1 END AS sign
+          FROM {src} d CROSS JOIN {p}rows r),
+{p}cells AS (SELECT row::BIGINT AS row, bucket, sum({val})::BIGINT AS cnt FROM {p}tr GROUP BY row, bucket HAVING sum({val}) <> 0),
+{p}est AS (SELECT t.term, {'median(t.sign * coalesce(c.cnt, 0))' if signed else 'min(coalesce(c.cnt, 0))'}::DOUBLE AS estimate
+           FROM {p}tr t LEFT JOIN {p}cells c ON c.row = t.row AND c.bucket = t.bucket GROUP BY t.term)"""
+
+
+SKETCHES = (f"{TEXTDOCS}, {sk_ctes('cms_', 27183, [1, 2, 3, 4, 5], [1, 2, 3, 4, 5], False)}, "
+            f"{sk_ctes('cs_', 10000, [1, 2, 3, 4, 5], [6, 7, 8, 9, 10], True)}")
+SQL["cms_build"] = f"WITH {SKETCHES} SELECT row, bucket, cnt FROM cms_cells"
+SQL["cs_build"] = f"WITH {SKETCHES} SELECT row, bucket, cnt FROM cs_cells"
+SQL["cms_query"] = f"WITH {SKETCHES} SELECT term, estimate FROM cms_est"
+SQL["cs_query"] = f"WITH {SKETCHES} SELECT term, estimate FROM cs_est"
+# Merging the sketches of any split of the documents equals the one-shot build.
+SQL["sketch_merge"] = SQL["cms_build"]
+
+NDOCS = "(SELECT count(*) FROM docs)"
+
+
+def bm25_idf(p):
+    return (f"CASE WHEN {p} < 1 THEN 0.0 ELSE ln(({NDOCS} - least({p}, {NDOCS}) + 0.5) / "
+            f"(least({p}, {NDOCS}) + 0.5 + 1e-9)) END")
+
+
+SQL["sidf_weight"] = f"""WITH {SKETCHES}
+SELECT a.term, round({bm25_idf('a.estimate')}, 6) AS bm25_cms, round({bm25_idf('b.estimate')}, 6) AS bm25_cs,
+       round(CASE WHEN a.estimate < 1 THEN 0.0 ELSE ln({NDOCS} / a.estimate) END, 6) AS tfidf_cms
+FROM cms_est a JOIN cs_est b USING (term)"""
+
+
+def emb_ctes(model):
+    if model == "bm25":
+        tw = ("x.tf * 2.2::DOUBLE / CASE WHEN den > 0 THEN den ELSE 1.0 END")
+        i1, i2 = bm25_idf("x.p_cms"), bm25_idf("x.p_cs")
+    else:
+        tw = "x.tf::DOUBLE"
+        i1 = f"CASE WHEN x.p_cms > 0 THEN ln({NDOCS} / x.p_cms) ELSE 0.0 END"
+        i2 = f"CASE WHEN x.p_cs > 0 THEN ln({NDOCS} / x.p_cs) ELSE 0.0 END"
+    return f"""{SKETCHES},
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM docs) GROUP BY doc_id, term),
+avgdl AS (SELECT coalesce(sum(len(tokens)) / nullif(count(*), 0), 1.0) AS a FROM docs),
+x0 AS (SELECT tf.doc_id, tf.term, tf.tf, len(d.tokens) AS dl, c.estimate AS p_cms, s.estimate AS p_cs
+       FROM tf JOIN cms_est c USING (term) JOIN cs_est s USING (term) JOIN docs d USING (doc_id)),
+x AS (SELECT *, tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / (SELECT a FROM avgdl)) AS den FROM x0),
+emb AS (SELECT doc_id, ('0x' || substr(md5('42:' || term), 1, 8))::BIGINT % 300 AS bucket,
+               sum(({i1}) * ({tw})) AS w_cms, sum(({i2}) * ({tw})) AS w_cs
+        FROM x GROUP BY doc_id, bucket)"""
+
+
+SQL["embed_tfidf"] = f"WITH {emb_ctes('tfidf')} SELECT doc_id, bucket, round(w_cms, 6) AS weight FROM emb"
+SQL["embed_bm25"] = f"WITH {emb_ctes('bm25')} SELECT doc_id, bucket, round(w_cms, 6) AS weight FROM emb"
+SQL["embed_dual"] = f"""WITH {emb_ctes('bm25')}
+SELECT doc_id, bucket, round(w_cms, 6) AS w_cms, round(w_cs, 6) AS w_cs FROM emb"""
+SQL["embedding_pipeline"] = f"""WITH {emb_ctes('bm25')}
+SELECT d.doc_id, 300::BIGINT AS dim, round(coalesce(sqrt(n.s), 0.0), 6) AS norm
+FROM docs d LEFT JOIN (SELECT doc_id, sum(w_cms * w_cms) AS s FROM emb GROUP BY doc_id) n USING (doc_id)"""
+
+VEC = """ev AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+nrm AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM ev GROUP BY vec_id),
+evn AS (SELECT e.vec_id, e.i, e.x / CASE WHEN n.n = 0 THEN 1.0 ELSE n.n END AS x FROM ev e JOIN nrm n USING (vec_id))"""
+
+SQL["normalize_vectors"] = f"WITH {VEC} SELECT vec_id, (i - 1)::BIGINT AS idx, round(x, 6) AS value FROM evn"
+
+
+def knn_sql(src, dist, order):
+    return f"""WITH {VEC},
+q AS (SELECT * FROM {src} WHERE vec_id IN (0, 5)),
+d AS (SELECT q.vec_id AS query_id, e.vec_id AS neighbor_id, {dist} AS dist
+      FROM {src} e JOIN q ON q.i = e.i GROUP BY q.vec_id, e.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9) {order}, neighbor_id) - 1 AS rank FROM d)
+SELECT query_id, rank::BIGINT AS rank, neighbor_id, round(dist, 6) AS dist FROM r WHERE rank < 5"""
+
+
+SQL["knn_l2"] = knn_sql("ev", "sum((e.x - q.x) * (e.x - q.x))", "ASC")
+SQL["knn_cosine"] = knn_sql("evn", "sum(e.x * q.x)", "DESC")
+SQL["farthest_k"] = knn_sql("ev", "sum((e.x - q.x) * (e.x - q.x))", "DESC")
+
+H42 = "('0x' || substr(md5('{salt}:' || CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT"
+SQL["distance_correlation"] = f"""WITH {emb_ctes('bm25')},
+pa AS (SELECT doc_id AS i, row_number() OVER (ORDER BY {H42.format(salt='42a')}, doc_id) AS r FROM docs
+       ORDER BY {H42.format(salt='42a')}, doc_id LIMIT 1000),
+pb AS (SELECT doc_id AS j, row_number() OVER (ORDER BY {H42.format(salt='42b')}, doc_id) AS r FROM docs
+       ORDER BY {H42.format(salt='42b')}, doc_id LIMIT 1000),
+pairs AS (SELECT i, j FROM pa JOIN pb USING (r) WHERE i <> j),
+nn AS (SELECT doc_id, sqrt(sum(w_cms * w_cms)) AS n1, sqrt(sum(w_cs * w_cs)) AS n2 FROM emb GROUP BY doc_id),
+embn AS (SELECT e.doc_id, e.bucket, e.w_cms, e.w_cs,
+                e.w_cms / CASE WHEN n.n1 = 0 THEN 1.0 ELSE n.n1 END AS u1,
+                e.w_cs / CASE WHEN n.n2 = 0 THEN 1.0 ELSE n.n2 END AS u2
+         FROM emb e JOIN nn n USING (doc_id)),
+pe AS (SELECT p.i, p.j, e.bucket, e.w_cms AS a, e.w_cs AS b, e.u1, e.u2, 1 AS side FROM pairs p JOIN embn e ON e.doc_id = p.i
+       UNION ALL
+       SELECT p.i, p.j, e.bucket, -e.w_cms, -e.w_cs, e.u1, e.u2, 2 FROM pairs p JOIN embn e ON e.doc_id = p.j),
+bk AS (SELECT i, j, bucket, sum(a) AS da, sum(b) AS db,
+              coalesce(max(u1) FILTER (WHERE side = 1), 0) * coalesce(max(u1) FILTER (WHERE side = 2), 0) AS p1,
+              coalesce(max(u2) FILTER (WHERE side = 1), 0) * coalesce(max(u2) FILTER (WHERE side = 2), 0) AS p2
+       FROM pe GROUP BY i, j, bucket),
+dd AS (SELECT p.i, p.j, coalesce(sqrt(sum(da * da)), 0.0) AS l1, coalesce(sqrt(sum(db * db)), 0.0) AS l2,
+              1.0 - coalesce(sum(p1), 0.0) AS c1, 1.0 - coalesce(sum(p2), 0.0) AS c2
+       FROM pairs p LEFT JOIN bk USING (i, j) GROUP BY p.i, p.j)
+SELECT 'l2' AS metric, round(corr(l1, l2), 6) AS corr FROM dd
+UNION ALL SELECT 'cosine', round(corr(c1, c2), 6) FROM dd"""

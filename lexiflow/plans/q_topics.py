@@ -12,6 +12,7 @@ from lexiflow.operators import dtm as D
 from lexiflow.operators import slices as Z
 from lexiflow.operators import topics as M
 from lexiflow.plans.catalog import register
+from lexiflow.session import cut_lineage
 from lexiflow.sources.tables import documents_with_topics
 
 ALPHA = X.ALPHABET_ANY
@@ -107,7 +108,11 @@ def dtm_inputs(spark, sf_dir, variant: str, docs=None, ot=None):
         ot = ot if ot is not None else M.topics_over_time(docs, "quarter", N_WORDS)
         topics = (D.select_topics_by_frequency(ot, TOP_TOPICS) if variant == "D"
                   else D.select_topics_by_docs(docs, TOP_TOPICS))
-    grid = D.topic_word_grid(ot, topics.select("topic"), N_WORDS,
+    # Over-time rows (topics x slices) and the selected topics are small and
+    # read by every metric branch: cut their lineage once.
+    ot = cut_lineage(ot)
+    topics = cut_lineage(topics.select("topic"))
+    grid = D.topic_word_grid(ot, topics, N_WORDS,
                              strip_prefix="clustering " if variant == "A" else None)
     if variant == "D":
         corpus = D.topic_word_corpus(grid)
@@ -122,7 +127,8 @@ def dtm_inputs(spark, sf_dir, variant: str, docs=None, ot=None):
         vocab = V.build_vocabulary(vt, min_df=5, max_df=0.9, max_features=10000)
     else:
         vocab = V.build_vocabulary(vt, max_features=5000)
-    return grid, corpus, vocab.select(F.col("term").alias("w"))
+    # At most max_features rows.
+    return grid, corpus, cut_lineage(vocab.select(F.col("term").alias("w")))
 
 
 def dtm(spark, sf_dir, variant):
