@@ -580,3 +580,56 @@ dd AS (SELECT p.i, p.j, coalesce(sqrt(sum(da * da)), 0.0) AS l1, coalesce(sqrt(s
        FROM pairs p LEFT JOIN bk USING (i, j) GROUP BY p.i, p.j)
 SELECT 'l2' AS metric, round(corr(l1, l2), 6) AS corr FROM dd
 UNION ALL SELECT 'cosine', round(corr(c1, c2), 6) FROM dd"""
+
+
+# ------------------------------------------------------------ pair builder
+MF = """mf AS (SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+lt AS (SELECT doc_id, flatten(list_transform(list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: l <> ''),
+                                             lambda l: string_split(l, ' '))) AS t FROM mf),
+tk AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) - 1 AS p FROM lt)"""
+
+
+def ctx_sql(window):
+    parts = []
+    for d in range(1, window + 1):
+        parts.append(f"SELECT a.doc_id, a.p AS pos, {-d} AS side, a.w AS center, b.w AS context FROM tk a "
+                     f"JOIN tk b ON b.doc_id = a.doc_id AND b.p = a.p - {d}")
+        parts.append(f"SELECT a.doc_id, a.p AS pos, {d} AS side, a.w AS center, b.w AS context FROM tk a "
+                     f"JOIN tk b ON b.doc_id = a.doc_id AND b.p = a.p + {d}")
+    return f"""ctx AS ({' UNION ALL '.join(parts)}),
+pr AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, side) - 1 AS r, center, context
+       FROM ctx WHERE context <> '')"""
+
+
+NEG = [101, 102, 103, 104, 105]
+
+
+def neg_sql():
+    perms = []
+    for k, s in enumerate(NEG):
+        perms.append(f"""n{k} AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id
+                       ORDER BY ('0x' || substr(md5('{s}:' || CAST(doc_id AS VARCHAR) || ':' || CAST(r AS VARCHAR)), 1, 8))::BIGINT, r) - 1 AS r,
+                       context AS neg FROM pr)""")
+    joins = " ".join(f"JOIN n{k} ON n{k}.doc_id = pr.doc_id AND n{k}.r = pr.r" for k in range(len(NEG)))
+    cols = ", ".join(f"n{k}.neg AS neg_{k}" for k in range(len(NEG)))
+    return ",\n".join(perms) + f""",
+neg AS (SELECT pr.doc_id, pr.r, pr.center AS center_word, pr.context AS context_word, {cols} FROM pr {joins}),
+lp AS (SELECT doc_id, r, 0::BIGINT AS slot, center_word, context_word, 1 AS label FROM neg
+       {' '.join(f"UNION ALL SELECT doc_id, r, {k + 1}::BIGINT, center_word, neg_{k}, 0 FROM neg" for k in range(len(NEG)))})"""
+
+
+SQL["manifest_filter"] = f"WITH {MF} SELECT doc_id, length(text)::BIGINT AS n_chars FROM mf"
+SQL["file_batches"] = f"WITH {MF} SELECT doc_id, (doc_id // 100)::BIGINT AS batch_id FROM mf"
+SQL["skipgram_pairs"] = f"WITH {MF}, {ctx_sql(1)} SELECT doc_id, r::BIGINT AS r, center AS center_word, context AS context_word FROM pr"
+SQL["skipgram_window_n"] = f"WITH {MF}, {ctx_sql(2)} SELECT doc_id, r::BIGINT AS r, center AS center_word, context AS context_word FROM pr"
+SQL["negative_samples"] = f"WITH {MF}, {ctx_sql(1)}, {neg_sql()} SELECT * FROM neg"
+SQL["label_pairs"] = f"WITH {MF}, {ctx_sql(1)}, {neg_sql()} SELECT * FROM lp"
+_hc = ", ".join([f"('0x' || substr(md5('{s}:' || center_word), 1, 8))::BIGINT AS centw_{i}" for i, s in enumerate(range(1, 11))]
+                + [f"('0x' || substr(md5('{s}:' || context_word), 1, 8))::BIGINT AS contw_{i}" for i, s in enumerate(range(1, 11))])
+SQL["hash_features"] = f"WITH {MF}, {ctx_sql(1)}, {neg_sql()} SELECT doc_id, r, slot, label, {_hc} FROM lp"
+SQL["pmi_pairs"] = f"""WITH {MF}, {ctx_sql(1)},
+cij AS (SELECT center AS center_word, context AS context_word, count(*) AS n_ij FROM pr GROUP BY ALL),
+ci AS (SELECT center AS center_word, count(*) AS n_i FROM pr GROUP BY ALL),
+cj AS (SELECT context AS context_word, count(*) AS n_j FROM pr GROUP BY ALL)
+SELECT center_word, context_word, n_ij, round(ln((SELECT count(*) FROM pr) * n_ij / (n_i * n_j)), 6) AS pmi
+FROM cij JOIN ci USING (center_word) JOIN cj USING (context_word)"""

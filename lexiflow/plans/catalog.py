@@ -21,4 +21,4 @@ def register(name: str):
 
 
 # Importing the modules fills QUERIES.
-from lexiflow.plans import q_language, q_text, q_topics, q_vectors  # noqa: E402,F401
+from lexiflow.plans import q_language, q_pairs, q_text, q_topics, q_vectors  # noqa: E402,F401
