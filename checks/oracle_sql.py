@@ -633,3 +633,14 @@ ci AS (SELECT center AS center_word, count(*) AS n_i FROM pr GROUP BY ALL),
 cj AS (SELECT context AS context_word, count(*) AS n_j FROM pr GROUP BY ALL)
 SELECT center_word, context_word, n_ij, round(ln((SELECT count(*) FROM pr) * n_ij / (n_i * n_j)), 6) AS pmi
 FROM cij JOIN ci USING (center_word) JOIN cj USING (context_word)"""
+
+
+# ------------------------------------------------------------ streaming
+SQL["stream_clean"] = f"""WITH {CLEANED}
+SELECT doc_id, clean FROM docs WHERE language = 'en' AND length(clean) >= 15"""
+SQL["stream_language_counts"] = """
+SELECT make_timestamp((floor(epoch_us(o.o_orderdate) / 2592000000000) * 2592000000000)::BIGINT) AS window_start,
+       d.lang AS language, count(*) AS n
+FROM documents d JOIN orders o ON d.doc_id = o.o_orderkey GROUP BY 1, 2"""
+# Cells merged over micro-batches equal the one-shot build.
+SQL["stream_sketch"] = SQL["cms_build"]

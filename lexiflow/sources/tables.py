@@ -13,8 +13,28 @@ from pyspark.sql import functions as F
 from lexiflow.functions.hashing import score01
 
 
+# Text-heavy tables and their key: regex cleaning and tokenising are CPU
+# bound, so these scans must have at least as many splits as task slots.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "benchmark": "item_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    key = TEXT_TABLES.get(name)
+    if key is not None:
+        df = spread(df, key)
+    return df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition by ``key`` when the scan has fewer splits than the
+    cluster has task slots (a few large files or row groups). Large inputs
+    already scan in many splits and are left untouched; the hash layout is
+    reused by later joins and aggregations on the same key."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots, key)
+    return df
 
 
 def platform_of(source_col) -> F.Column:
