@@ -644,3 +644,48 @@ SELECT make_timestamp((floor(epoch_us(o.o_orderdate) / 2592000000000) * 25920000
 FROM documents d JOIN orders o ON d.doc_id = o.o_orderkey GROUP BY 1, 2"""
 # Cells merged over micro-batches equal the one-shot build.
 SQL["stream_sketch"] = SQL["cms_build"]
+
+
+# ------------------------------------------------------------ model-based
+SQL["topic_activity"] = f"""WITH {TDOCS},
+th0 AS (SELECT doc_id, t AS topic,
+               ((('0x' || substr(md5('theta:' || CAST(doc_id AS VARCHAR) || ':' || CAST(t AS VARCHAR)), 1, 8))::BIGINT % 1000) + 1)::DOUBLE AS r
+        FROM td, range(0, 10) AS g(t)),
+th AS (SELECT doc_id, topic, r / sum(r) OVER (PARTITION BY doc_id) AS weight FROM th0)
+SELECT th.topic::BIGINT AS topic, td.quarter, round(avg(th.weight), 6) AS activity
+FROM th JOIN td USING (doc_id) GROUP BY th.topic, td.quarter"""
+
+SQL["cluster_quality"] = f"""WITH {TOPICS},
+j AS (SELECT dt.topic, l.quality AS label FROM dt JOIN labels l USING (doc_id)),
+ct AS (SELECT topic, label, count(*) AS n FROM j GROUP BY ALL),
+tot AS (SELECT sum(n) AS n FROM ct),
+nk AS (SELECT topic, sum(n) AS nk FROM ct GROUP BY topic),
+nj AS (SELECT label, sum(n) AS nj FROM ct GROUP BY label),
+hk AS (SELECT -sum(nk / (SELECT n FROM tot) * ln(nk / (SELECT n FROM tot))) AS v FROM nk),
+hj AS (SELECT -sum(nj / (SELECT n FROM tot) * ln(nj / (SELECT n FROM tot))) AS v FROM nj),
+mi AS (SELECT sum(ct.n / (SELECT n FROM tot) * ln((SELECT n FROM tot) * ct.n / (nk.nk * nj.nj))) AS v
+       FROM ct JOIN nk USING (topic) JOIN nj USING (label))
+SELECT 'purity' AS metric, round((SELECT sum(m) FROM (SELECT max(n) AS m FROM ct GROUP BY topic)) / (SELECT n FROM tot), 6) AS value
+UNION ALL
+SELECT 'nmi', round(CASE WHEN ((SELECT v FROM hk) + (SELECT v FROM hj)) / 2 > 0
+                         THEN (SELECT v FROM mi) / (((SELECT v FROM hk) + (SELECT v FROM hj)) / 2) ELSE 0.0 END, 6)"""
+
+SQL["topic_diversity"] = f"""WITH {TDOCS}, {TOPIC_WORDS}
+SELECT round(coalesce(count(DISTINCT term) / nullif(count(term), 0), 0.0), 6) AS diversity FROM tw"""
+
+SQL["joint_coherence"] = f"""WITH {TDOCS}, {TOPIC_WORDS},
+corp AS (SELECT doc_id, list_filter(regexp_split_to_array(processed, '\\s+'), lambda x: x <> '') AS tokens,
+                tokens AS vtokens FROM td),
+{vocab_sql('j_', 'corp', 1, 1.0, 5000)},
+w AS (SELECT DISTINCT topic, term AS w FROM tw WHERE term IN (SELECT w FROM j_vocab)),
+nw AS (SELECT topic, count(*) AS n_w FROM w GROUP BY topic HAVING count(*) >= 2),
+toks AS (SELECT doc_id, unnest(tokens) AS w FROM corp),
+jf AS (SELECT w, count(*) / (SELECT count(*) FROM corp) AS f FROM toks WHERE w IN (SELECT w FROM w) GROUP BY w),
+inc AS (SELECT DISTINCT doc_id, w FROM toks WHERE w IN (SELECT w FROM w)),
+tg AS (SELECT topic, count(*) AS together FROM (
+         SELECT w.topic, i.doc_id, count(*) AS c, any_value(nw.n_w) AS n_w FROM w JOIN nw USING (topic)
+         JOIN inc i USING (w) GROUP BY w.topic, i.doc_id) WHERE c = n_w GROUP BY topic),
+pr AS (SELECT w.topic, exp(sum(ln(jf.f))) AS prod FROM w JOIN nw USING (topic) JOIN jf USING (w) GROUP BY w.topic)
+SELECT nw.topic, round(CASE WHEN coalesce(tg.together, 0) = 0 THEN 0.0
+                       ELSE ln((tg.together / (SELECT count(*) FROM corp) + 1e-10) / (pr.prod + 1e-10)) END, 6) AS coherence
+FROM nw LEFT JOIN tg USING (topic) JOIN pr USING (topic)"""
