@@ -689,3 +689,66 @@ pr AS (SELECT w.topic, exp(sum(ln(jf.f))) AS prod FROM w JOIN nw USING (topic) J
 SELECT nw.topic, round(CASE WHEN coalesce(tg.together, 0) = 0 THEN 0.0
                        ELSE ln((tg.together / (SELECT count(*) FROM corp) + 1e-10) / (pr.prod + 1e-10)) END, 6) AS coherence
 FROM nw LEFT JOIN tg USING (topic) JOIN pr USING (topic)"""
+
+
+# ------------------------------------------------------------ sources and sinks
+SQL["scan_comments"] = f"WITH {COMMENTS} SELECT doc_id, comment, published_at, language, platform FROM comments"
+SQL["scan_text_lines"] = """WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM l"""
+SQL["scan_text_documents"] = """SELECT doc_id, (strlen(text) + 1)::BIGINT AS size, length(text)::BIGINT AS n_chars FROM documents"""
+SQL["scan_jsonlines"] = """SELECT CAST(l.quality AS VARCHAR) AS label, count(*) AS n
+FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1"""
+SQL["persist_sketch"] = SQL["cms_query"]
+SQL["persist_embeddings"] = f"WITH {TEXTDOCS} SELECT doc_id, len(tokens)::BIGINT AS dl FROM docs"
+
+
+def _grams(src_cols, src):
+    return f"""(SELECT {src_cols}, substr(t, i, 3) AS g FROM (
+              SELECT {src_cols}, t, unnest(range(1, length(t) - 1)) AS i FROM {src}))"""
+
+
+SQL["detect_language"] = f"""WITH
+tr AS (SELECT lang, ' ' || regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g') || ' ' AS t FROM documents),
+tg AS (SELECT lang, g, count(*) AS c_lg FROM {_grams('lang', 'tr')} GROUP BY lang, g),
+langs AS (SELECT lang, count(*) AS n_docs FROM documents GROUP BY lang),
+tot AS (SELECT lang, sum(c_lg) AS t_l FROM tg GROUP BY lang),
+pr AS (SELECT l.lang, ln(n_docs / (SELECT count(*) FROM documents)) AS base,
+              ln(t_l + (SELECT count(DISTINCT g) FROM tg)) AS lt FROM langs l JOIN tot USING (lang)),
+dq AS (SELECT conv_id * 1000 + turn AS doc_id,
+              ' ' || regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g') || ' ' AS t FROM conversations),
+dg AS (SELECT doc_id, g, count(*) AS c_g FROM {_grams('doc_id', 'dq')} GROUP BY doc_id, g),
+known AS (SELECT * FROM dg WHERE g IN (SELECT g FROM tg)),
+nk AS (SELECT doc_id, sum(c_g) AS n_known FROM known GROUP BY doc_id),
+seen AS (SELECT k.doc_id, tg.lang, sum(k.c_g * ln(tg.c_lg + 1)) AS s FROM known k JOIN tg USING (g) GROUP BY k.doc_id, tg.lang),
+grid AS (SELECT d.doc_id, p.lang, p.base, p.lt FROM (SELECT DISTINCT doc_id FROM dq) d CROSS JOIN pr p),
+sc AS (SELECT g.doc_id, g.lang, coalesce(nk.n_known, 0) AS n_known,
+              g.base + coalesce(seen.s, 0) - coalesce(nk.n_known, 0) * g.lt AS score
+       FROM grid g LEFT JOIN nk USING (doc_id) LEFT JOIN seen USING (doc_id, lang)),
+sm AS (SELECT *, exp(score - max(score) OVER (PARTITION BY doc_id)) AS p FROM sc),
+cf AS (SELECT *, p / sum(p) OVER (PARTITION BY doc_id) AS conf,
+              row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, lang) AS rk FROM sm)
+SELECT doc_id, CASE WHEN n_known = 0 THEN 'unknown' ELSE lang END AS language,
+       CASE WHEN n_known = 0 THEN 0.0 ELSE round(conf, 6) END AS confidence FROM cf WHERE rk = 1"""
+
+_A = f"WITH {TDOCS}, {dtm_ctes('A')}"
+SQL["quality_bands"] = f"""{_A},
+v AS (SELECT metric, value FROM m_overall)
+SELECT metric, round(value, 6) AS value,
+       CASE metric WHEN 'DTQ' THEN CASE WHEN value > 0.7 THEN 'Excellent' WHEN value > 0.5 THEN 'Good'
+                                        WHEN value > 0.3 THEN 'Fair' ELSE 'Poor' END
+                   WHEN 'TTC' THEN CASE WHEN value > 0.1 THEN 'High' WHEN value > 0.05 THEN 'Moderate' ELSE 'Low' END
+                   WHEN 'TTS' THEN CASE WHEN value > 0.5 THEN 'High' WHEN value > 0.3 THEN 'Moderate' ELSE 'Low' END
+                   WHEN 'TTQ' THEN CASE WHEN value > 0.5 THEN 'Excellent' WHEN value > 0.3 THEN 'Good'
+                                        WHEN value > 0.1 THEN 'Fair' ELSE 'Poor' END END AS band
+FROM v
+UNION ALL SELECT 'advice_TTC', round(value, 6), 'Consider improving topic coherence across time' FROM v
+          WHERE metric = 'TTC' AND value < 0.05
+UNION ALL SELECT 'advice_TTS', round(value, 6), 'Topics change significantly over time' FROM v
+          WHERE metric = 'TTS' AND value < 0.3"""
+
+SQL["rank_topics_and_slices"] = f"""{_A}
+SELECT 'topic' AS kind, row_number() OVER (ORDER BY round(ttq, 10) DESC, topic)::BIGINT AS rank, topic::BIGINT AS id,
+       round(ttq, 6) AS value FROM m_topic QUALIFY rank <= 10
+UNION ALL
+SELECT 'slice', row_number() OVER (ORDER BY round(tq, 10) DESC, t)::BIGINT, t::BIGINT, round(tq, 6) FROM m_time
+QUALIFY row_number() OVER (ORDER BY round(tq, 10) DESC, t) <= 5"""

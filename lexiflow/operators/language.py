@@ -73,3 +73,65 @@ def language_crosstab(df: DataFrame, lang_col: str = "language", by: str = "plat
 def filter_language(df: DataFrame, lang: str, lang_col: str = "language") -> DataFrame:
     """Keep rows of one language; a null label never matches."""
     return df.filter(F.col(lang_col) == F.lit(lang))
+
+
+def char_ngrams(text_col: str, n: int = 3) -> F.Column:
+    """Character n-grams of the lower-cased text with spaces marking word edges.
+
+    The text becomes an array of code points; n-grams are shifted slices
+    joined with ``zip_with`` (lambdas see only their own arguments).
+    """
+    t = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+", " "),
+                 F.lit(" "))
+    chars = F.regexp_extract_all(t, F.lit("(?s)."), 0)
+    size = F.size(chars)
+    acc = chars
+    for k in range(1, n):
+        acc = F.zip_with(acc, F.slice(chars, k + 1, F.greatest(size - k, F.lit(0))),
+                         lambda a, b: F.concat(a, b))
+    return F.filter(acc, lambda g: g.isNotNull())
+
+
+def detect_language(train: DataFrame, docs: DataFrame, n: int = 3, text_col: str = "text",
+                    lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, language, confidence) from a character n-gram naive Bayes.
+
+    Profiles are (language, gram) counts from labelled rows. With add-one
+    smoothing over the gram vocabulary V, a document's score for language l
+    is ``ln P(l) + sum_g c_g ln(c_lg + 1) - N_known ln(T_l + V)``: only grams
+    a language has seen need a join row, so no (document x language x gram)
+    grid is ever built. Confidence is the softmax of the scores; a document
+    with no known gram is ``unknown``.
+    """
+    tg = (train.select(F.col(lang_col).alias("lang"), F.explode(char_ngrams(text_col, n)).alias("g"))
+               .groupBy("lang", "g").agg(F.count(F.lit(1)).alias("c_lg")))
+    langs = train.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n_docs"))
+    totals = tg.groupBy("lang").agg(F.sum("c_lg").alias("t_l"))
+    v = tg.select(F.count_distinct("g")).scalar()
+    n_train = train.select(F.count(F.lit(1))).scalar()
+    prior = (langs.join(totals, "lang")
+                  .select("lang", F.log(F.col("n_docs") / n_train).alias("_base"),
+                          F.log(F.col("t_l") + v).alias("_lt")))
+    dg = (docs.select(F.col(id_col).alias("doc_id"), F.explode(char_ngrams(text_col, n)).alias("g"))
+              .groupBy("doc_id", "g").agg(F.count(F.lit(1)).alias("c_g")))
+    known = dg.join(tg.select("g").distinct(), "g", "left_semi")
+    n_known = known.groupBy("doc_id").agg(F.sum("c_g").alias("n_known"))
+    seen = (known.join(tg, "g").groupBy("doc_id", "lang")
+                 .agg(F.sum(F.col("c_g") * F.log(F.col("c_lg") + 1)).alias("_s")))
+    lang_list = prior.select(F.collect_list(F.struct("lang", "_base", "_lt"))).scalar()
+    grid = (docs.select(F.col(id_col).alias("doc_id")).withColumn("_l", lang_list)
+                .select("doc_id", F.explode("_l").alias("p"))
+                .select("doc_id", F.col("p.lang").alias("lang"), F.col("p._base").alias("_base"),
+                        F.col("p._lt").alias("_lt")))
+    sc = (grid.join(n_known, "doc_id", "left").join(seen, ["doc_id", "lang"], "left")
+              .withColumn("n_known", F.coalesce("n_known", F.lit(0)))
+              .withColumn("score", F.col("_base") + F.coalesce("_s", F.lit(0.0))
+                          - F.col("n_known") * F.col("_lt")))
+    w = Window.partitionBy("doc_id")
+    sc = sc.withColumn("_m", F.max("score").over(w))
+    sc = sc.withColumn("_p", F.exp(F.col("score") - F.col("_m")))
+    sc = sc.withColumn("conf", F.col("_p") / F.sum("_p").over(w))
+    best = sc.withColumn("_rk", F.row_number().over(w.orderBy(F.desc(F.round("score", 9)), "lang"))).filter("_rk = 1")
+    return best.select("doc_id",
+                       F.when(F.col("n_known") == 0, F.lit("unknown")).otherwise(F.col("lang")).alias("language"),
+                       F.when(F.col("n_known") == 0, F.lit(0.0)).otherwise(F.round("conf", 6)).alias("confidence"))

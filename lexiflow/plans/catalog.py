@@ -21,4 +21,4 @@ def register(name: str):
 
 
 # Importing the modules fills QUERIES.
-from lexiflow.plans import q_language, q_models, q_pairs, q_streams, q_text, q_topics, q_vectors  # noqa: E402,F401
+from lexiflow.plans import q_io, q_language, q_models, q_pairs, q_streams, q_text, q_topics, q_vectors  # noqa: E402,F401

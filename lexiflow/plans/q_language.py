@@ -34,3 +34,13 @@ def q_filter_language(spark, sf_dir):
     c = comments(spark, sf_dir)
     return L.filter_language(c, "en").select("doc_id", "published_at", "platform",
                                              F.length("comment").cast("bigint").alias("n_chars"))
+
+
+@register("detect_language")
+def q_detect_language(spark, sf_dir):
+    """Profiles trained on labelled documents, applied to every conversation turn."""
+    from lexiflow.sources.tables import table
+    train = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    turns = table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return L.detect_language(train, turns)
