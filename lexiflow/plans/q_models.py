@@ -92,3 +92,22 @@ def q_joint_coherence(spark, sf_dir):
 def q_topic_diversity(spark, sf_dir):
     _, tw = _static_topics(spark, sf_dir)
     return ML.topic_diversity(tw).withColumn("diversity", F.round("diversity", 6))
+
+
+def _iforest(spark, sf_dir):
+    from lexiflow.operators.outliers import isolation_forest
+    v = vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    return v, isolation_forest(v, n_trees=100, psi=256, contamination=0.05)
+
+
+@register("isolation_forest")
+def q_isolation_forest(spark, sf_dir):
+    _, lab = _iforest(spark, sf_dir)
+    return lab.withColumn("score", F.round("score", 6))
+
+
+@register("filter_outliers")
+def q_filter_outliers(spark, sf_dir):
+    from lexiflow.operators.outliers import filter_outliers
+    v, lab = _iforest(spark, sf_dir)
+    return filter_outliers(v, lab).select("doc_id")
