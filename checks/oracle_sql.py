@@ -752,3 +752,29 @@ SELECT 'topic' AS kind, row_number() OVER (ORDER BY round(ttq, 10) DESC, topic):
 UNION ALL
 SELECT 'slice', row_number() OVER (ORDER BY round(tq, 10) DESC, t)::BIGINT, t::BIGINT, round(tq, 6) FROM m_time
 QUALIFY row_number() OVER (ORDER BY round(tq, 10) DESC, t) <= 5"""
+
+
+_C = f"WITH {TDOCS}, {dtm_ctes('C')},"
+DYN = f"""{_C}
+dc AS (SELECT td.doc_id, st.t, list_filter(regexp_split_to_array(td.processed, '\\s+'), lambda x: x <> '') AS tokens
+       FROM td JOIN m_st st ON st.timestamp = td.quarter),
+dinc AS (SELECT DISTINCT t, doc_id, w FROM (SELECT t, doc_id, unnest(tokens) AS w FROM dc) WHERE w IN (SELECT w FROM m_needed)),
+dpairs AS (SELECT topic, t, wi, wj FROM m_tc_rows WHERE wi IN (SELECT w FROM m_needed) AND wj IN (SELECT w FROM m_needed)),
+dco AS (SELECT p.t, p.wi, p.wj, count(*) AS c_ij FROM (SELECT DISTINCT t, wi, wj FROM dpairs) p
+        JOIN dinc a ON a.t = p.t AND a.w = p.wi JOIN dinc b ON b.t = p.t AND b.doc_id = a.doc_id AND b.w = p.wj
+        GROUP BY p.t, p.wi, p.wj),
+dci AS (SELECT t, w, count(*) AS c FROM dinc GROUP BY t, w),
+dn AS (SELECT t, count(*) AS n FROM dc GROUP BY t),
+dsc AS (SELECT co.t, co.wi, co.wj,
+               CASE WHEN co.c_ij / dn.n >= 1.0 THEN 1.0
+                    ELSE ln((co.c_ij / dn.n) / ((a.c / dn.n) * (b.c / dn.n) + 1e-10)) / (-ln(co.c_ij / dn.n + 1e-10)) END AS score
+        FROM dco co JOIN dci a ON a.t = co.t AND a.w = co.wi JOIN dci b ON b.t = co.t AND b.w = co.wj JOIN dn ON dn.t = co.t),
+dcell AS (SELECT p.topic, p.t, avg(s.score) AS tc FROM dpairs p JOIN dsc s USING (t, wi, wj) GROUP BY p.topic, p.t)"""
+SQL["dynamic_coherence"] = f"""{DYN}
+SELECT g.t, g.topic, round(coalesce(c.tc, 0.0), 6) AS tc FROM m_grid g LEFT JOIN dcell c USING (topic, t) WHERE len(g.words) > 0"""
+SQL["dynamic_diversity"] = f"""{_C}
+dc AS (SELECT st.t, unnest(list_filter(regexp_split_to_array(td.processed, '\\s+'), lambda x: x <> '')) AS w
+       FROM td JOIN m_st st ON st.timestamp = td.quarter),
+sw AS (SELECT DISTINCT t, w FROM dc),
+gw2 AS (SELECT g.t, g.w FROM m_gw g WHERE EXISTS (SELECT 1 FROM sw WHERE sw.t = g.t AND sw.w = g.w))
+SELECT t, round(count(DISTINCT w) / count(*), 6) AS td FROM gw2 GROUP BY t"""

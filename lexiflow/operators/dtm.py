@@ -333,3 +333,38 @@ def integrated_profile(over_time: DataFrame, per_topic: DataFrame) -> DataFrame:
              .withColumn("ttq", F.coalesce("ttq", F.lit(0.0)))
              .withColumn("duration_days", F.datediff(F.col("end_date").cast("date"),
                                                      F.col("start_date").cast("date")).cast("bigint")))
+
+
+def dynamic_coherence(grid: DataFrame, corpus: DataFrame, vocab: DataFrame) -> DataFrame:
+    """NPMI coherence of each cell's words against the documents of the
+    same slice only; ``corpus`` is (doc_id, t, tokens). Returns (t, topic, tc)
+    for non-empty cells (0 when no pair co-occurs) — mean it for the score."""
+    needed = grid.select(F.explode("words").alias("w")).distinct().join(vocab.select("w"), "w", "left_semi")
+    inc = (corpus.select("t", "doc_id", F.explode(F.array_distinct("tokens")).alias("w"))
+                 .join(needed, "w", "left_semi"))
+    pairs = (tc_pair_rows(grid).join(needed.select(F.col("w").alias("wi")), "wi", "left_semi")
+                               .join(needed.select(F.col("w").alias("wj")), "wj", "left_semi"))
+    p = pairs.select("t", "wi", "wj").distinct()
+    a = inc.select("t", "doc_id", F.col("w").alias("wi"))
+    b = inc.select("t", "doc_id", F.col("w").alias("wj"))
+    co = (p.join(a, ["t", "wi"]).join(b, ["t", "doc_id", "wj"], "left_semi")
+           .groupBy("t", "wi", "wj").agg(F.count(F.lit(1)).alias("c_ij")))
+    ci = inc.groupBy("t", "w").agg(F.count(F.lit(1)).alias("c"))
+    nt = corpus.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    co = (co.join(ci.select("t", F.col("w").alias("wi"), F.col("c").alias("c_i")), ["t", "wi"])
+            .join(ci.select("t", F.col("w").alias("wj"), F.col("c").alias("c_j")), ["t", "wj"])
+            .join(nt, "t"))
+    pij, pi, pj = F.col("c_ij") / F.col("n"), F.col("c_i") / F.col("n"), F.col("c_j") / F.col("n")
+    s = F.when(pij >= 1.0, F.lit(1.0)).otherwise(F.log(pij / (pi * pj + EPS)) / (-F.log(pij + EPS)))
+    scores = co.select("t", "wi", "wj", s.alias("score"))
+    cell = pairs.join(scores, ["t", "wi", "wj"]).groupBy("topic", "t").agg(F.avg("score").alias("_tc"))
+    return (grid.filter(F.size("words") > 0).join(cell, ["topic", "t"], "left")
+                .select("t", "topic", F.coalesce("_tc", F.lit(0.0)).alias("tc")))
+
+
+def dynamic_diversity(grid: DataFrame, slice_words: DataFrame) -> DataFrame:
+    """Per slice, distinct / all topic words among the words that occur
+    in that slice (``slice_words``: (t, w) with positive frequency)."""
+    w = grid.filter(F.size("words") > 0).select("t", F.explode("words").alias("w"))
+    w = w.join(slice_words.select("t", "w"), ["t", "w"], "left_semi")
+    return w.groupBy("t").agg((F.count_distinct("w") / F.count(F.lit(1))).alias("td"))

@@ -262,3 +262,26 @@ def q_platform_comparison(spark, sf_dir):
         parts.append(D.dtm_metrics(grid, corpus, vocab, "D")["overall"].select(
             "metric", F.round("value", 4).alias(p.lower())))
     return parts[0].join(parts[1], "metric", "full")
+
+
+def _dynamic_inputs(spark, sf_dir):
+    docs = topic_docs(spark, sf_dir)
+    ot = M.topics_over_time(docs, "quarter", N_WORDS)
+    grid, _, vocab = dtm_inputs(spark, sf_dir, "C", docs=docs, ot=ot)
+    st = D.slice_times(ot)
+    corpus = (docs.join(st.withColumnRenamed("timestamp", "quarter"), "quarter")
+                  .select("doc_id", F.col("t").cast("int").alias("t"), X.tokenize_whitespace("processed").alias("tokens")))
+    return grid, corpus, vocab
+
+
+@register("dynamic_coherence")
+def q_dynamic_coherence(spark, sf_dir):
+    grid, corpus, vocab = _dynamic_inputs(spark, sf_dir)
+    return _r(D.dynamic_coherence(grid, corpus, vocab), "tc")
+
+
+@register("dynamic_diversity")
+def q_dynamic_diversity(spark, sf_dir):
+    grid, corpus, _ = _dynamic_inputs(spark, sf_dir)
+    sw = corpus.select("t", F.explode("tokens").alias("w")).distinct()
+    return _r(D.dynamic_diversity(grid, sw), "td")
