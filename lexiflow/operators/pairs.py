@@ -33,36 +33,31 @@ def line_tokens(text: Column) -> Column:
 
 def context_list(tokens: Column, window: int = 1) -> Column:
     """Array of (pos, side, center, context) in center order, the
-    neighbours at distances window..1 on the left then 1..window on the
-    right; empty contexts dropped.
-
-    Neighbour arrays are shifted slices aligned with the centres by
-    ``zip_with`` (which pads with nulls), and the per-position lists are
-    concatenated in order, so no sort is needed and every lambda sees only
-    its own arguments: the token array is evaluated a fixed number of times
-    per row however long the file is.
+    neighbours at distances 1..window on the left then the right; empty
+    contexts dropped.
+
+    Built from shifted slices combined with ``zip_with``: every lambda sees
+    only its own arguments, so the token array is evaluated a fixed number
+    of times per row however long the file is.
     """
     n = F.size(tokens)
-    null_tok = F.lit(None).cast("string")
-
-    def neighbour(side: int) -> Column:
-        d = abs(side)
-        if side > 0:
-            return F.slice(tokens, d + 1, F.greatest(n - d, F.lit(0)))
-        return F.concat(F.array_repeat(null_tok, F.least(F.lit(d), n)),
-                        F.slice(tokens, 1, F.greatest(n - d, F.lit(0))))
-
-    sides = [-d for d in range(window, 0, -1)] + list(range(1, window + 1))
-    acc = None
-    for side in sides:
-        pairs = F.zip_with(tokens, neighbour(side),
-                           lambda c, x: F.struct(F.lit(side).alias("side"), c.alias("center"),
-                                                          x.alias("context")))
-        acc = F.transform(pairs, lambda p_: F.array(p_)) if acc is None else \
-            F.zip_with(acc, pairs, lambda arr, p_: F.concat(arr, F.array(p_)))
-    with_pos = F.transform(acc, lambda arr, i: F.transform(arr, lambda p_: F.struct(
-        i.alias("pos"), p_["side"].alias("side"), p_["center"].alias("center"), p_["context"].alias("context"))))
-    return F.filter(F.flatten(with_pos), lambda s_: s_["context"].isNotNull() & (s_["context"] != ""))
+
+    def pairs(d, side):
+        m = F.greatest(n - d, F.lit(0))
+        head, tail = F.slice(tokens, 1, m), F.slice(tokens, d + 1, m)
+        if side > 0:   # centre p, right neighbour p + d
+            z = F.zip_with(head, tail, lambda c, x: F.struct(c.alias("center"), x.alias("context")))
+            off = 0
+        else:          # centre p + d, left neighbour p
+            z = F.zip_with(tail, head, lambda c, x: F.struct(c.alias("center"), x.alias("context")))
+            off = d
+        return F.transform(z, lambda s, i: F.struct((i + off).alias("pos"), F.lit(side).alias("side"),
+                                                    s["center"].alias("center"), s["context"].alias("context")))
+
+    parts = []
+    for d in range(1, window + 1):
+        parts += [pairs(d, -d), pairs(d, d)]
+    return F.filter(F.array_sort(F.concat(*parts)), lambda s: s["context"] != "")
 
 
 def _contexts(files: DataFrame, window: int, text_col: str, id_col: str) -> DataFrame:
@@ -73,9 +68,11 @@ def _contexts(files: DataFrame, window: int, text_col: str, id_col: str) -> Data
 def skipgram_pairs(files: DataFrame, window: int = 1, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, r, center_word, context_word): positive pairs, r = index in the file's context list."""
     x = _contexts(files, window, text_col, id_col)
-    return x.select("doc_id", F.posexplode("c").alias("r", "s")).select(
-        "doc_id", F.col("r").cast("bigint").alias("r"), F.col("s.center").alias("center_word"),
-        F.col("s.context").alias("context_word"))
+    # inline() of an indexed struct array: the generator reads the array once
+    # (posexplode of the computed array re-evaluated it per output row).
+    rows = F.transform("c", lambda s_, i: F.struct(i.cast("bigint").alias("r"), s_["center"].alias("center_word"),
+                                                   s_["context"].alias("context_word")))
+    return x.select("doc_id", F.inline(rows))
 
 
 def _permuted(ctx: Column, doc_id: Column, seed: int) -> Column:
@@ -97,11 +94,18 @@ def negative_samples(files: DataFrame, seeds: list[int], window: int = 1, text_c
     x = _contexts(files, window, text_col, id_col)
     ctx = F.transform("c", lambda s: s["context"])
     x = x.select("doc_id", "c", *[_permuted(ctx, F.col("doc_id"), s).alias(f"_n{k}") for k, s in enumerate(seeds)])
-    z = F.arrays_zip(F.col("c"), *[F.col(f"_n{k}") for k in range(len(seeds))])
-    y = x.select("doc_id", F.posexplode(z).alias("r", "z"))
-    return y.select("doc_id", F.col("r").cast("bigint").alias("r"), F.col("z.c.center").alias("center_word"),
-                    F.col("z.c.context").alias("context_word"),
-                    *[F.col("z")[f"_n{k}"].alias(f"neg_{k}") for k in range(len(seeds))])
+    # One struct per context row: the positive pair and its k negatives,
+    # emitted with inline() (the array is read once per file).
+    z = F.transform("c", lambda s_, i: F.struct(i.cast("bigint").alias("r"), s_["center"].alias("center_word"),
+                                                s_["context"].alias("context_word")))
+    for j in range(len(seeds)):
+        z = _with_neg(z, f"_n{j}", f"neg_{j}")
+    return x.select("doc_id", F.inline(z))
+
+
+def _with_neg(z: Column, src: str, name: str) -> Column:
+    """Attach the aligned element of array column ``src`` as field ``name``."""
+    return F.zip_with(z, F.col(src), lambda a, b: a.withField(name, b))
 
 
 def label_pairs(neg: DataFrame, k: int) -> DataFrame:

@@ -24,8 +24,10 @@ EN_STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from",
 def cleaned(spark, sf_dir):
     """Comments with the normalised letters-only text (P06) and its word tokens."""
     c = comments(spark, sf_dir)
+    # Read by several branches (term statistics, document count, bag of
+    # words): the regex cleaning runs once.
     return (c.withColumn("clean", X.clean_letters_normalized("comment", ALPHA))
-             .withColumn("tokens", X.tokenize_vectorizer("clean")))
+             .withColumn("tokens", X.tokenize_vectorizer("clean"))).persist()
 
 
 def _text(name, fn):

@@ -23,7 +23,8 @@ TOP_K = 5
 def text_docs(spark, sf_dir):
     """(doc_id, lang, tokens): lower-cased word tokens of each whole document."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return d.select("doc_id", "lang", X.tokenize_words("text").alias("tokens"))
+    # Tokens feed document frequency, the document count, lengths and tf.
+    return d.select("doc_id", "lang", X.tokenize_words("text").alias("tokens")).persist()
 
 
 def _df(spark, sf_dir):
