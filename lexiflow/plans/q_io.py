@@ -38,7 +38,8 @@ def q_scan_comments(spark, sf_dir):
 def q_scan_comments_lenient(spark, sf_dir):
     """The same file read line by line; rows broken by embedded newlines are kept as corrupt."""
     d = S.scan_comments_lenient(spark, _comments_csv(spark, sf_dir))
-    return d.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("_corrupt").isNotNull()).alias("n_corrupt"))
+    return d.agg(F.count(F.lit(1)).alias("n_rows"), F.count("doc_id").alias("n_with_id"),
+                 F.count_if(F.col("_corrupt").isNotNull()).alias("n_corrupt"))
 
 
 @register("scan_text_lines")

@@ -19,6 +19,10 @@ TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Timestamps are zone-free in the data model: period labels and event-time
+    # windows are computed in UTC whatever the caller's session zone is.
+    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     key = TEXT_TABLES.get(name)
     if key is not None:
