@@ -778,3 +778,24 @@ dc AS (SELECT st.t, unnest(list_filter(regexp_split_to_array(td.processed, '\\s+
 sw AS (SELECT DISTINCT t, w FROM dc),
 gw2 AS (SELECT g.t, g.w FROM m_gw g WHERE EXISTS (SELECT 1 FROM sw WHERE sw.t = g.t AND sw.w = g.w))
 SELECT t, round(count(DISTINCT w) / count(*), 6) AS td FROM gw2 GROUP BY t"""
+
+
+SQL["platform_comparison"] = f"""WITH {TDOCS},
+tdy AS (SELECT * FROM td WHERE platform = 'YouTube'), tdt AS (SELECT * FROM td WHERE platform = 'Telegram'),
+{dtm_ctes('D', src='tdy', p='y_')}, {dtm_ctes('D', src='tdt', p='t_')}
+SELECT coalesce(y.metric, t.metric) AS metric, round(y.value, 4) AS youtube, round(t.value, 4) AS telegram
+FROM y_overall y FULL OUTER JOIN t_overall t ON y.metric = t.metric"""
+
+SQL["combined_report"] = f"""WITH {TDOCS}, {ctfidf_ctes('td', 'quarter', 'q_')}, {dtm_ctes('C', ot='q_ot')},
+ov AS (SELECT max(value) FILTER (WHERE metric = 'TTC') AS overall_ttc, max(value) FILTER (WHERE metric = 'TTS') AS overall_tts,
+              max(value) FILTER (WHERE metric = 'TTQ') AS overall_ttq, max(value) FILTER (WHERE metric = 'TC') AS overall_tc,
+              max(value) FILTER (WHERE metric = 'TD') AS overall_td, max(value) FILTER (WHERE metric = 'TQ') AS overall_tq,
+              max(value) FILTER (WHERE metric = 'DTQ') AS overall_dtq FROM m_overall)
+SELECT o.topic, o.timestamp, array_to_string(o.words, ', ') AS words, o.frequency,
+       round(tm.tc, 6) AS tc, round(tm.td, 6) AS td, round(tm.tq, 6) AS tq, round(tp.ttq, 6) AS ttq,
+       round(tt.ttc, 6) AS ttc, round(tt.tts, 6) AS tts,
+       round(ov.overall_ttc, 6) AS overall_ttc, round(ov.overall_tts, 6) AS overall_tts, round(ov.overall_ttq, 6) AS overall_ttq,
+       round(ov.overall_tc, 6) AS overall_tc, round(ov.overall_td, 6) AS overall_td, round(ov.overall_tq, 6) AS overall_tq,
+       round(ov.overall_dtq, 6) AS overall_dtq
+FROM q_ot o JOIN m_st st USING (timestamp) LEFT JOIN m_time tm ON tm.t = st.t LEFT JOIN m_topic tp ON tp.topic = o.topic
+LEFT JOIN m_topic_time tt ON tt.topic = o.topic AND tt.t = st.t CROSS JOIN ov"""
