@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiflow.llm import mixing, packing, quality, simhash, toxicity
+from lexiflow.llm import html, licenses, mixing, packing, quality, simhash, toxicity
 from lexiflow.llm.common import read
 
 QUERIES: dict = {}
@@ -20,6 +20,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op3_license_scan")
+def op3(spark, sf_dir):
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 @register("op4_best_fit_packing")
 def op4(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))
@@ -36,6 +41,11 @@ def op7(spark, sf_dir):
     return toxicity.toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@register("op8_html_extraction")
+def op8(spark, sf_dir):
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
 @register("op9_quality_rules")
 def op9(spark, sf_dir):
     return quality.quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
