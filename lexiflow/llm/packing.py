@@ -62,7 +62,7 @@ def encode_whole(tokenizer, texts: list) -> list:
     chunks = [_split(t) for t in texts]
     if len(_CHUNK_IDS) > CACHE:
         _CHUNK_IDS.clear()
-    new = list({c for cs in chunks for c in cs} - _CHUNK_IDS.keys())
+    new = [c for c in {c for cs in chunks for c in cs} if c not in _CHUNK_IDS]
     for c, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
         _CHUNK_IDS[c] = np.array(e.ids, "<u4").tobytes()
     return [b"".join([_CHUNK_IDS[c] for c in cs]) for cs in chunks]
