@@ -2,11 +2,10 @@
 
 P(grade > k) = sigmoid(w . x - theta_k): one weight vector is shared by all ordered
 thresholds. Features are hashed lower-case words, 1 + log(count). Grades: 0 for
-documents labelled clean; labelled toxic ones are 1 or 2 by whether their share
-of marker words (those that set the toxic sample apart) exceeds the median.
+documents labelled clean; labelled toxic ones are 1 or 2 by whether the number of
+their distinct marker words (those that set the toxic sample apart) exceeds the median.
 The model is fitted on a bounded sample of labelled documents (``SAMPLE``); only
-words that tell the classes apart in it carry weight, so the length of a text adds
-no noise. Scoring reads every whole text.
+marker words carry weight, so the length of a text adds no noise. Scoring reads every whole text.
 
 Defined results: null or empty text has no features, and its severity is that of
 the thresholds alone; without two label classes every severity is 0 and nothing is
@@ -29,10 +28,11 @@ from lexiflow.llm.common import bounded_sample
 
 SAMPLE = 6000          # labelled documents the model is fitted on, at most
 BITS = 20              # hashed feature space
-MIN_Z = 5.0            # a word carries weight if it sets the classes apart by so many deviations
+MIN_Z, MIN_SEEN, MIN_RATIO = 3.0, 4, 4.0   # a word carries weight if it sets the toxic sample apart by so many
+                       # deviations, in so many toxic documents, and is so many times as common there
 GRADES = 3
-STEPS, STEP, L2 = 400, 0.1, 1e-3
-REJECT = 0.5           # P(grade > 0) from which a document is rejected
+STEPS, STEP, L2 = 1200, 0.1, 1e-4
+REJECT = 0.5           # P(grade > 0), classes weighing alike, from which a document is rejected
 _WORD = re.compile(r"\w+")
 
 
@@ -61,7 +61,7 @@ def fit_ordinal(docs, toxic: np.ndarray):
             seen1[ids] += 1
     p, q = (seen1 + 0.5) / (n1 + 1), (seen - seen1 + 0.5) / (n - n1 + 1)
     z = (p - q) / np.sqrt(np.maximum(1e-12, p * (1 - p) / n1 + q * (1 - q) / (n - n1)))
-    chosen = np.nonzero((np.abs(z) >= MIN_Z) & (np.abs(np.log(p / q)) >= 1.0))[0]
+    chosen = np.nonzero((z >= MIN_Z) & (seen1 >= MIN_SEEN) & (p >= MIN_RATIO * q))[0]
     place = {int(f): k for k, f in enumerate(chosen)}
     row, col, val, marks = [], [], [], np.zeros(n)
     for i, (ids, counts) in enumerate(docs):
@@ -69,22 +69,22 @@ def fit_ordinal(docs, toxic: np.ndarray):
             k = place.get(f)
             if k is not None:
                 row.append(i), col.append(k), val.append(1 + np.log(c))
-                marks[i] += c * (z[f] > 0)
-        marks[i] /= max(1, sum(counts))
+                marks[i] += 1
     row, col, val = np.array(row, int), np.array(col, int), np.array(val, float)
     cut = np.median(marks[toxic == 1])
     grade = np.where(toxic == 1, 1 + (marks > cut), 0)
     above = np.stack([grade > k for k in range(GRADES - 1)], axis=1).astype(float)
+    share = np.where(toxic == 1, 0.5 / n1, 0.5 / (n - n1))      # both classes weigh alike
     w, theta = np.zeros(len(chosen)), np.array([1.0, 2.0])
     m, v = np.zeros(len(w) + GRADES - 1), np.zeros(len(w) + GRADES - 1)
     for t in range(1, STEPS + 1):
         s = np.bincount(row, val * w[col], n) if len(row) else np.zeros(n)
-        err = (_sigmoid(s[:, None] - theta) - above) / n
+        err = (_sigmoid(s[:, None] - theta) - above) * share[:, None]
         gw = np.bincount(col, val * err.sum(axis=1)[row], len(w)) if len(row) else np.zeros(len(w))
         g = np.concatenate([gw + L2 * w / len(theta), -err.sum(axis=0)])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         d = STEP * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
-        w, theta = w - d[:len(w)], np.sort(theta - d[len(w):])
+        w, theta = np.maximum(0.0, w - d[:len(w)]), np.sort(theta - d[len(w):])   # markers only ever add
     return {"w": {int(f): float(x) for f, x in zip(chosen, w)}, "theta": theta}
 
 
