@@ -431,13 +431,13 @@ def dtm_ctes(variant, src="td", p="m_", ot=None):
 
 
 DESC = {
-    "TTC": "Temporal Topic Coherence - coherence between consecutive time periods",
-    "TTS": "Temporal Topic Smoothness - smoothness of topic evolution",
-    "TTQ": "Temporal Topic Quality - combined temporal coherence and smoothness",
-    "TC": "Topic Coherence - coherence within time periods",
-    "TD": "Topic Diversity - diversity of topics within time periods",
-    "TQ": "Topic Quality - combined coherence and diversity",
-    "DTQ": "Dynamic Topic Quality - overall quality metric",
+    "TTC": "Temporal Topic Coherence - semantic consistency over time",
+    "TTS": "Temporal Topic Smoothness - smooth evolution over time",
+    "TTQ": "Temporal Topic Quality - TTC × TTS",
+    "TC": "Topic Coherence - semantic coherence per time slice",
+    "TD": "Topic Diversity - topic diversity per time slice",
+    "TQ": "Topic Quality - TC × TD",
+    "DTQ": "Dynamic Topic Quality - overall DTM quality measure",
 }
 DESC_CASE = "CASE metric " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DESC.items()) + " END"
 
@@ -735,11 +735,11 @@ SQL["quality_bands"] = f"""{_A},
 v AS (SELECT metric, value FROM m_overall)
 SELECT metric, round(value, 6) AS value,
        CASE metric WHEN 'DTQ' THEN CASE WHEN value > 0.7 THEN 'Excellent' WHEN value > 0.5 THEN 'Good'
-                                        WHEN value > 0.3 THEN 'Fair' ELSE 'Poor' END
-                   WHEN 'TTC' THEN CASE WHEN value > 0.1 THEN 'High' WHEN value > 0.05 THEN 'Moderate' ELSE 'Low' END
-                   WHEN 'TTS' THEN CASE WHEN value > 0.5 THEN 'High' WHEN value > 0.3 THEN 'Moderate' ELSE 'Low' END
+                                        WHEN value > 0.3 THEN 'Moderate' ELSE 'Poor' END
+                   WHEN 'TTC' THEN CASE WHEN value > 0.1 THEN 'High' WHEN value > 0.05 THEN 'Medium' ELSE 'Low' END
+                   WHEN 'TTS' THEN CASE WHEN value > 0.5 THEN 'High' WHEN value > 0.3 THEN 'Medium' ELSE 'Low' END
                    WHEN 'TTQ' THEN CASE WHEN value > 0.5 THEN 'Excellent' WHEN value > 0.3 THEN 'Good'
-                                        WHEN value > 0.1 THEN 'Fair' ELSE 'Poor' END END AS band
+                                        WHEN value > 0.1 THEN 'Moderate' ELSE 'Poor' END END AS band
 FROM v
 UNION ALL SELECT 'advice_TTC', round(value, 6), 'Consider improving topic coherence across time' FROM v
           WHERE metric = 'TTC' AND value < 0.05

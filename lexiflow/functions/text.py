@@ -165,5 +165,5 @@ def parse_topic_words(x, n_words: int = 10, strip_prefix: str | None = None) ->
     if strip_prefix:
         plen = len(strip_prefix)
         words = F.transform(words, lambda w: F.when(w.startswith(strip_prefix),
-                                                    F.substring(w, plen + 1, 1 << 30)).otherwise(w))
+                                                    w.substr(F.lit(plen + 1), F.length(w))).otherwise(w))
     return F.slice(F.filter(words, lambda w: w != ""), 1, n_words)

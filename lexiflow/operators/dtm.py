@@ -30,13 +30,13 @@ EPS = 1e-10
 
 # Metric descriptions reported with the overall table.
 DESCRIPTIONS = {
-    "TTC": "Temporal Topic Coherence - coherence between consecutive time periods",
-    "TTS": "Temporal Topic Smoothness - smoothness of topic evolution",
-    "TTQ": "Temporal Topic Quality - combined temporal coherence and smoothness",
-    "TC": "Topic Coherence - coherence within time periods",
-    "TD": "Topic Diversity - diversity of topics within time periods",
-    "TQ": "Topic Quality - combined coherence and diversity",
-    "DTQ": "Dynamic Topic Quality - overall quality metric",
+    "TTC": "Temporal Topic Coherence - semantic consistency over time",
+    "TTS": "Temporal Topic Smoothness - smooth evolution over time",
+    "TTQ": "Temporal Topic Quality - TTC × TTS",
+    "TC": "Topic Coherence - semantic coherence per time slice",
+    "TD": "Topic Diversity - topic diversity per time slice",
+    "TQ": "Topic Quality - TC × TD",
+    "DTQ": "Dynamic Topic Quality - overall DTM quality measure",
 }
 
 
@@ -62,11 +62,11 @@ def _empty():
 
 # ------------------------------------------------------------------ selection
 
-def select_topics_by_docs(docs: DataFrame, n: int = 30, topic_col: str = "topic") -> DataFrame:
-    """Top ``n`` topics by document count, outliers (-1) excluded."""
-    return (docs.filter(F.col(topic_col) != -1).groupBy(F.col(topic_col).alias("topic"))
-                .agg(F.count(F.lit(1)).alias("n_docs"))
-                .orderBy(F.desc("n_docs"), F.asc("topic")).limit(n))
+def select_topics_by_docs(docs: DataFrame, n: int | None = 30, topic_col: str = "topic") -> DataFrame:
+    """Top ``n`` topics by document count (all with ``n=None``), outliers (-1) excluded."""
+    top = (docs.filter(F.col(topic_col) != -1).groupBy(F.col(topic_col).alias("topic"))
+                .agg(F.count(F.lit(1)).alias("n_docs")))
+    return top if n is None else top.orderBy(F.desc("n_docs"), F.asc("topic")).limit(n)
 
 
 def select_topics_by_frequency(over_time: DataFrame, n: int = 30) -> DataFrame:
@@ -87,7 +87,7 @@ def parse_words(words: Column, n_words: int, strip_prefix: str | None = None) ->
     w = F.transform(words, lambda x: F.trim(x))
     if strip_prefix:
         k = len(strip_prefix)
-        w = F.transform(w, lambda x: F.when(x.startswith(strip_prefix), F.substring(x, k + 1, 1 << 30))
+        w = F.transform(w, lambda x: F.when(x.startswith(strip_prefix), x.substr(F.lit(k + 1), F.length(x)))
                         .otherwise(x))
     return F.slice(F.filter(w, lambda x: x != ""), 1, n_words)
 
@@ -277,10 +277,10 @@ def temporal_evolution(topic_time: DataFrame) -> DataFrame:
 
 
 # Quality bands (label thresholds) of the report.
-DTQ_BANDS = [(0.7, "Excellent"), (0.5, "Good"), (0.3, "Fair")]
-TTC_BANDS = [(0.1, "High"), (0.05, "Moderate")]
-TTS_BANDS = [(0.5, "High"), (0.3, "Moderate")]
-TTQ_BANDS = [(0.5, "Excellent"), (0.3, "Good"), (0.1, "Fair")]
+DTQ_BANDS = [(0.7, "Excellent"), (0.5, "Good"), (0.3, "Moderate")]
+TTC_BANDS = [(0.1, "High"), (0.05, "Medium")]
+TTS_BANDS = [(0.5, "High"), (0.3, "Medium")]
+TTQ_BANDS = [(0.5, "Excellent"), (0.3, "Good"), (0.1, "Moderate")]
 
 
 def _band(x: Column, bands, default: str) -> Column:

@@ -103,7 +103,7 @@ def dtm_inputs(spark, sf_dir, variant: str, docs=None, ot=None):
     docs = docs if docs is not None else topic_docs(spark, sf_dir)
     if variant == "B":
         ot = ot if ot is not None else M.topics_over_time(docs, "month", N_WORDS)
-        topics = D.select_topics_by_docs(docs, 1 << 20)
+        topics = D.select_topics_by_docs(docs, None)
     else:
         ot = ot if ot is not None else M.topics_over_time(docs, "quarter", N_WORDS)
         topics = (D.select_topics_by_frequency(ot, TOP_TOPICS) if variant == "D"

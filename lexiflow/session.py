@@ -21,7 +21,6 @@ def build_session(master: str | None = None, app: str = "lexiflow",
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    cpus = int(os.environ.get("BENCH_CPUS", "8"))
     conf = {
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
@@ -30,9 +29,10 @@ def build_session(master: str | None = None, app: str = "lexiflow",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.shuffle.partitions": str(shuffle_partitions or cpus),
         "spark.driver.memory": os.environ.get("LEXIFLOW_DRIVER_MEMORY", "16g"),
     }
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -52,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not fallback and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
         import tempfile
         d = fallback or tempfile.mkdtemp(prefix="lexiflow-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)

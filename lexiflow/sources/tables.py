@@ -43,21 +43,22 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 def platform_of(source_col) -> F.Column:
     """`srcN` -> YouTube for even N, Telegram for odd N."""
-    n = F.substring(source_col, 4, 1 << 20).cast("int")
+    s = F.col(source_col) if isinstance(source_col, str) else source_col
+    n = s.substr(F.lit(4), F.length(s)).cast("int")
     return F.when(n % 2 == 0, F.lit("YouTube")).otherwise(F.lit("Telegram"))
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comment table: (doc_id, comment, published_at, language, language_score, platform).
 
-    The publication time comes from the order with the same key; every
-    document has one. The join is an equi-join on a unique key, so it
+    The publication time comes from the order with the same key and is null
+    where there is none. The join is an equi-join on a unique key, so it
     shuffles both sides once (or broadcasts orders when AQE finds it small).
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").alias("published_at"))
-    return (docs.join(orders, "doc_id")
+    return (docs.join(orders, "doc_id", "left")
             .select("doc_id",
                     F.col("text").alias("comment"),
                     "published_at",
