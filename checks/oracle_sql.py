@@ -13,7 +13,7 @@ comments AS (
          CAST((('0x' || substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 8))::BIGINT % 1000) AS DOUBLE) / 1000.0
            AS language_score,
          CASE WHEN CAST(substr(d.source, 4) AS INT) % 2 = 0 THEN 'YouTube' ELSE 'Telegram' END AS platform
-  FROM documents d JOIN orders o ON d.doc_id = o.o_orderkey
+  FROM documents d LEFT JOIN orders o ON d.doc_id = o.o_orderkey
 )"""
 
 SQL: dict[str, str] = {}
@@ -556,28 +556,27 @@ SQL["knn_l2"] = knn_sql("ev", "sum((e.x - q.x) * (e.x - q.x))", "ASC")
 SQL["knn_cosine"] = knn_sql("evn", "sum(e.x * q.x)", "DESC")
 SQL["farthest_k"] = knn_sql("ev", "sum((e.x - q.x) * (e.x - q.x))", "DESC")
 
-H42 = "('0x' || substr(md5('{salt}:' || CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT"
+H42 = "('0x' || substr(md5('{salt}:' || CAST(r AS VARCHAR)), 1, 8))::BIGINT"
 SQL["distance_correlation"] = f"""WITH {emb_ctes('bm25')},
-pa AS (SELECT doc_id AS i, row_number() OVER (ORDER BY {H42.format(salt='42a')}, doc_id) AS r FROM docs
-       ORDER BY {H42.format(salt='42a')}, doc_id LIMIT 1000),
-pb AS (SELECT doc_id AS j, row_number() OVER (ORDER BY {H42.format(salt='42b')}, doc_id) AS r FROM docs
-       ORDER BY {H42.format(salt='42b')}, doc_id LIMIT 1000),
-pairs AS (SELECT i, j FROM pa JOIN pb USING (r) WHERE i <> j),
+ids AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM docs),
+draws AS (SELECT r, {H42.format(salt='42a')} % n AS a, {H42.format(salt='42b')} % (n - 1) AS step, n
+          FROM range(1000) t(r), (SELECT count(*) AS n FROM docs)),
+pairs AS (SELECT r, x.doc_id AS i, y.doc_id AS j FROM draws d JOIN ids x ON x.pos = d.a JOIN ids y ON y.pos = (d.a + 1 + d.step) % d.n),
 nn AS (SELECT doc_id, sqrt(sum(w_cms * w_cms)) AS n1, sqrt(sum(w_cs * w_cs)) AS n2 FROM emb GROUP BY doc_id),
 embn AS (SELECT e.doc_id, e.bucket, e.w_cms, e.w_cs,
                 e.w_cms / CASE WHEN n.n1 = 0 THEN 1.0 ELSE n.n1 END AS u1,
                 e.w_cs / CASE WHEN n.n2 = 0 THEN 1.0 ELSE n.n2 END AS u2
          FROM emb e JOIN nn n USING (doc_id)),
-pe AS (SELECT p.i, p.j, e.bucket, e.w_cms AS a, e.w_cs AS b, e.u1, e.u2, 1 AS side FROM pairs p JOIN embn e ON e.doc_id = p.i
+pe AS (SELECT p.r, e.bucket, e.w_cms AS a, e.w_cs AS b, e.u1, e.u2, 1 AS side FROM pairs p JOIN embn e ON e.doc_id = p.i
        UNION ALL
-       SELECT p.i, p.j, e.bucket, -e.w_cms, -e.w_cs, e.u1, e.u2, 2 FROM pairs p JOIN embn e ON e.doc_id = p.j),
-bk AS (SELECT i, j, bucket, sum(a) AS da, sum(b) AS db,
+       SELECT p.r, e.bucket, -e.w_cms, -e.w_cs, e.u1, e.u2, 2 FROM pairs p JOIN embn e ON e.doc_id = p.j),
+bk AS (SELECT r, bucket, sum(a) AS da, sum(b) AS db,
               coalesce(max(u1) FILTER (WHERE side = 1), 0) * coalesce(max(u1) FILTER (WHERE side = 2), 0) AS p1,
               coalesce(max(u2) FILTER (WHERE side = 1), 0) * coalesce(max(u2) FILTER (WHERE side = 2), 0) AS p2
-       FROM pe GROUP BY i, j, bucket),
-dd AS (SELECT p.i, p.j, coalesce(sqrt(sum(da * da)), 0.0) AS l1, coalesce(sqrt(sum(db * db)), 0.0) AS l2,
+       FROM pe GROUP BY r, bucket),
+dd AS (SELECT p.r, coalesce(sqrt(sum(da * da)), 0.0) AS l1, coalesce(sqrt(sum(db * db)), 0.0) AS l2,
               1.0 - coalesce(sum(p1), 0.0) AS c1, 1.0 - coalesce(sum(p2), 0.0) AS c2
-       FROM pairs p LEFT JOIN bk USING (i, j) GROUP BY p.i, p.j)
+       FROM pairs p LEFT JOIN bk USING (r) GROUP BY p.r)
 SELECT 'l2' AS metric, round(corr(l1, l2), 6) AS corr FROM dd
 UNION ALL SELECT 'cosine', round(corr(c1, c2), 6) FROM dd"""
 
@@ -619,7 +618,10 @@ lp AS (SELECT doc_id, r, 0::BIGINT AS slot, center_word, context_word, 1 AS labe
 
 
 SQL["manifest_filter"] = f"WITH {MF} SELECT doc_id, length(text)::BIGINT AS n_chars FROM mf"
-SQL["file_batches"] = f"WITH {MF} SELECT doc_id, (doc_id // 100)::BIGINT AS batch_id FROM mf"
+SQL["file_batches"] = f"WITH {MF} SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 100)::BIGINT AS batch_id FROM mf"
+SQL["sink_parquet_batches"] = f"""WITH {MF}, {ctx_sql(1)},
+bt AS (SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 100)::BIGINT AS batch_id FROM mf)
+SELECT batch_id, count(*) AS n_pairs FROM pr JOIN bt USING (doc_id) GROUP BY batch_id"""
 SQL["skipgram_pairs"] = f"WITH {MF}, {ctx_sql(1)} SELECT doc_id, r::BIGINT AS r, center AS center_word, context AS context_word FROM pr"
 SQL["skipgram_window_n"] = f"WITH {MF}, {ctx_sql(2)} SELECT doc_id, r::BIGINT AS r, center AS center_word, context AS context_word FROM pr"
 SQL["negative_samples"] = f"WITH {MF}, {ctx_sql(1)}, {neg_sql()} SELECT * FROM neg"
@@ -699,7 +701,10 @@ SQL["scan_text_documents"] = """SELECT doc_id, (strlen(text) + 1)::BIGINT AS siz
 SQL["scan_jsonlines"] = """SELECT CAST(l.quality AS VARCHAR) AS label, count(*) AS n
 FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1"""
 SQL["persist_sketch"] = SQL["cms_query"]
-SQL["persist_embeddings"] = f"WITH {TEXTDOCS} SELECT doc_id, len(tokens)::BIGINT AS dl FROM docs"
+SQL["persist_embeddings"] = f"""WITH {emb_ctes('bm25')}
+SELECT d.doc_id, 'document ' || d.doc_id AS name, round(coalesce(sqrt(sum(w_cms * w_cms)), 0.0), 6) AS norm_cms,
+       round(coalesce(sqrt(sum(w_cs * w_cs)), 0.0), 6) AS norm_cs
+FROM docs d LEFT JOIN emb e USING (doc_id) GROUP BY d.doc_id"""
 
 
 def _grams(src_cols, src):
@@ -714,7 +719,7 @@ langs AS (SELECT lang, count(*) AS n_docs FROM documents GROUP BY lang),
 tot AS (SELECT lang, sum(c_lg) AS t_l FROM tg GROUP BY lang),
 pr AS (SELECT l.lang, ln(n_docs / (SELECT count(*) FROM documents)) AS base,
               ln(t_l + (SELECT count(DISTINCT g) FROM tg)) AS lt FROM langs l JOIN tot USING (lang)),
-dq AS (SELECT conv_id * 1000 + turn AS doc_id,
+dq AS (SELECT conv_id || ':' || turn AS doc_id,
               ' ' || regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g') || ' ' AS t FROM conversations),
 dg AS (SELECT doc_id, g, count(*) AS c_g FROM {_grams('doc_id', 'dq')} GROUP BY doc_id, g),
 known AS (SELECT * FROM dg WHERE g IN (SELECT g FROM tg)),
@@ -727,7 +732,7 @@ sc AS (SELECT g.doc_id, g.lang, coalesce(nk.n_known, 0) AS n_known,
 sm AS (SELECT *, exp(score - max(score) OVER (PARTITION BY doc_id)) AS p FROM sc),
 cf AS (SELECT *, p / sum(p) OVER (PARTITION BY doc_id) AS conf,
               row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, lang) AS rk FROM sm)
-SELECT doc_id, CASE WHEN n_known = 0 THEN 'unknown' ELSE lang END AS language,
+SELECT CAST(split_part(doc_id, ':', 1) AS BIGINT) AS conv_id, CAST(split_part(doc_id, ':', 2) AS BIGINT) AS turn, CASE WHEN n_known = 0 THEN 'unknown' ELSE lang END AS language,
        CASE WHEN n_known = 0 THEN 0.0 ELSE round(conf, 6) END AS confidence FROM cf WHERE rk = 1"""
 
 _A = f"WITH {TDOCS}, {dtm_ctes('A')}"

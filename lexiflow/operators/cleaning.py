@@ -82,3 +82,17 @@ def stratified_split(df: DataFrame, strata_col: str, id_col: str, test_frac: flo
         "split", F.when(F.col("_cum") <= F.col("_k"), "test").otherwise("train"))
     cols = df.columns + ["split"]
     return edge_rows.select(*cols).unionByName(rest.select(*cols))
+
+
+def number_rows(df: DataFrame, id_col: str, width: int = 1 << 16) -> DataFrame:
+    """``df`` plus ``_n``: its place from 0 in the order of the distinct
+    integer ``id_col``. Ids are counted in ranges of ``width``; the prefix
+    sums run over the ranges and each range is numbered by itself, so no task
+    holds more than ``width`` ids."""
+    x = df.withColumn("_cell", F.floor(F.col(id_col) / F.lit(width)))
+    cells = x.groupBy("_cell").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("_cell", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    nth = F.row_number().over(Window.partitionBy("_cell").orderBy(id_col))
+    return (x.withColumn("_nth", nth).join(cells, "_cell")
+            .withColumn("_n", F.col("_start") + F.col("_nth") - 1).drop("_cell", "_nth", "_start"))

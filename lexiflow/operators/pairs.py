@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.functions.hashing import hash32
+from lexiflow.operators.cleaning import number_rows
 
 
 def file_batches(files: DataFrame, batch_size: int = 100, id_col: str = "doc_id") -> DataFrame:
-    """Batch number of each file, ``id div batch_size``."""
-    return files.withColumn("batch_id", F.floor(F.col(id_col) / F.lit(batch_size)).cast("bigint"))
+    """The listed files in id order, ``batch_size`` to a batch (the last may be smaller)."""
+    return (number_rows(files, id_col)
+            .withColumn("batch_id", F.floor(F.col("_n") / F.lit(batch_size)).cast("bigint")).drop("_n"))
 
 
 def manifest_filter(files: DataFrame, manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -7,11 +7,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from lexiflow.operators import embed as E
 from lexiflow.operators import sketch as K
 from lexiflow.operators import tokens as T
+from lexiflow.operators import vectors as N
 from lexiflow.plans.catalog import register
-from lexiflow.plans.q_vectors import CMS, text_docs
-from lexiflow.session import ensure_checkpoint_dir
+from lexiflow.plans.q_vectors import CMS, CS, DIM, text_docs
+from lexiflow.session import cut_lineage, ensure_checkpoint_dir
 from lexiflow.sources import files as S
 from lexiflow.sources.tables import comments, table
 
@@ -79,9 +81,10 @@ def q_sink_parquet_batches(spark, sf_dir):
     from lexiflow.operators import pairs as W
     from lexiflow.plans.q_pairs import manifest_files
     p = _scratch(spark, "batches")
-    pairs = W.file_batches(W.skipgram_pairs(manifest_files(spark, sf_dir), 1), 100)
+    files = manifest_files(spark, sf_dir)
+    pairs = W.skipgram_pairs(files, 1).join(W.file_batches(files.select("doc_id"), 100), "doc_id")
     S.sink_parquet_batches(pairs, p)
-    return spark.read.parquet(p).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_pairs"))
+    return spark.read.parquet(p).groupBy(F.col("batch_id").cast("bigint").alias("batch_id")).agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
 @register("persist_sketch")
@@ -97,7 +100,17 @@ def q_persist_sketch(spark, sf_dir):
 
 @register("persist_embeddings")
 def q_persist_embeddings(spark, sf_dir):
-    """Keyed parquet round trip of a derived table (document lengths)."""
+    """Both embedding matrices with document names, built once, then loaded."""
     p = _scratch(spark, "emb")
-    S.persist_table(T.doc_length(text_docs(spark, sf_dir)), p)
-    return S.load_table(spark, p)
+
+    def build():
+        docs = text_docs(spark, sf_dir)
+        e = cut_lineage(E.embed_dual(docs, CMS, CS, model="bm25", dim=DIM))
+        cms, cs = (E.with_empty_docs(E.to_dense(e, w, DIM), docs, DIM).select("doc_id", F.col("vector").alias(w))
+                   for w in ("w_cms", "w_cs"))
+        return cms.join(cs, "doc_id").withColumn("name", F.concat(F.lit("document "), F.col("doc_id")))
+
+    S.load_or_build(spark, p, build)
+    m = S.load_or_build(spark, p, build)
+    return m.select("doc_id", "name", F.round(N.l2_norm(F.col("w_cms")), 6).alias("norm_cms"),
+                    F.round(N.l2_norm(F.col("w_cs")), 6).alias("norm_cs"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml.clustering import LocalLDAModel
 from pyspark.sql import functions as F
 
 from lexiflow.functions import text as X
@@ -15,6 +18,7 @@ from lexiflow.session import ensure_checkpoint_dir
 from lexiflow.sources.tables import documents_with_topics, table, vectors
 
 K_TOPICS = 10
+K_LDA = 20
 
 
 def _labels(spark, sf_dir):
@@ -29,7 +33,7 @@ def q_assign_topics(spark, sf_dir):
 
 def _lda(spark, sf_dir, docs=None):
     docs = docs if docs is not None else topic_docs(spark, sf_dir)
-    return ML.fit_lda(docs.select("doc_id", "tokens"), k=K_TOPICS, vocab_size=5000, min_df=2, max_df=0.9)
+    return ML.fit_lda(docs.select("doc_id", "tokens"), k=K_LDA, vocab_size=10000, min_df=5, max_df=0.9)
 
 
 @register("fit_topics")
@@ -51,8 +55,11 @@ def q_infer_topics(spark, sf_dir):
 @register("save_topic_model")
 def q_save_topic_model(spark, sf_dir):
     _, lda, _ = _lda(spark, sf_dir)
-    path = ML.save_model(lda, f"{ensure_checkpoint_dir(spark).rstrip('/')}/lexiflow-models/lda")
-    return spark.createDataFrame([(path, K_TOPICS)], "path string, k int")
+    path = ML.save_model(lda, f"{ensure_checkpoint_dir(spark).rstrip('/')}/lexiflow-models/lda-{uuid.uuid4().hex}")
+    # The reloaded model's topics, so that what was written is what is read.
+    return LocalLDAModel.load(path).describeTopics(N_WORDS).select(
+        F.col("topic").cast("int").alias("topic"), F.size("termIndices").alias("n_words"),
+        F.round(F.aggregate("termWeights", F.lit(0.0), lambda a, w: a + w), 6).alias("weight"))
 
 
 @register("topic_activity")

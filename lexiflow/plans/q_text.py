@@ -31,7 +31,7 @@ def cleaned(spark, sf_dir):
 
 
 def _text(name, fn):
-    register(name)(lambda spark, sf_dir: comments(spark, sf_dir).select(
+    register(name)(lambda spark, sf_dir: comments(spark, sf_dir, with_time=False).select(
         "doc_id", fn(F.col("comment")).alias("clean")))
 
 
@@ -82,7 +82,7 @@ def q_stratified_split(spark, sf_dir):
 
 def _tok(name, fn):
     def q(spark, sf_dir):
-        t = comments(spark, sf_dir).select("doc_id", fn(F.col("comment")).alias("tokens"))
+        t = comments(spark, sf_dir, with_time=False).select("doc_id", fn(F.col("comment")).alias("tokens"))
         return t.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"),
                         F.array_join("tokens", "|").alias("joined"))
     register(name)(q)

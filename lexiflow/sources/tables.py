@@ -48,14 +48,18 @@ def platform_of(source_col) -> F.Column:
     return F.when(n % 2 == 0, F.lit("YouTube")).otherwise(F.lit("Telegram"))
 
 
-def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def comments(spark: SparkSession, sf_dir: str, with_time: bool = True) -> DataFrame:
     """Comment table: (doc_id, comment, published_at, language, language_score, platform).
 
     The publication time comes from the order with the same key and is null
     where there is none. The join is an equi-join on a unique key, so it
     shuffles both sides once (or broadcasts orders when AQE finds it small).
+    ``with_time`` False leaves the time, and with it the join, out.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    if not with_time:
+        return docs.select("doc_id", F.col("text").alias("comment"), F.col("lang").alias("language"),
+                           score01(F.col("doc_id")).alias("language_score"), platform_of(F.col("source")).alias("platform"))
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").alias("published_at"))
     return (docs.join(orders, "doc_id", "left")
