@@ -142,7 +142,7 @@ def q_distance_correlation(spark, sf_dir):
     e = cut_lineage(_emb(spark, sf_dir, "bm25"))
     v1 = E.with_empty_docs(E.to_dense(e, "w_cms", DIM), docs, DIM)
     v2 = E.with_empty_docs(E.to_dense(e, "w_cs", DIM), docs, DIM)
-    pairs = N.sample_pairs(docs.select("doc_id"), 1000, 42)
+    pairs = cut_lineage(N.sample_pairs(docs.select("doc_id"), 1000, 42))   # 1000 rows, read by two metrics
     l2 = N.distance_correlation(v1, v2, pairs, "l2").select(F.lit("l2").alias("metric"), "corr")
     n1 = v1.withColumn("vector", N.normalize(F.col("vector")))
     n2 = v2.withColumn("vector", N.normalize(F.col("vector")))
