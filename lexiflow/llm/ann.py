@@ -2,10 +2,11 @@
 
 A vector is represented by its nearest pivots in order. It is posted in the inverted
 files of its ``POSTED`` nearest pivots; a query reads the files of its nearest pivots
-until they hold enough postings, ranks each file by the footrule distance between the
-permutations, and reranks the best by the exact inner product. For the pivots only,
-vectors are scaled to the largest norm and completed to the unit sphere, where nearness
-and inner product agree.
+until they hold enough postings and ranks these by the exact inner product. How many are
+enough is measured on every table: a bounded sample of the queries is searched by brute
+force, and as many postings are read as hold ``TARGET`` of the neighbours found so. For
+the pivots only, vectors are scaled to the largest norm and completed to the unit sphere,
+where nearness and inner product agree.
 
 Equal vectors form one class with its ``k + 1`` smallest ids, which is all that a
 result of ``k`` can use; equal queries are searched once. Large files are split into
@@ -29,9 +30,8 @@ from lexiflow.llm.common import bounded_sample, materialize
 MAX_PIVOTS = 4096
 POSTED = 3             # files that a vector is posted in
 ORDER = 16             # pivots in a permutation
-PROBES = 8             # files that a query reads at least
-ENOUGH = 1500          # postings that its files hold at least, where there are so many
-RERANK = 400           # postings of a file reranked exactly
+SAMPLE = 128           # queries searched by brute force to measure the effort
+TARGET = 0.96          # recall held on them
 BLOCK = 20000          # postings per block of a file
 
 
@@ -65,6 +65,36 @@ def footrule(perms: np.ndarray, query: np.ndarray, pivots: int) -> np.ndarray:
     return both + (n * n - n * (n - 1) // 2) - np.where(at < n, n - at, 0).sum(axis=1)
 
 
+def exact(classes: DataFrame, vectors: np.ndarray, k: int) -> list:
+    """Rows (q, v): the ``k`` nearest classes of each of a few vectors, by brute force."""
+    def run(batches):
+        top = [[] for _ in vectors]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            s = _matrix(b.column("v")) @ vectors.T
+            best = np.argpartition(-s, min(k, len(s)) - 1, axis=0)[:k]
+            cls, v = b.column("cls"), b.column("v")
+            for q, rows in enumerate(best.T):
+                found = [(-float(s[i, q]), cls[int(i)].as_py(), v[int(i)]) for i in rows if len(top[q]) < k or -s[i, q] <= top[q][-1][0]]
+                top[q] = sorted(top[q] + found, key=lambda t: t[:2])[:k]
+        yield pa.RecordBatch.from_arrays([pa.array([q for q, t in enumerate(top) for _ in t], pa.int32()),
+                                          *(pa.array([x[i] if i < 2 else x[i].as_py() for t in top for x in t], kind)
+                                            for i, kind in enumerate((pa.float64(), pa.int64(), pa.list_(pa.float64()))))], ["q", "neg", "cls", "v"])
+
+    nth = F.row_number().over(Window.partitionBy("q").orderBy("neg", "cls"))
+    near = classes.select("cls", "v").mapInArrow(run, "q int, neg double, cls long, v array<double>")
+    return near.withColumn("nth", nth).where(F.col("nth") <= k).collect()     # at most k rows for each vector
+
+
+def depths(near: np.ndarray, query: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Postings in the files that a query has read when it meets each neighbour; ``near`` has the files these are
+    posted in, ``query`` has all pivots, nearest first."""
+    place = np.empty(len(query), np.int64)
+    place[query] = np.arange(len(query))
+    return np.cumsum(sizes[query])[place[near].min(axis=1)]
+
+
 def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col="vec_id", vec_col="embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every query row, itself excluded."""
     v = F.col("v")
@@ -113,17 +143,30 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col="vec_id", vec_
         sizes[r["file"]] = r["count"]
     blocks = np.maximum(1, -(-sizes // BLOCK))
 
+    def nearest(x):
+        """All pivots in order for each query."""
+        return _permutations(np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))]), pivots, len(pivots))
+
+    enough = POSTED * (k + 1)       # so many postings are k + 1 classes at least
+    tried = bounded_sample(asked, "cls", SAMPLE).collect()
+    if tried:
+        tx = np.array([r.v for r in tried], np.float64)
+        true = [r for r in exact(classes, tx, k + 1) if r.cls != tried[r.q].cls]
+        if true:
+            tq, tp = nearest(tx), _permutations(_sphere(np.array([r.v for r in true]), norm), pivots, order)
+            of = np.array([r.q for r in true])
+            deep = np.concatenate([depths(tp[of == q, :posted], tq[q], sizes) for q in np.unique(of)])
+            enough = max(enough, int(np.quantile(deep, TARGET, method="higher")))
+
     def probe(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _matrix(b.column("v"))
-            x = np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))])
-            perm = _permutations(x, pivots, len(pivots))
+            perm = nearest(_matrix(b.column("v")))
             held = np.cumsum(sizes[perm], axis=1)
-            n = np.minimum(len(pivots), np.maximum(PROBES, (held < ENOUGH).sum(axis=1) + 1))
+            n = np.minimum(len(pivots), (held < enough).sum(axis=1) + 1)
             at, file, block = [], [], []
-            for i in range(len(x)):
+            for i in range(len(perm)):
                 for f in perm[i, :n[i]].tolist():
                     if sizes[f]:
                         c = int(blocks[f])
@@ -142,8 +185,6 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col="vec_id", vec_
             members = p.column("members").to_pylist()
             for cls, x, perm in zip(q.column("cls").to_pylist(), qv, qp):
                 near = np.arange(len(pv))
-                if len(near) > RERANK:
-                    near = np.argpartition(footrule(pp, perm, len(pivots)), RERANK)[:RERANK]
                 s = (pv[near] * x).sum(axis=1)
                 best = near[np.argsort(-s, kind="stable")[:k + 1]] if len(s) <= k + 1 else near[s >= np.partition(s, -(k + 1))[-(k + 1)]]
                 found = sorted((-float((pv[j] * x).sum()), i) for j in best for i in members[j])[:k + 1]

@@ -278,3 +278,41 @@ def test_pipeline(spark):
         assert stage(spark, d.limit(0), SF).columns == d.columns
     rows = corpus_pipeline.run(spark, SF)
     assert rows.count() > 0
+
+
+def drawn_vectors(n):
+    """``n`` distinct vectors drawn from the mean and covariance of each label of sf0.1; its own 2,000 for 2,000."""
+    import pyarrow.parquet as pq
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    x, label = np.array(t["embedding"].to_pylist()), np.array(t["label"])
+    if n > len(x):
+        rng = np.random.default_rng(0)
+        x = np.vstack([rng.multivariate_normal(x[label == c].mean(0), np.cov(x[label == c].T), n // 10) for c in np.unique(label)])
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def recall_of(spark, tmp_path, n, queries):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    x = drawn_vectors(n)
+    assert len(np.unique(x, axis=0)) == len(x) == n
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": list(x)}), f"{tmp_path}/e.parquet", row_group_size=n // 8)
+    e = spark.read.parquet(f"{tmp_path}/e.parquet")
+    got = defaultdict(set)
+    for r in ann.search(e, e.where(F.col("vec_id") % (n // queries) == 0)).collect():
+        got[r.query_id].add(r.vec_id)
+    x = x.astype(np.float64)
+    hits = total = 0
+    for q in range(0, n, n // queries):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert len(got[q]) == 20
+        hits += len(got[q] & set(np.argpartition(-s, 20)[:20].tolist()))
+        total += 20
+    print(f"recall of {total // 20} queries on {n} vectors: {hits / total:.4f}")
+    return hits / total
+
+
+@pytest.mark.parametrize("n", [2000, 20000, 100000])
+def test_ann_recall_holds_as_the_table_grows(spark, tmp_path, n):
+    assert recall_of(spark, tmp_path, n, 250) >= 0.9
