@@ -2,11 +2,15 @@
 
 A vector is represented by its nearest pivots in order. It is posted in the inverted
 files of its ``POSTED`` nearest pivots; a query reads the files of its nearest pivots
-until they hold enough postings and ranks these by the exact inner product. How many are
-enough is measured on every table: a bounded sample of the queries is searched by brute
-force, and as many postings are read as hold ``TARGET`` of the neighbours found so. For
-the pivots only, vectors are scaled to the largest norm and completed to the unit sphere,
-where nearness and inner product agree.
+until they hold enough postings, ranks these by the footrule distance between the
+permutations, and reranks the best by the exact inner product. The footrule ranking goes
+across files: a distance is worth the number of vectors of a bounded reference sample that
+are nearer to the query, and one such number is the limit for all queries and files. How
+many postings are enough and where the limit lies is measured on every table: a bounded
+sample of the queries is searched by brute force, and both are set to hold ``TARGET`` of
+the neighbours found so. The nearest files, up to ``k + 1`` classes, are reranked whole.
+For the pivots only, vectors are scaled to the largest norm and completed to the unit
+sphere, where nearness and inner product agree.
 
 Equal vectors form one class with its ``k + 1`` smallest ids, which is all that a
 result of ``k`` can use; equal queries are searched once. Large files are split into
@@ -29,7 +33,8 @@ from lexiflow.llm.common import bounded_sample, materialize
 
 MAX_PIVOTS = 4096
 POSTED = 3             # files that a vector is posted in
-ORDER = 16             # pivots in a permutation
+ORDER = 32             # pivots in a permutation
+REFERENCE = 1024       # vectors that footrule distances are compared with
 SAMPLE = 128           # queries searched by brute force to measure the effort
 TARGET = 0.96          # recall held on them
 BLOCK = 20000          # postings per block of a file
@@ -95,6 +100,17 @@ def depths(near: np.ndarray, query: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return np.cumsum(sizes[query])[place[near].min(axis=1)]
 
 
+def nearer(reference: np.ndarray, query: np.ndarray, pivots: int) -> np.ndarray:
+    """Footrule distances of the reference sample to a query, in order."""
+    return np.sort(footrule(reference, query, pivots))
+
+
+def measure(deep: np.ndarray, nearer_than: np.ndarray, worst: int) -> tuple[int, int]:
+    """(postings to read, limit of the footrule ranking) that together keep ``TARGET`` of the neighbours."""
+    enough = int(np.quantile(deep, (1 + TARGET) / 2, method="higher"))
+    return enough, int(np.quantile(np.where(deep <= enough, nearer_than, worst), TARGET, method="higher"))
+
+
 def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col="vec_id", vec_col="embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every query row, itself excluded."""
     v = F.col("v")
@@ -120,9 +136,10 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col="vec_id", vec_
         "v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).alias("norm")).first()
     m = int(min(MAX_PIVOTS, max(32, 4 * stats.n ** 0.5)))
     norm = stats.norm
-    chosen = bounded_sample(classes.select("cls", "v"), "cls", m).collect()
-    pivots = _sphere(np.array([r.v for r in chosen], np.float64), norm)
+    chosen = _sphere(np.array([r.v for r in bounded_sample(classes.select("cls", "v"), "cls", m + REFERENCE).collect()], np.float64), norm)
+    pivots = chosen[:m]
     order, posted = min(ORDER, len(pivots)), min(POSTED, len(pivots))
+    reference = _permutations(chosen[-REFERENCE:], pivots, order)
 
     def post(batches):
         for b in batches:
@@ -147,7 +164,8 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col="vec_id", vec_
         """All pivots in order for each query."""
         return _permutations(np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))]), pivots, len(pivots))
 
-    enough = POSTED * (k + 1)       # so many postings are k + 1 classes at least
+    whole = POSTED * (k + 1)        # so many postings are k + 1 classes at least
+    enough, limit = whole, len(reference)
     tried = bounded_sample(asked, "cls", SAMPLE).collect()
     if tried:
         tx = np.array([r.v for r in tried], np.float64)
@@ -156,7 +174,10 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col="vec_id", vec_
             tq, tp = nearest(tx), _permutations(_sphere(np.array([r.v for r in true]), norm), pivots, order)
             of = np.array([r.q for r in true])
             deep = np.concatenate([depths(tp[of == q, :posted], tq[q], sizes) for q in np.unique(of)])
-            enough = max(enough, int(np.quantile(deep, TARGET, method="higher")))
+            worth = np.concatenate([np.searchsorted(nearer(reference, tq[q, :order], len(pivots)), footrule(tp[of == q], tq[q, :order], len(pivots)))
+                                    for q in np.unique(of)])
+            enough, limit = measure(deep, worth, len(reference))
+            enough = max(enough, whole)
 
     def probe(batches):
         for b in batches:
@@ -165,40 +186,45 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col="vec_id", vec_
             perm = nearest(_matrix(b.column("v")))
             held = np.cumsum(sizes[perm], axis=1)
             n = np.minimum(len(pivots), (held < enough).sum(axis=1) + 1)
-            at, file, block = [], [], []
+            at, file, block, cut = [], [], [], []
             for i in range(len(perm)):
-                for f in perm[i, :n[i]].tolist():
+                most = int(nearer(reference, perm[i, :order], len(pivots))[limit]) if limit < len(reference) else ORDER * (ORDER + 1)
+                for j, f in enumerate(perm[i, :n[i]].tolist()):
                     if sizes[f]:
                         c = int(blocks[f])
                         at += [i] * c
                         file += [f] * c
                         block += range(c)
+                        cut += [ORDER * (ORDER + 1) if held[i, j] - sizes[f] < whole else most] * c
             t = b.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([t.column("cls"), t.column("v"), pa.array(list(perm[at, :order]), pa.list_(pa.int32())),
-                                              pa.array(file, pa.int32()), pa.array(block, pa.int32())], ["cls", "v", "perm", "file", "block"])
+                                              pa.array(file, pa.int32()), pa.array(block, pa.int32()), pa.array(cut, pa.int32())],
+                                             ["cls", "v", "perm", "file", "block", "cut"])
 
     def rank(q: pa.Table, p: pa.Table) -> pa.Table:
-        out = [[], [], []]
+        out = [], []
         if len(q) and len(p):
             pv, pp = (_matrix(p.column(c).combine_chunks(), t) for c, t in (("v", np.float64), ("perm", np.int32)))
             qv, qp = (_matrix(q.column(c).combine_chunks(), t) for c, t in (("v", np.float64), ("perm", np.int32)))
             members = p.column("members").to_pylist()
-            for cls, x, perm in zip(q.column("cls").to_pylist(), qv, qp):
-                near = np.arange(len(pv))
+            for cls, x, perm, cut in zip(q.column("cls").to_pylist(), qv, qp, q.column("cut").to_pylist()):
+                near = np.flatnonzero(footrule(pp, perm, len(pivots)) <= cut)
+                if not len(near):
+                    continue
                 s = (pv[near] * x).sum(axis=1)
-                best = near[np.argsort(-s, kind="stable")[:k + 1]] if len(s) <= k + 1 else near[s >= np.partition(s, -(k + 1))[-(k + 1)]]
-                found = sorted((-float((pv[j] * x).sum()), i) for j in best for i in members[j])[:k + 1]
-                out[0] += [cls] * len(found)
-                out[1] += [f[0] for f in found]
-                out[2] += [f[1] for f in found]
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.int64())], ["cls", "neg", "vec_id"])
+                best = near if len(s) <= k + 1 else near[s >= np.partition(s, -(k + 1))[-(k + 1)]]
+                out[0].append(cls)
+                out[1].append(sorted((-float((pv[j] * x).sum()), i) for j in best for i in members[j])[:k + 1])
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(hit))], ["cls", "hits"])
 
+    hit = pa.struct([("neg", pa.float64()), ("vec_id", pa.int64())])
     n_blocks = F.element_at(F.lit([int(x) for x in blocks]), F.col("file") + 1)
     shelved = postings.withColumn("block", F.pmod(F.xxhash64("cls"), n_blocks).cast("int")) if blocks.max() > 1 else postings.withColumn("block", F.lit(0))
-    probes = asked.mapInArrow(probe, f"cls long, v {kind}, perm array<int>, file int, block int")
-    found = probes.groupBy("file", "block").cogroup(shelved.groupBy("file", "block")).applyInArrow(rank, "cls long, neg double, vec_id long")
-    # at most (k + 1) rows per file read
-    best = found.groupBy("cls").agg(F.slice(F.sort_array(F.collect_set(F.struct("neg", "vec_id"))), 1, k + 1).alias("best"))
+    probes = asked.mapInArrow(probe, f"cls long, v {kind}, perm array<int>, file int, block int, cut int")
+    found = probes.groupBy("file", "block").cogroup(shelved.groupBy("file", "block")).applyInArrow(rank, "cls long, hits array<struct<neg: double, vec_id: bigint>>")
+    # one row of at most k + 1 hits per file read; a hit comes from POSTED files at most
+    first = F.slice(F.sort_array(F.flatten(F.collect_list("hits"))), 1, POSTED * (k + 1))
+    best = found.groupBy("cls").agg(F.slice(F.array_distinct(first), 1, k + 1).alias("best"))
     best = materialize(best, "ann-best")
     mine = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("id")), 1, k)
     return (own.join(best, "cls").select(F.col("id").alias("query_id"), F.posexplode(mine).alias("pos", "hit"))

@@ -316,3 +316,15 @@ def recall_of(spark, tmp_path, n, queries):
 @pytest.mark.parametrize("n", [2000, 20000, 100000])
 def test_ann_recall_holds_as_the_table_grows(spark, tmp_path, n):
     assert recall_of(spark, tmp_path, n, 250) >= 0.9
+
+
+def test_ann_footrule_ranks_small_files_across_the_query(spark, tmp_path, monkeypatch):
+    found, real = [], ann.measure
+    monkeypatch.setattr(ann, "measure", lambda *a: found.append(real(*a)) or found[-1], raising=False)
+    assert recall_of(spark, tmp_path, 20000, 50) >= 0.9
+    assert found[0][0] < 0.8 * 20000 * ann.POSTED and 0 < found[0][1] < 0.5 * ann.REFERENCE      # files hold 106 postings in the mean
+    monkeypatch.setattr(ann, "measure", lambda deep, near, worst: (20000 * ann.POSTED, worst))
+    assert recall_of(spark, tmp_path, 20000, 50) == 1
+    monkeypatch.setattr(ann, "measure", lambda deep, near, worst: (20000 * ann.POSTED, 0))
+    assert recall_of(spark, tmp_path, 20000, 50) < 0.9
+    print(found)
