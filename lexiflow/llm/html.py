@@ -6,6 +6,10 @@ more are the site's template and are deleted. What pages never share (a menu or
 advert of one page) goes by element name and class. Paragraphs and headings inside
 an article are never taken for template: a site may print one passage twice.
 
+The main part is what article and main elements hold, if any text is left in them;
+else it is the rest of the page. Articles in dropped parts and articles marked as
+comments or related pages are no main part; they are read only where nothing else is.
+
 Defined results: null html is empty and gives an empty text; unclosed and cut-off
 markup is read to its end; copies of one page count once in the template counts;
 repeated rows get equal results; an empty table gives an empty result.
@@ -35,6 +39,7 @@ TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li ul ol dl dt dd table
 MARKS = frozenset(("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent footer "
                    "header masthead menu modal nav navbar navigation newsletter notice notices popup promo related respond "
                    "share sharing sidebar social sponsor sponsored subscribe widget").split())
+COMMENTS = frozenset("comment comments related respond".split())
 _NAME = re.compile(r"[a-z]+")
 
 
@@ -45,8 +50,8 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.text = []        # (text or None for a block boundary, in main part, dropped)
         self.subtrees = []    # (hash, first segment, end segment)
-        self.stack = []       # [tag, hash state, first segment, main, dropped, chars, in article]
-        self.main_seen = False
+        self.stack = []       # [tag, hash state, first segment, main, dropped, chars, commenting]
+        self.comments = []    # (first segment, end segment) of reader comments and related pages
 
     def _top(self, i, default):
         return self.stack[-1][i] if self.stack else default
@@ -60,12 +65,12 @@ class _Page(HTMLParser):
             return
         a = dict(attrs)
         label = f"{a.get('class') or ''} {a.get('id') or ''} {a.get('role') or ''}".lower()
-        main = tag in ("article", "main") or self._top(3, False)
-        self.main_seen |= tag in ("article", "main")
+        commenting = tag == "article" and not COMMENTS.isdisjoint(label.split())
+        main = tag in ("article", "main") and not commenting or self._top(3, False)
         dropped = (self._top(4, False) or tag in DROPPED or (tag == "header" and not main)
                    or (tag not in ("html", "body", "article", "main") and not MARKS.isdisjoint(_NAME.findall(label))) or "hidden" in a)
         state = xxhash.xxh64(f"<{tag} {a.get('class') or ''}>".encode("utf-8", "replace"))
-        self.stack.append([tag, state, len(self.text), main, dropped, 0, main])
+        self.stack.append([tag, state, len(self.text), main, dropped, 0, commenting])
 
     def handle_data(self, data):
         self.text.append((data, self._top(3, False), self._top(4, False)))
@@ -75,12 +80,14 @@ class _Page(HTMLParser):
             self.stack[-1][5] += len(words)
 
     def _pop(self):
-        tag, state, first, main, _, chars, _ = self.stack.pop()
+        tag, state, first, main, _, chars, commenting = self.stack.pop()
         if self.stack:
             self.stack[-1][1].update(state.digest())
             self.stack[-1][5] += chars
         if chars and tag not in ("html", "body", "article", "main") and not (main and tag not in DROPPED and (tag in TEXTUAL or tag not in BLOCK)):
             self.subtrees.append((state.intdigest() - (1 << 63), first, len(self.text)))
+        if commenting:
+            self.comments.append((first, len(self.text)))
         if tag in BLOCK:
             self.text.append((None, main, False))
 
@@ -111,18 +118,28 @@ def parse(html: str | None) -> _Page:
 def main_text(html: str | None, template=frozenset()) -> str:
     """Main text of one page; ``template`` holds the subtree hashes to delete."""
     page = parse(html)
-    gone = [False] * (len(page.text) + 1)
+    gone = [False] * len(page.text)
     end = 0
     for _, a, b in sorted((s for s in page.subtrees if s[0] in template), key=lambda s: s[1]):
         for i in range(max(a, end), b):
             gone[i] = True
         end = max(end, b)
+    kept = [not (dropped or g) for (_, _, dropped), g in zip(page.text, gone)]
+    less = kept.copy()
+    for a, b in page.comments:
+        less[a:b] = [False] * (b - a)
+    return _joined(page.text, less) or _joined(page.text, kept)
+
+
+def _joined(text: list, kept: list[bool]) -> str:
+    """The kept text of the main part, or all that is kept where the main part has none."""
+    main_seen = any(k and main and data and not data.isspace() for (data, main, _), k in zip(text, kept))
     blocks, run = [], []
-    for i, (data, main, dropped) in enumerate(page.text):
+    for (data, main, _), k in zip(text, kept):
         if data is None:
             blocks.append("".join(run))
             run = []
-        elif not dropped and not gone[i] and (main or not page.main_seen):
+        elif k and (main or not main_seen):
             run.append(data)
     blocks.append("".join(run))
     return " ".join(x for x in (" ".join(b.split()) for b in blocks) if x)

@@ -328,3 +328,15 @@ def test_ann_footrule_ranks_small_files_across_the_query(spark, tmp_path, monkey
     monkeypatch.setattr(ann, "measure", lambda deep, near, worst: (20000 * ann.POSTED, 0))
     assert recall_of(spark, tmp_path, 20000, 50) < 0.9
     print(found)
+
+
+def test_html_main_part_is_where_the_text_is():
+    body = "<div><p>The body of this page.</p></div>"
+    for other in ("<aside><article><p>teaser</p></article></aside>", "<article class='comment'><p>a reader</p></article>", "<article> </article>",
+                  "<nav><main>menu</main></nav>", "<div hidden><article>draft</article></div>"):
+        assert html.main_text(body + other) == html.main_text(other + body) == "The body of this page."
+    assert html.main_text("<article><p>main</p><article class='comment'><p>a reader</p></article></article><p>rest") == "main"
+    assert html.main_text("<article class='related'>only this</article>") == "only this"
+    box = "<article><div class=x>same box</div></article>"
+    boxes = frozenset(s[0] for s in html.parse(box).subtrees)
+    assert html.main_text(box + body, boxes) == "The body of this page."
