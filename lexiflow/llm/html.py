@@ -10,6 +10,10 @@ The main part is what article and main elements hold, if any text is left in the
 else it is the rest of the page. Articles in dropped parts and articles marked as
 comments or related pages are no main part; they are read only where nothing else is.
 
+``MARKS`` are whole class names, ids and roles. An element with one of them is deleted
+unless it holds an article or main; inside the main part only with another sign: mostly
+links, a short block without a heading, or a container of comments.
+
 Defined results: null html is empty and gives an empty text; unclosed and cut-off
 markup is read to its end; copies of one page count once in the template counts;
 repeated rows get equal results; an empty table gives an empty result.
@@ -17,7 +21,6 @@ repeated rows get equal results; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -40,7 +43,9 @@ MARKS = frozenset(("ad ads advert adverts advertisement banner breadcrumb breadc
                    "header masthead menu modal nav navbar navigation newsletter notice notices popup promo related respond "
                    "share sharing sidebar social sponsor sponsored subscribe widget").split())
 COMMENTS = frozenset("comment comments related respond".split())
-_NAME = re.compile(r"[a-z]+")
+CONTAINERS = frozenset("article div section ol ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+SHORT = 100            # characters of a short block
 
 
 class _Page(HTMLParser):
@@ -50,8 +55,9 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.text = []        # (text or None for a block boundary, in main part, dropped)
         self.subtrees = []    # (hash, first segment, end segment)
-        self.stack = []       # [tag, hash state, first segment, main, dropped, chars, commenting]
-        self.comments = []    # (first segment, end segment) of reader comments and related pages
+        self.stack = []       # [tag, hash state, first segment, main, dropped, chars, names, holds, heading, link, linked]
+        self.marked = []      # (first segment, end segment) of what its marks delete
+        self.comments = []    # the same of reader comments and related pages
 
     def _top(self, i, default):
         return self.stack[-1][i] if self.stack else default
@@ -65,12 +71,12 @@ class _Page(HTMLParser):
             return
         a = dict(attrs)
         label = f"{a.get('class') or ''} {a.get('id') or ''} {a.get('role') or ''}".lower()
-        commenting = tag == "article" and not COMMENTS.isdisjoint(label.split())
+        names = MARKS.intersection(label.split()) if tag not in ("html", "body", "main") else ()
+        commenting = tag == "article" and not COMMENTS.isdisjoint(names)
         main = tag in ("article", "main") and not commenting or self._top(3, False)
-        dropped = (self._top(4, False) or tag in DROPPED or (tag == "header" and not main)
-                   or (tag not in ("html", "body", "article", "main") and not MARKS.isdisjoint(_NAME.findall(label))) or "hidden" in a)
+        dropped = self._top(4, False) or tag in DROPPED or (tag == "header" and not main) or "hidden" in a
         state = xxhash.xxh64(f"<{tag} {a.get('class') or ''}>".encode("utf-8", "replace"))
-        self.stack.append([tag, state, len(self.text), main, dropped, 0, commenting])
+        self.stack.append([tag, state, len(self.text), main, dropped, 0, names, False, tag in HEADINGS, tag == "a" or self._top(9, False), 0])
 
     def handle_data(self, data):
         self.text.append((data, self._top(3, False), self._top(4, False)))
@@ -78,16 +84,25 @@ class _Page(HTMLParser):
             words = " ".join(data.split())
             self.stack[-1][1].update(words.encode("utf-8", "replace"))
             self.stack[-1][5] += len(words)
+            self.stack[-1][10] += len(words) * self.stack[-1][9]
 
     def _pop(self):
-        tag, state, first, main, _, chars, commenting = self.stack.pop()
+        tag, state, first, main, dropped, chars, names, holds, heading, _, linked = self.stack.pop()
         if self.stack:
             self.stack[-1][1].update(state.digest())
             self.stack[-1][5] += chars
+            self.stack[-1][7] |= holds or (tag in ("article", "main") and main and not dropped and chars > 0)
+            self.stack[-1][8] |= heading
+            self.stack[-1][10] += linked
         if chars and tag not in ("html", "body", "article", "main") and not (main and tag not in DROPPED and (tag in TEXTUAL or tag not in BLOCK)):
             self.subtrees.append((state.intdigest() - (1 << 63), first, len(self.text)))
-        if commenting:
-            self.comments.append((first, len(self.text)))
+        if names:
+            commenting = tag in CONTAINERS and not COMMENTS.isdisjoint(names)
+            if commenting and (tag == "article" or holds):
+                self.comments.append((first, len(self.text)))
+            elif tag != "article" and not holds and (
+                    not main or commenting or 2 * linked > chars or (tag in BLOCK and not heading and chars <= SHORT)):
+                self.marked.append((first, len(self.text)))
         if tag in BLOCK:
             self.text.append((None, main, False))
 
@@ -124,6 +139,8 @@ def main_text(html: str | None, template=frozenset()) -> str:
         for i in range(max(a, end), b):
             gone[i] = True
         end = max(end, b)
+    for a, b in page.marked:
+        gone[a:b] = [True] * (b - a)
     kept = [not (dropped or g) for (_, _, dropped), g in zip(page.text, gone)]
     less = kept.copy()
     for a, b in page.comments:

@@ -340,3 +340,15 @@ def test_html_main_part_is_where_the_text_is():
     box = "<article><div class=x>same box</div></article>"
     boxes = frozenset(s[0] for s in html.parse(box).subtrees)
     assert html.main_text(box + body, boxes) == "The body of this page."
+
+
+def test_html_marks_are_whole_names_and_need_another_sign_in_the_article():
+    for name in ("layout has-sidebar", "no-sidebar", "sidebar", "widget nav"):
+        assert html.main_text(f"<div class='{name}'><article>the article</article></div>") == "the article"
+    page = ("<article><div class='article-header'><h1>T</h1></div><div class=header><h2>U</h2></div><p class='related-work'>work</p>"
+            "<p>a <span class='social'>social</span> b</p><section id='notice-of-appeal'>appeal</section><p class=notice>{}</p>{}</article>")
+    long = " ".join(["real words"] * 20)
+    away = ("<div class=ad>buy</div><div class='x share'>" + "<a href=/>share this</a> " * 20 + "</div><div class=comments><p>" + "bad " * 90
+            + "</p></div><ul class=comments><li><article>bad</article></ul>")
+    assert html.main_text(page.format(long, away)) == f"T U work a social b appeal {long}"
+    assert html.main_text("<div class='big sidebar'>menu</div><span id=social>s</span><p>body") == "body"
