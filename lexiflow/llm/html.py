@@ -2,7 +2,8 @@
 
 Every element subtree is hashed (tag, class, texts, child hashes). Spark counts, per
 host, the distinct pages that hold a subtree; subtrees on ``MIN_PAGES`` pages or
-more are the site's template and are deleted. What pages never share (a menu or an
+more, or on half of a smaller host's pages and ``FEWEST`` at least, are the site's
+template and are deleted. What pages never share (a menu or an
 advert of one page) goes by element name and class. Paragraphs and headings inside
 an article are never taken for template: a site may print one passage twice.
 
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from lexiflow.llm.common import materialize
 
 MIN_PAGES = 10
+FEWEST = 3
+PAGE = 0               # stands among the subtrees of a page for the page itself
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(("address article aside blockquote body br dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
                    "h5 h6 head header hr html li main nav ol option p pre section select summary table tbody td tfoot th thead title "
@@ -177,7 +180,7 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
         for b in batches:
             key, host, sub = [], [], []
             for k, h, t in zip(b.column("key"), b.column("host"), b.column("html")):
-                found = {s[0] for s in parse(t.as_py()).subtrees}
+                found = {s[0] for s in parse(t.as_py()).subtrees} | {PAGE}
                 key += [k.as_py()] * len(found)
                 host += [h.as_py()] * len(found)
                 sub += sorted(found)
@@ -185,7 +188,14 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
 
     held = materialize(pages.select(_page_key().alias("key"), _host().alias("host"), "html")
                        .mapInArrow(run, "key string, host string, subtree long").distinct(), "html-subtrees")
-    often = held.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("host", "subtree")
+    counts = held.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
+    enough = F.greatest(F.lit(FEWEST), F.ceil(F.col("n") / 2))
+    small = (counts.where((F.col("subtree") == PAGE) & (F.col("n") < 2 * min_pages))
+             .select("host", enough.alias("enough"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("part")))   # a large host's subtrees spread
+    shared = counts.where((F.col("subtree") != PAGE) & (F.col("n") >= min(FEWEST, min_pages)))
+    some = (shared.where(F.col("n") < min_pages).withColumn("part", F.pmod("subtree", F.lit(16)).cast("int")).join(small, ["host", "part"])
+            .where(F.col("n") >= F.col("enough")).select("host", "subtree"))
+    often = shared.where(F.col("n") >= min_pages).select("host", "subtree").unionByName(some)
     return held.join(often, ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("template"))
 
 

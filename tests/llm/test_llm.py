@@ -352,3 +352,13 @@ def test_html_marks_are_whole_names_and_need_another_sign_in_the_article():
             + "</p></div><ul class=comments><li><article>bad</article></ul>")
     assert html.main_text(page.format(long, away)) == f"T U work a social b appeal {long}"
     assert html.main_text("<div class='big sidebar'>menu</div><span id=social>s</span><p>body") == "body"
+
+
+def test_html_template_of_a_small_host(spark):
+    page = "<div class=top>boilerplate</div><div class=b>body {}</div>"
+    rows = [(i, f"http://h{n}.example/{i}", page.format(i)) for n in (2, 3, 9) for i in range(100 * n, 100 * n + n)]
+    rows += [(1000 + i, f"http://big.example/{i}", f"<div>{'twice' if i < 9 else 'own'} {i // 9 if i < 9 else i}</div><div>always</div>") for i in range(19)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n in (2, 3, 9):
+        assert all(got[i] == ("boilerplate " if n < 3 else "") + f"body {i}" for i in range(100 * n, 100 * n + n))
+    assert all(got[1000 + i] == ("twice 0" if i < 9 else f"own {i}") for i in range(19))
