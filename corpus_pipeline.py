@@ -2,7 +2,8 @@
 
 Toxicity, quality rules, SimHash near-dedup, mixing to target weights, packing.
 The last stages repeat documents and place them by fitted plans, which SQL cannot
-express, so ORACLE_SQL is None and tests hold the stages against brute force.
+express, so ORACLE_SQL is None. The operators have tests of their own (see README); the
+whole pipeline is not compared with brute force, only run for columns and rows.
 """
 
 from __future__ import annotations

@@ -362,3 +362,11 @@ def test_html_template_of_a_small_host(spark):
     for n in (2, 3, 9):
         assert all(got[i] == ("boilerplate " if n < 3 else "") + f"body {i}" for i in range(100 * n, 100 * n + n))
     assert all(got[1000 + i] == ("twice 0" if i < 9 else f"own {i}") for i in range(19))
+
+
+def test_readme_names_what_is_not_built():
+    import pathlib
+    import __spark_entry__
+    table = [x for x in (pathlib.Path(__spark_entry__.__file__).parent / "README.md").read_text().splitlines() if x.startswith("| ")]
+    for key, name in (("V05", "prepare_corpus"), ("S12", "persist_corpus")):
+        assert name in __spark_entry__.queries() or any(x.startswith(f"| {key} | not built") for x in table)
