@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiflow.functions.hashing import hash32
+from lexiflow.session import cut_lineage
 
 
 def filter_min_length(df: DataFrame, text_col: str, n: int) -> DataFrame:
@@ -61,9 +62,10 @@ def stratified_split(df: DataFrame, strata_col: str, id_col: str, test_frac: flo
     so the rank is never taken over the whole stratum in one task: hashes are
     cut into ``buckets`` ranges, counted per (stratum, range) with partial
     aggregation, and only the one range holding the cut-off is ranked row by
-    row. Its size is about n_stratum / buckets.
+    row. Its size is about n_stratum / buckets. Rows without a stratum form a
+    stratum of their own; rows without an id are hashed as the empty id.
     """
-    h = hash32(F.col(id_col).cast("string"), seed)
+    h = hash32(F.coalesce(F.col(id_col).cast("string"), F.lit("")), seed)
     x = df.withColumn("_h", h).withColumn("_b", F.floor(F.col("_h") * buckets / F.lit(2 ** 32)).cast("int"))
     cnt = x.groupBy(strata_col, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(strata_col).orderBy("_b")
@@ -72,7 +74,8 @@ def stratified_split(df: DataFrame, strata_col: str, id_col: str, test_frac: flo
               .withColumn("_k", F.round(F.col("_tot") * F.lit(test_frac)).cast("bigint"))
               .withColumn("_before", F.col("_cum") - F.col("_n"))
               .select(strata_col, "_b", "_k", "_before", "_cum"))
-    x = x.join(cnt, [strata_col, "_b"])
+    cnt = cnt.select(F.col(strata_col).alias("_stratum"), F.col("_b").alias("_range"), "_k", "_before", "_cum")
+    x = x.join(cnt, x[strata_col].eqNullSafe(cnt["_stratum"]) & x["_b"].eqNullSafe(cnt["_range"]))
     edge = (F.col("_before") < F.col("_k")) & (F.col("_k") < F.col("_cum"))
     # Rank only rows of the boundary range.
     rk = F.row_number().over(Window.partitionBy(strata_col, "_b").orderBy("_h", id_col))
@@ -84,15 +87,33 @@ def stratified_split(df: DataFrame, strata_col: str, id_col: str, test_frac: flo
     return edge_rows.select(*cols).unionByName(rest.select(*cols))
 
 
-def number_rows(df: DataFrame, id_col: str, width: int = 1 << 16) -> DataFrame:
-    """``df`` plus ``_n``: its place from 0 in the order of the distinct
-    integer ``id_col``. Ids are counted in ranges of ``width``; the prefix
-    sums run over the ranges and each range is numbered by itself, so no task
-    holds more than ``width`` ids."""
-    x = df.withColumn("_cell", F.floor(F.col(id_col) / F.lit(width)))
-    cells = x.groupBy("_cell").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("_cell", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    nth = F.row_number().over(Window.partitionBy("_cell").orderBy(id_col))
-    return (x.withColumn("_nth", nth).join(cells, "_cell")
-            .withColumn("_n", F.col("_start") + F.col("_nth") - 1).drop("_cell", "_nth", "_start"))
+def rank_rows(df: DataFrame, order: list, group: list | None = None, name: str = "_n") -> DataFrame:
+    """``df`` plus ``name``: each row's place from 0 in the order of the columns
+    ``order``, within its ``group`` if given (nulls first, null groups kept).
+
+    Rows are dealt to ranges of (group, order), so neither a large group nor a
+    dense run of ids is sorted in one task; rows that agree in all keys are
+    dealt by where they were read. Only one row per group and range is
+    prefix-summed.
+    """
+    group = group or []
+    at, part, first, size, before = ("_rank_" + c for c in ("at", "part", "first", "size", "before"))
+    keys = [*group, *order, at]
+    x = (df.withColumn(at, F.monotonically_increasing_id())
+           .repartitionByRange(*keys).sortWithinPartitions(*keys)
+           .withColumn(at, F.monotonically_increasing_id()))     # partition << 33 | place in it
+    x = cut_lineage(x.withColumn(part, F.shiftright(at, 33)))
+    runs = x.groupBy(*group, part).agg(F.min(at).alias(first), F.count(F.lit(1)).alias(size))
+    earlier = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn(before, F.coalesce(F.sum(size).over(earlier), F.lit(0)))
+    theirs = ["_rank_key" + str(i) for i in range(len(group))]
+    runs = runs.select(*[F.col(g).alias(t) for g, t in zip(group, theirs)], F.col(part).alias("_rank_range"), first, before)
+    same = F.col(part) == F.col("_rank_range")
+    for g, t in zip(group, theirs):
+        same = same & F.col(g).eqNullSafe(F.col(t))
+    return x.join(runs, same).select(*df.columns, (F.col(at) - F.col(first) + F.col(before)).alias(name))
+
+
+def number_rows(df: DataFrame, id_col: str) -> DataFrame:
+    """``df`` plus ``_n``: its place from 0 in the order of ``id_col`` (nulls first)."""
+    return rank_rows(df, [id_col])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lexiflow.operators import models as ML
 from lexiflow.operators import pairs as W
 from lexiflow.operators import vectors as N
-from lexiflow.operators.cleaning import number_rows
+from lexiflow.operators.cleaning import number_rows, rank_rows, stratified_split
 from lexiflow.sources import files as S
 from lexiflow.sources.tables import comments
 SMOKE = "/root/testdata/sf0.001"
@@ -33,6 +33,29 @@ def test_batches_hold_n_files(spark):
     assert {r.doc_id: r.batch_id for r in W.file_batches(f, 3).collect()} == {d: n // 3 for n, d in enumerate(ids)}
 
 
+def test_rank_rows_within_groups(spark):
+    rows = [(g, v, 1) for g in ("a", "b", None) for v in (None, 5, 5, -3, 1 << 60)] + [("hot", i % 7, i) for i in range(500)]
+    got = rank_rows(spark.createDataFrame(rows, "g string, v long, x int").repartition(5), ["v"], ["g"]).collect()
+    assert sorted((r.g or "", r.v or 0, r.x) for r in got) == sorted((g or "", v or 0, x) for g, v, x in rows)
+    for g in ("a", "b", None, "hot"):
+        mine = sorted(((r._n, r.v) for r in got if r.g == g))
+        assert [n for n, _ in mine] == list(range(len(mine)))
+        assert [v for _, v in mine] == sorted((v for _, v in mine), key=lambda v: (v is not None, v))
+    assert rank_rows(spark.createDataFrame([], "g string, v long"), ["v"], ["g"]).count() == 0
+
+
+def test_null_ids_are_numbered(spark):
+    f = spark.createDataFrame([(None,), (3,), (None,), (1,)], "doc_id long")
+    assert sorted(((r._n, r.doc_id) for r in number_rows(f, "doc_id").collect())) == [(0, None), (1, None), (2, 1), (3, 3)]
+
+
+def test_split_keeps_null_strata(spark):
+    rows = [(i, None if i % 5 == 0 else "s") for i in range(50)] + [(None, "s")]
+    got = stratified_split(spark.createDataFrame(rows, "id long, stratum string"), "stratum", "id", 0.2).collect()
+    assert len(got) == 51 and sum(r.split == "test" and r.stratum is None for r in got) == 2
+    assert sum(r.split == "test" for r in got if r.stratum == "s") == 8
+
+
 def test_sample_pairs_are_as_many_as_asked(spark):
     ids = spark.range(200).withColumnRenamed("id", "doc_id")
     got = N.sample_pairs(ids, 1000).collect()
