@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiflow.llm import ann, chat, html, licenses, mixing, packing, quality, simhash, tokencount, toxicity
+from lexiflow.llm import ann, chat, html, licenses, merkle, mixing, packing, quality, simhash, tokencount, toxicity
 from lexiflow.llm.common import read
 
 QUERIES: dict = {}
@@ -83,3 +83,8 @@ def op9(spark, sf_dir):
 @register("op10_simhash_near_dedup")
 def op10(spark, sf_dir):
     return simhash.simhash_components(read(spark, sf_dir, "documents"))
+
+
+@register("op13_merkle_manifest", merkle.ORACLE)
+def op13(spark, sf_dir):
+    return merkle.audit(read(spark, sf_dir, "documents"))
