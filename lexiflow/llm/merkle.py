@@ -43,20 +43,19 @@ def row_digest(fields: list[Column]) -> Column:
     return F.sha2(F.concat(*[encoded(f) for f in fields]), 256)
 
 
-def _above(digests: Column) -> Column:
-    """One level up: digests of FANOUT consecutive nodes (the last run may be shorter)."""
-    runs = F.sequence(F.lit(0), F.floor((F.size(digests) - 1) / FANOUT).cast("int"))
-    return F.transform(runs, lambda r: F.sha2(F.array_join(F.slice(digests, r * FANOUT + 1, F.lit(FANOUT)), ""), 256))
+def _runs(n: Column, width: int) -> Column:
+    return F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int"))
+
 
+def _cut(nodes: Column, width: int):
+    """The r-th run of ``width`` nodes (the last may be shorter)."""
+    return lambda r: F.slice(nodes, r * width + 1, F.lit(width))
 
-def _siblings(digests: Column) -> Column:
-    """Per node, the digests left and right of it in its run."""
-    def around(_, i):
-        run = F.floor(i / FANOUT).cast("int") * FANOUT
-        return F.struct(F.array_join(F.slice(digests, run + 1, i - run), "").alias("left"),
-                        F.array_join(F.slice(digests, i + 2, run + FANOUT - 1 - i), "").alias("right"))
 
-    return F.transform(digests, around)
+def _above(digests: Column) -> Column:
+    """One level up: digests of FANOUT consecutive nodes."""
+    runs = F.transform(_runs(F.size(digests), FANOUT), _cut(digests, FANOUT))
+    return F.transform(runs, lambda run: F.sha2(F.array_join(run, ""), 256))
 
 
 def _subtrees(nodes: DataFrame, stride: int, *carried: str) -> DataFrame:
@@ -111,23 +110,23 @@ def proofs(levels: list[DataFrame], above: DataFrame, stride: int = STRIDE, carr
 
 
 def _extend(sub: DataFrame, stride: int, carried, more) -> DataFrame:
-    """Paths of a subtree's lowest nodes: regenerate the levels between, take the siblings, drop the levels."""
-    sub = sub.withColumn("d0", F.transform("nodes", lambda x: x["digest"]))
-    n = F.col("size")
-    for j in range(stride):
-        d = F.col(f"d{j}")
-        sub = sub.withColumn(f"s{j}", F.when(n > 1, _siblings(d)))
-        if j + 1 < stride:
-            sub = sub.withColumn(f"d{j + 1}", F.when(n > 1, _above(d)).otherwise(d))
-        n = F.ceil(n / FANOUT)
-
-    def path(x, i):
-        own = F.array(*[F.get(F.col(f"s{j}"), F.floor(i / FANOUT ** j).cast("int")) for j in range(stride)])
-        return F.struct(*[x[c].alias(c) for c in ("pos", "digest", *carried)],
-                        F.concat(F.filter(own, lambda s: s.isNotNull()), F.col("upper")).alias("path"))
-
-    out = sub.select("tree", *more, F.transform("nodes", path).alias("out"))
-    return out.select("tree", *more, F.explode("out").alias("x")).select("tree", "x.pos", "x.digest", *[f"x.{c}" for c in carried], *more, "x.path")
+    """Paths of a subtree's lowest nodes, from its top down: regenerate the digests of its FANOUT parts from the stored
+    nodes, emit each part's siblings, and go on with the parts alone."""
+    sub = sub.select("tree", "size", *more, "nodes", F.col("upper").alias("path"))
+    for j in range(stride - 1, -1, -1):
+        width = FANOUT ** j           # stored nodes below one part
+
+        parts, digests = F.col("nodes"), F.transform("nodes", lambda x: x["digest"])
+        if j:
+            parts = F.transform(_runs(F.size("nodes"), width), _cut(F.col("nodes"), width))
+            for _ in range(j):
+                digests = _above(digests)
+        sub = sub.select("tree", "size", *more, "path", digests.alias("d"), F.posexplode(parts).alias("i", "nodes"))
+        sibling = F.struct(F.array_join(F.slice("d", F.lit(1), F.col("i")), "").alias("left"),
+                           F.array_join(F.slice("d", F.col("i") + 2, F.lit(FANOUT)), "").alias("right"))
+        path = F.when(F.col("size") > width, F.concat(F.array(sibling), "path")).otherwise(F.col("path"))   # else above the tree's top
+        sub = sub.select("tree", "size", *more, "nodes", path.alias("path"))
+    return sub.select("tree", "nodes.pos", "nodes.digest", *[f"nodes.{c}" for c in carried], *more, "path")
 
 
 def fold(leaf: Column, path: Column) -> Column:
@@ -146,7 +145,8 @@ class Manifest:
 
     def __init__(self, rows: DataFrame, group: str, order: str, digest: str = "digest", stride: int = STRIDE):
         self.stride, self.group = stride, group
-        placed = materialize(rank_rows(rows.withColumnRenamed(digest, "digest"), [order, "digest"], [group], "pos"), "merkle-ranked")
+        rows = materialize(rows.withColumnRenamed(digest, "digest"), "merkle-rows")       # contents are read and hashed once
+        placed = materialize(rank_rows(rows, [order, "digest"], [group], "pos"), "merkle-ranked")
         groups = materialize(rank_rows(placed.groupBy(group).agg(F.count(F.lit(1)).alias("size")), [group], name="tree"), "merkle-groups")
         self.extra = [c for c in placed.columns if c not in ("pos", "digest")]
         keyed = groups.select(F.col(group).alias("_merkle_group"), "tree", "size")
