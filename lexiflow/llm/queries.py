@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiflow.llm import ann, chat, html, licenses, merkle, mixing, packing, quality, simhash, tokencount, toxicity
+from lexiflow.llm import ann, chat, hardneg, html, licenses, merkle, mixing, packing, quality, simhash, tokencount, toxicity
 from lexiflow.llm.common import read
 
 QUERIES: dict = {}
@@ -85,6 +85,12 @@ def op10(spark, sf_dir):
     return simhash.simhash_components(read(spark, sf_dir, "documents"))
 
 
+@register("op11_hard_negatives", hardneg.ORACLE)
+def op11(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(read(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 @register("op13_merkle_manifest", merkle.ORACLE)
 def op13(spark, sf_dir):
     return merkle.audit(read(spark, sf_dir, "documents"))
