@@ -56,8 +56,8 @@ def test_packed_scores_are_exact_and_several_to_an_integer():
     p = hardneg.Packed(c, a)
     assert p.fields >= 2 and not p.wide
     assert (p.scores(0, 30) == (a.astype(np.int64) @ c.T.astype(np.int64))).all()
-    w = hardneg.Packed(c * 2.0 ** 30, a)
-    assert w.wide and (w.scores(3, 9) == (a[3:9].astype(np.int64) @ c.T.astype(np.int64) << 30)).all()
+    w = hardneg.Packed(c * 2.0 ** 34, a)
+    assert w.wide and (w.scores(3, 9) == (a[3:9].astype(np.int64) @ c.T.astype(np.int64) << 34)).all()
     assert hardneg.Packed(np.full((3, 2), 7.0), np.zeros((2, 2))).scores(0, 2).tolist() == [[0] * 3] * 2
 
 
