@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiflow.llm import ann, chat, hardneg, html, licenses, merkle, mixing, packing, quality, simhash, tokencount, toxicity
+from lexiflow.llm import ann, chat, hardneg, html, licenses, merkle, mixing, packing, quality, simhash, suffixes, tokencount, toxicity
 from lexiflow.llm.common import read
 
 QUERIES: dict = {}
@@ -91,6 +91,11 @@ def op11(spark, sf_dir):
     return hardneg.mine(read(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
+@register("op12_suffix_array_dedup")
+def op12(spark, sf_dir):
+    return suffixes.removal_report(read(spark, sf_dir, "documents"))
+
+
 @register("op13_merkle_manifest", merkle.ORACLE)
 def op13(spark, sf_dir):
     return merkle.audit(read(spark, sf_dir, "documents"))
