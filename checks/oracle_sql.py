@@ -195,6 +195,24 @@ SELECT doc_id, strftime(published_at, '%Y-%m') AS slice_month,
        date_trunc('month', published_at) AS month_start, date_trunc('quarter', published_at) AS quarter_start
 FROM comments"""
 
+PREPARED = f"""{COMMENTS},
+pc AS (SELECT doc_id, platform, strftime(published_at, '%Y-%m') AS slice, {CLEAN['clean_strict']('comment')} AS processed
+       FROM comments WHERE published_at IS NOT NULL),
+tm AS (SELECT slice, count(*) AS n_docs, row_number() OVER (ORDER BY slice) - 1 AS t FROM pc WHERE processed <> ''
+       GROUP BY slice HAVING count(*) >= 10),
+pd AS (SELECT pc.*, tm.t, tm.n_docs FROM pc JOIN tm USING (slice) WHERE processed <> ''),
+pt AS (SELECT doc_id, unnest({tok_vec('processed')}) AS term FROM pd),
+pv AS (SELECT term FROM (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM pt GROUP BY term)
+       WHERE df >= 5 AND df <= floor(0.9 * (SELECT count(*) FROM pd)) ORDER BY tf DESC, term LIMIT 10000),
+pb AS (SELECT doc_id, term, count(*) AS tf FROM pt JOIN pv USING (term) GROUP BY doc_id, term),
+ps AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY slice ORDER BY {h32('doc_id', 42)}, doc_id)
+                           <= round(count(*) OVER (PARTITION BY slice) * 0.1) THEN 'test' ELSE 'train' END AS split FROM pd)"""
+SQL["prepare_corpus"] = f"""WITH {PREPARED}
+SELECT doc_id, platform, slice, t, split, coalesce(sum(tf), 0)::BIGINT AS n_tokens, count(term) AS n_terms
+FROM ps LEFT JOIN pb USING (doc_id) GROUP BY ALL"""
+SQL["persist_corpus"] = f"""WITH {PREPARED}
+SELECT split, doc_id, slice, n_docs, term, tf FROM ps JOIN pb USING (doc_id)"""
+
 MONTHS = f"""{COMMENTS}, c AS (SELECT doc_id, strftime(published_at, '%Y-%m') AS slice FROM comments),
 v AS (SELECT slice, count(*) AS n_docs FROM c GROUP BY slice HAVING count(*) >= 10)"""
 SQL["valid_slices"] = f"WITH {MONTHS} SELECT slice, n_docs FROM v"
@@ -278,6 +296,14 @@ tw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY r
 
 SQL["topic_words"] = f"WITH {TDOCS}, {TOPIC_WORDS} SELECT topic, rank, term, round(weight, 6) AS weight FROM tw"
 
+SQL["topic_similarity"] = f"""WITH {TDOCS}, {TOPIC_WORDS},
+big AS (SELECT topic, count(*) AS n FROM td WHERE topic <> -1 GROUP BY topic ORDER BY n DESC, topic LIMIT 20),
+bw AS (SELECT * FROM wt JOIN big USING (topic)),
+nm AS (SELECT topic, sqrt(sum(weight * weight)) AS norm FROM bw GROUP BY topic),
+dp AS (SELECT a.topic AS topic_a, b.topic AS topic_b, sum(a.weight * b.weight) AS dot FROM bw a JOIN bw b USING (term) GROUP BY ALL)
+SELECT a.topic AS topic_a, b.topic AS topic_b, round(coalesce(dot, 0.0) / (a.norm * b.norm), 6) AS similarity
+FROM nm a CROSS JOIN nm b LEFT JOIN dp ON dp.topic_a = a.topic AND dp.topic_b = b.topic"""
+
 SQL["topic_info"] = f"""WITH {TDOCS}, {TOPIC_WORDS},
 cnt AS (SELECT topic, count(*) AS n_docs FROM td GROUP BY topic),
 w5 AS (SELECT topic, list(term ORDER BY rank) AS words FROM tw WHERE rank <= 5 GROUP BY topic)
@@ -554,6 +580,8 @@ SELECT query_id, rank::BIGINT AS rank, neighbor_id, round(dist, 6) AS dist FROM
 
 SQL["knn_l2"] = knn_sql("ev", "sum((e.x - q.x) * (e.x - q.x))", "ASC")
 SQL["knn_cosine"] = knn_sql("evn", "sum(e.x * q.x)", "DESC")
+SQL["knn_l2_blocks"] = SQL["knn_l2"]
+SQL["knn_cosine_blocks"] = SQL["knn_cosine"]
 SQL["farthest_k"] = knn_sql("ev", "sum((e.x - q.x) * (e.x - q.x))", "DESC")
 
 H42 = "('0x' || substr(md5('{salt}:' || CAST(r AS VARCHAR)), 1, 8))::BIGINT"
@@ -625,6 +653,16 @@ SELECT batch_id, count(*) AS n_pairs FROM pr JOIN bt USING (doc_id) GROUP BY bat
 SQL["skipgram_pairs"] = f"WITH {MF}, {ctx_sql(1)} SELECT doc_id, r::BIGINT AS r, center AS center_word, context AS context_word FROM pr"
 SQL["skipgram_window_n"] = f"WITH {MF}, {ctx_sql(2)} SELECT doc_id, r::BIGINT AS r, center AS center_word, context AS context_word FROM pr"
 SQL["negative_samples"] = f"WITH {MF}, {ctx_sql(1)}, {neg_sql()} SELECT * FROM neg"
+_bn = ",\n".join(f"""bn{k} AS (SELECT batch_id, row_number() OVER (PARTITION BY batch_id
+  ORDER BY ('0x' || substr(md5('{s}:' || CAST(doc_id AS VARCHAR) || ':' || CAST(r AS VARCHAR)), 1, 8))::BIGINT, doc_id, r) - 1 AS row,
+  context AS neg_{k} FROM bp)""" for k, s in enumerate(NEG))
+SQL["negative_samples_batch"] = f"""WITH {MF}, {ctx_sql(1)},
+bt AS (SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 100)::BIGINT AS batch_id FROM mf),
+bp AS (SELECT batch_id, doc_id, r, center, context, row_number() OVER (PARTITION BY batch_id ORDER BY doc_id, r) - 1 AS row
+       FROM pr JOIN bt USING (doc_id)),
+{_bn}
+SELECT batch_id, row, doc_id, center AS center_word, context AS context_word, {', '.join(f'neg_{k}' for k in range(len(NEG)))}
+FROM bp {' '.join(f'JOIN bn{k} USING (batch_id, row)' for k in range(len(NEG)))}"""
 SQL["label_pairs"] = f"WITH {MF}, {ctx_sql(1)}, {neg_sql()} SELECT * FROM lp"
 _hc = ", ".join([f"('0x' || substr(md5('{s}:' || center_word), 1, 8))::BIGINT AS centw_{i}" for i, s in enumerate(range(1, 11))]
                 + [f"('0x' || substr(md5('{s}:' || context_word), 1, 8))::BIGINT AS contw_{i}" for i, s in enumerate(range(1, 11))])

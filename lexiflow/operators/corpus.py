@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lexiflow.operators.tokens import term_stats
 
+BROADCAST_TERMS = 1_000_000
+
 
 def build_vocabulary(df: DataFrame, tokens_col: str = "tokens", id_col: str = "doc_id",
                      min_df: int | float = 1, max_df: int | float = 1.0,
@@ -33,15 +35,16 @@ def build_vocabulary(df: DataFrame, tokens_col: str = "tokens", id_col: str = "d
 
 
 def bag_of_words(df: DataFrame, vocab: DataFrame, tokens_col: str = "tokens",
-                 id_col: str = "doc_id", vocab_bounded: bool = True) -> DataFrame:
+                 id_col: str = "doc_id", max_terms: int | None = None) -> DataFrame:
     """(doc_id, term_id, tf) over in-vocabulary tokens.
 
-    ``vocab_bounded`` states that the vocabulary was cut by ``max_features``
-    (a proven row bound), which makes it safe to broadcast; otherwise the
-    planner decides from measured sizes.
+    ``max_terms`` is the row bound the vocabulary was cut to (its
+    ``max_features``). Up to ``BROADCAST_TERMS`` it is broadcast; a larger or
+    unstated bound leaves the choice to the planner's measured sizes.
     """
     v = vocab.select("term", "term_id")
-    v = F.broadcast(v) if vocab_bounded else v
+    if max_terms is not None and max_terms <= BROADCAST_TERMS:
+        v = F.broadcast(v.limit(max_terms))
     toks = df.select(F.col(id_col).alias("doc_id"), F.explode(tokens_col).alias("term"))
     return (toks.join(v, "term")
                 .groupBy("doc_id", "term_id").agg(F.count(F.lit(1)).alias("tf")))

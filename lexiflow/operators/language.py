@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiflow.operators.order_stats import median
+
+
 def _all():
     return Window.partitionBy()
 
@@ -41,14 +44,15 @@ def language_confidence(df: DataFrame, score_col: str = "language_score",
                         high: float = 0.9, low: float = 0.5) -> DataFrame:
     """Mean and exact median score; count and percent above ``high`` / below ``low``.
 
-    The exact median's partial state is a value->count map, bounded by the
-    number of distinct scores (scores are rounded confidences).
+    The median is found by counted ranges (``order_stats``), so no state
+    grows with the number of distinct scores.
     """
     s = F.col(score_col)
     n = F.count(s)
+    middle = median(df, score_col)
     return df.agg(
         F.round(F.avg(s), 6).alias("mean_score"),
-        F.round(F.median(s), 6).alias("median_score"),
+        F.round(F.lit(middle).cast("double"), 6).alias("median_score"),
         F.count_if(s > high).alias("n_high"),
         F.round(F.count_if(s > high) * 100.0 / n, 6).alias("pct_high"),
         F.count_if(s < low).alias("n_low"),

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.functions.hashing import hash32
-from lexiflow.operators.cleaning import number_rows
+from lexiflow.operators.cleaning import number_rows, rank_rows
+from lexiflow.session import stage
 
 
 def file_batches(files: DataFrame, batch_size: int = 100, id_col: str = "doc_id") -> DataFrame:
@@ -105,6 +106,29 @@ def negative_samples(files: DataFrame, seeds: list[int], window: int = 1, text_c
     return x.select("doc_id", F.inline(z))
 
 
+def negative_samples_batch(files: DataFrame, seeds: list[int], batch_size: int = 100, window: int = 1,
+                           text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """W04 over the batch: (batch_id, row, doc_id, center_word, context_word, neg_0..neg_{k-1}).
+
+    The context rows of a batch of ``batch_size`` files are numbered in file
+    order; negative k of row r is the context that a seeded permutation of the
+    whole batch puts at place r, so every negative column holds the batch's
+    contexts, each as often as it occurs. A permutation is the order of a
+    seeded hash, numbered by ranges (``rank_rows``), so a batch may be of any
+    size; the columns meet by (batch, row).
+    """
+    ids = file_batches(files.select(id_col), batch_size, id_col)
+    x = skipgram_pairs(files, window, text_col, id_col).join(ids.select(F.col(id_col).alias("doc_id"), "batch_id"), "doc_id")
+    x = stage(x.select("batch_id", "doc_id", "r", "center_word", "context_word"), "batch-contexts")
+    out = rank_rows(x, ["doc_id", "r"], ["batch_id"], "row")
+    place = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("r").cast("string"))
+    for k, s in enumerate(seeds):
+        mixed = x.select("batch_id", "doc_id", "r", F.col("context_word").alias(f"neg_{k}"), hash32(place, s).alias("_h"))
+        mixed = rank_rows(mixed, ["_h", "doc_id", "r"], ["batch_id"], "row")
+        out = out.join(mixed.select("batch_id", "row", f"neg_{k}"), ["batch_id", "row"])
+    return out.select("batch_id", "row", "doc_id", "center_word", "context_word", *[f"neg_{k}" for k in range(len(seeds))])
+
+
 def _with_neg(z: Column, src: str, name: str) -> Column:
     """Attach the aligned element of array column ``src`` as field ``name``."""
     return F.zip_with(z, F.col(src), lambda a, b: a.withField(name, b))

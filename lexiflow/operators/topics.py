@@ -141,3 +141,29 @@ def topic_report(docs: DataFrame, words: DataFrame, ts_col: str = "published_at"
     top = info.select(F.lit("top_topics").alias("section"), F.col(topic_col).cast("string").alias("key"),
                       F.concat(F.col("n_docs").cast("string"), F.lit(": "), F.col("words")).alias("value"))
     return total.unionByName(rng).unionByName(plat).unionByName(ntop).unionByName(nout).unionByName(top)
+
+
+def topic_similarity(docs: DataFrame, n_topics: int = 20, topic_col: str = "topic", outlier: int = -1) -> DataFrame:
+    """(topic_a, topic_b, similarity), the cosines of the class TF-IDF
+    vectors of the ``n_topics`` largest topics (the outliers left out).
+
+    The Gram matrix is a bounded sparse product: a term's row holds at most
+    ``n_topics`` weights, its products with itself are made inside the row, and
+    the (topic, topic) cells are summed by partial aggregation. Nothing is
+    joined by term with itself. Topics that share no term have similarity 0.
+    """
+    weights = ctfidf(docs, [topic_col], ctfidf_idf(docs, topic_col))
+    largest = (docs.where(F.col(topic_col) != outlier).groupBy(topic_col).agg(F.count(F.lit(1)).alias("_n"))
+               .orderBy(F.desc("_n"), topic_col).limit(n_topics).select(topic_col))
+    kept = weights.join(F.broadcast(largest), topic_col, "left_semi")
+    row = F.sort_array(F.collect_list(F.struct(F.col(topic_col).alias("t"), F.col("weight").alias("w"))))
+    cells = F.flatten(F.transform("r", lambda a: F.transform(F.filter("r", lambda b: b["t"] >= a["t"]), lambda b: F.struct(
+        a["t"].alias("topic_a"), b["t"].alias("topic_b"), (a["w"] * b["w"]).alias("p")))))
+    gram = kept.groupBy("term").agg(row.alias("r")).select(F.inline(cells)).groupBy("topic_a", "topic_b").agg(F.sum("p").alias("dot"))
+    # from here on at most n_topics squared cells, in one row
+    cell = gram.agg(F.sort_array(F.collect_list(F.struct("topic_a", "topic_b", "dot"))).alias("g"))
+    own = F.filter("g", lambda c: c["topic_a"] == c["topic_b"])
+    pairs = F.flatten(F.transform(own, lambda a: F.transform(own, lambda b: F.struct(
+        a["topic_a"].alias("topic_a"), b["topic_a"].alias("topic_b"), (F.sqrt(a["dot"]) * F.sqrt(b["dot"])).alias("norms"),
+        F.filter("g", lambda c: (c["topic_a"] == F.least(a["topic_a"], b["topic_a"])) & (c["topic_b"] == F.greatest(a["topic_a"], b["topic_a"]))).alias("c")))))
+    return cell.select(F.inline(pairs)).select("topic_a", "topic_b", (F.coalesce(F.get("c", F.lit(0))["dot"], F.lit(0.0)) / F.col("norms")).alias("similarity"))

@@ -59,3 +59,8 @@ def q_hash_features(spark, sf_dir):
 @register("pmi_pairs")
 def q_pmi_pairs(spark, sf_dir):
     return W.pmi_pairs(W.skipgram_pairs(manifest_files(spark, sf_dir), 1)).withColumn("pmi", F.round("pmi", 6))
+
+
+@register("negative_samples_batch")
+def q_negative_samples_batch(spark, sf_dir):
+    return W.negative_samples_batch(manifest_files(spark, sf_dir), NEG_SEEDS, 100)

@@ -3,15 +3,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lexiflow.functions import text as X
 from lexiflow.operators import cleaning as C
 from lexiflow.operators import corpus as V
+from lexiflow.operators import prepare as P
 from lexiflow.operators import slices as Z
 from lexiflow.operators import tokens as T
 from lexiflow.operators.language import filter_language
 from lexiflow.plans.catalog import register
+from lexiflow.session import ensure_checkpoint_dir
+from lexiflow.sources.corpus_store import load, publish
 from lexiflow.sources.tables import comments, documents_with_topics
 
 # The fixture corpus is Latin-script, so cleaners keep any letter.
@@ -127,21 +132,52 @@ def q_build_vocabulary(spark, sf_dir):
 def q_bag_of_words(spark, sf_dir):
     docs = cleaned(spark, sf_dir)
     vocab = V.build_vocabulary(docs, min_df=2, max_df=0.9, max_features=5000)
-    return V.bag_of_words(docs, vocab)
+    return V.bag_of_words(docs, vocab, max_terms=5000)
 
 
 @register("filter_min_terms")
 def q_filter_min_terms(spark, sf_dir):
     docs = cleaned(spark, sf_dir)
     vocab = V.build_vocabulary(docs, min_df=2, max_df=0.9, max_features=5000)
-    return V.filter_min_terms(V.bag_of_words(docs, vocab), 50)
+    return V.filter_min_terms(V.bag_of_words(docs, vocab, max_terms=5000), 50)
 
 
 @register("time_word_frequency")
 def q_time_word_frequency(spark, sf_dir):
     docs = cleaned(spark, sf_dir).withColumn("time_slice", Z.slice_label(F.col("published_at"), "quarter"))
     vocab = V.build_vocabulary(docs, min_df=2, max_df=0.9, max_features=5000)
-    return V.time_word_frequency(V.bag_of_words(docs, vocab), docs)
+    return V.time_word_frequency(V.bag_of_words(docs, vocab, max_terms=5000), docs)
+
+
+PREPARED = P.CorpusSpec(stopwords=EN_STOPWORDS, alphabet=ALPHA)
+
+
+def prepared_corpus(spark, sf_dir):
+    """V05 over the comments of both platforms as two sources."""
+    c = comments(spark, sf_dir)
+    return P.prepare_corpus({p: c.where(F.col("platform") == p) for p in ("YouTube", "Telegram")}, PREPARED)
+
+
+@register("prepare_corpus")
+def q_prepare_corpus(spark, sf_dir):
+    """The prepared documents with their slice, split and in-vocabulary tokens."""
+    _, t = prepared_corpus(spark, sf_dir)
+    n = t["bow"].groupBy("doc_id").agg(F.sum("tf").cast("bigint").alias("n_tokens"), F.count(F.lit(1)).alias("n_terms"))
+    zero = F.lit(0).cast("bigint")
+    return (t["docs"].join(n, "doc_id", "left")
+            .select("doc_id", "platform", "slice", "t", "split", F.coalesce("n_tokens", zero).alias("n_tokens"),
+                    F.coalesce("n_terms", zero).alias("n_terms")))
+
+
+@register("persist_corpus")
+def q_persist_corpus(spark, sf_dir):
+    """The prepared corpus published, then read back by its manifest; its counts with words and slices."""
+    _, t = prepared_corpus(spark, sf_dir)
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lexiflow-corpora/{uuid.uuid4().hex}"
+    publish(t, root, {"docs": "split", "bow": "split"})
+    r = load(spark, root)
+    docs = r["docs"].join(r["time_map"].select("t", "n_docs"), "t").select("doc_id", "slice", "n_docs")
+    return r["bow"].join(r["vocab"].select("term_id", "term"), "term_id").join(docs, "doc_id").select("split", "doc_id", "slice", "n_docs", "term", "tf")
 
 
 @register("slice_month")

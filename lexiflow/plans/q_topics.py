@@ -58,6 +58,11 @@ def q_topic_info(spark, sf_dir):
     return M.topic_info(docs, M.topic_words(docs, N_WORDS), 5)
 
 
+@register("topic_similarity")
+def q_topic_similarity(spark, sf_dir):
+    return _r(M.topic_similarity(topic_docs(spark, sf_dir), 20), "similarity")
+
+
 @register("topics_over_time")
 def q_topics_over_time(spark, sf_dir):
     return _joined(over_time(spark, sf_dir))

@@ -133,6 +133,17 @@ def q_farthest_k(spark, sf_dir):
             .withColumn("dist", F.round("dist", 6)))
 
 
+@register("knn_l2_blocks")
+def q_knn_l2_blocks(spark, sf_dir):
+    return N.knn_blocks(vectors(spark, sf_dir), QUERY_IDS, TOP_K, metric="l2").withColumn("dist", F.round("dist", 6))
+
+
+@register("knn_cosine_blocks")
+def q_knn_cosine_blocks(spark, sf_dir):
+    v = vectors(spark, sf_dir).select("vec_id", N.normalize(F.col("embedding")).alias("embedding"))
+    return N.knn_blocks(v, QUERY_IDS, TOP_K, metric="ip").withColumn("dist", F.round("dist", 6))
+
+
 @register("distance_correlation")
 def q_distance_correlation(spark, sf_dir):
     """Correlation of pair distances between the CMS- and CS-weighted document
