@@ -230,6 +230,8 @@ cand AS (SELECT d.doc_id, d.published_at, si.t,
          FROM dt d, si)
 SELECT doc_id, published_at, t::BIGINT AS t FROM cand WHERE rk = 1"""
 
+SQL["nearest_slice_asof"] = SQL["nearest_slice"].replace("date_trunc('quarter'", "date_trunc('day'")
+
 SQL["equal_width_bins"] = f"""WITH {COMMENTS},
 b AS (SELECT min(epoch_us(published_at)) AS lo, max(epoch_us(published_at)) AS hi FROM comments)
 SELECT doc_id, published_at,
@@ -732,6 +734,10 @@ FROM nw LEFT JOIN tg USING (topic) JOIN pr USING (topic)"""
 
 
 # ------------------------------------------------------------ sources and sinks
+SQL["scan_comments_recovered"] = f"""WITH {COMMENTS}
+SELECT doc_id, comment, published_at, language, platform, CAST(NULL AS VARCHAR) AS malformed FROM comments
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, doc_id || ',"never closed ' || language
+FROM comments WHERE doc_id % 7 = 0 AND NOT contains(comment, chr(10))"""
 SQL["scan_comments"] = f"WITH {COMMENTS} SELECT doc_id, comment, published_at, language, platform FROM comments"
 SQL["scan_text_lines"] = """WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)
 SELECT count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM l"""
@@ -842,3 +848,15 @@ SELECT o.topic, o.timestamp, array_to_string(o.words, ', ') AS words, o.frequenc
        round(ov.overall_dtq, 6) AS overall_dtq
 FROM q_ot o JOIN m_st st USING (timestamp) LEFT JOIN m_time tm ON tm.t = st.t LEFT JOIN m_topic tp ON tp.topic = o.topic
 LEFT JOIN m_topic_time tt ON tt.topic = o.topic AND tt.t = st.t CROSS JOIN ov"""
+SQL["stream_sketch_ledger"] = SQL["cms_build"]
+SQL["stream_windows_append"] = """
+WITH e AS (SELECT event_id, ts, event_type, least(4, (day(ts) - 1) // 6) AS due FROM events),
+a AS (SELECT *, date_trunc('day', ts) AS s, date_trunc('day', ts) + INTERVAL 1 DAY AS z,
+             CASE WHEN event_id % 97 = 0 AND due < 3 THEN 4 ELSE due END AS arrival FROM e),
+m AS (SELECT max(ts) FILTER (WHERE arrival < 4) - INTERVAL 3 DAY AS before_last, max(ts) - INTERVAL 3 DAY AS final FROM a),
+l AS (SELECT a.*, arrival = 4 AND z <= before_last AS late, z <= final AS closed FROM a, m)
+SELECT CAST(s AS TIMESTAMP) AS window_start, CAST(z AS TIMESTAMP) AS window_end, event_type AS key, count(*) AS n, closed
+FROM l WHERE NOT late GROUP BY ALL
+UNION ALL SELECT NULL, NULL, 'late', count(*) FILTER (WHERE late), NULL FROM l"""
+SQL["topic_bundle"] = f"""WITH {PREPARED}
+SELECT doc_id, t, 20::BIGINT AS n_topics, 1.0::DOUBLE AS total, TRUE AS same FROM ps WHERE split = 'test'"""

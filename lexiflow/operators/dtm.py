@@ -7,12 +7,10 @@ reference corpus ``(doc_id, tokens)``.
 Plan shape, chosen for scale:
 * Word lists are at most ``n_words`` long, so word pairs of a grid cell are
   built inside the row (array functions); nothing is paired across rows.
-* Co-occurrence is counted only for the requested word pairs: the pair
-  list is joined to the (document, word) incidence on the first word and
-  semi-joined on (document, second word). Raw tokens are never self-joined
-  and no document emits all of its word pairs.
-* The incidence table holds only grid words (semi join), de-duplicated per
-  document inside the row.
+* Co-occurrence is counted only for the requested word pairs, in one pass:
+  the pairs are a dictionary of checked size that each task matches against
+  its documents, emitting partial counts alone (``cooccur``). Raw tokens are
+  never joined or shuffled, and no document emits its word pairs.
 * Lookahead windows (``lead``/frames) are partitioned by topic and ordered
   by slice: one row per slice per topic.
 """
@@ -24,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiflow.operators.cooccur import pair_counts
 from lexiflow.session import cut_lineage
 
 EPS = 1e-10
@@ -156,22 +155,9 @@ def tc_pair_rows(grid: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ counting
 
-def word_incidence(corpus: DataFrame, words: DataFrame) -> DataFrame:
-    """(doc_id, w): corpus documents containing each needed word, once per doc."""
-    inc = corpus.select("doc_id", F.explode(F.array_distinct("tokens")).alias("w"))
-    return inc.join(words.select("w"), "w", "left_semi")
-
-
-def pair_cooccurrence(pairs: DataFrame, inc: DataFrame) -> DataFrame:
-    """(wi, wj, c_i, c_j, c_ij) for requested pairs with c_ij > 0."""
-    p = pairs.select("wi", "wj").distinct()
-    a = inc.select("doc_id", F.col("w").alias("wi"))
-    b = inc.select("doc_id", F.col("w").alias("wj"))
-    co = (p.join(a, "wi").join(b, ["doc_id", "wj"], "left_semi")
-           .groupBy("wi", "wj").agg(F.count(F.lit(1)).alias("c_ij")))
-    ci = inc.groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-    return (co.join(ci.select(F.col("w").alias("wi"), F.col("c").alias("c_i")), "wi")
-              .join(ci.select(F.col("w").alias("wj"), F.col("c").alias("c_j")), "wj"))
+def pair_cooccurrence(pairs: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(wi, wj, c_i, c_j, c_ij) for requested pairs with c_ij > 0, counted in one pass over the corpus."""
+    return pair_counts(corpus, pairs)
 
 
 def pair_scores(co: DataFrame, n_docs: Column, variant: Variant) -> DataFrame:
@@ -210,15 +196,13 @@ def dtm_metrics(grid: DataFrame, corpus: DataFrame, vocab: DataFrame, variant: V
 
     grid_words = grid.select(F.explode("words").alias("w")).distinct()
     needed = grid_words.join(vocab.select("w").distinct(), "w", "left_semi")
-    inc = word_incidence(corpus, needed)
-
     ttc_rows = ttc_pair_rows(grid, v, window)
     tc_rows = tc_pair_rows(grid)
     all_pairs = (ttc_rows.select("wi", "wj").unionByName(tc_rows.select("wi", "wj"))
                  .join(needed.select(F.col("w").alias("wi")), "wi", "left_semi")
                  .join(needed.select(F.col("w").alias("wj")), "wj", "left_semi"))
     # One row per requested word pair, bounded by topics x slices x n_words^2.
-    scores = cut_lineage(pair_scores(pair_cooccurrence(all_pairs, inc), n_docs, v))
+    scores = cut_lineage(pair_scores(pair_cooccurrence(all_pairs, corpus), n_docs, v))
 
     last = n_slices if v.last_step else n_slices - 1
     steps = grid.filter(F.col("t") < last)
@@ -340,20 +324,10 @@ def dynamic_coherence(grid: DataFrame, corpus: DataFrame, vocab: DataFrame) -> D
     same slice only; ``corpus`` is (doc_id, t, tokens). Returns (t, topic, tc)
     for non-empty cells (0 when no pair co-occurs) — mean it for the score."""
     needed = grid.select(F.explode("words").alias("w")).distinct().join(vocab.select("w"), "w", "left_semi")
-    inc = (corpus.select("t", "doc_id", F.explode(F.array_distinct("tokens")).alias("w"))
-                 .join(needed, "w", "left_semi"))
     pairs = (tc_pair_rows(grid).join(needed.select(F.col("w").alias("wi")), "wi", "left_semi")
                                .join(needed.select(F.col("w").alias("wj")), "wj", "left_semi"))
-    p = pairs.select("t", "wi", "wj").distinct()
-    a = inc.select("t", "doc_id", F.col("w").alias("wi"))
-    b = inc.select("t", "doc_id", F.col("w").alias("wj"))
-    co = (p.join(a, ["t", "wi"]).join(b, ["t", "doc_id", "wj"], "left_semi")
-           .groupBy("t", "wi", "wj").agg(F.count(F.lit(1)).alias("c_ij")))
-    ci = inc.groupBy("t", "w").agg(F.count(F.lit(1)).alias("c"))
     nt = corpus.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    co = (co.join(ci.select("t", F.col("w").alias("wi"), F.col("c").alias("c_i")), ["t", "wi"])
-            .join(ci.select("t", F.col("w").alias("wj"), F.col("c").alias("c_j")), ["t", "wj"])
-            .join(nt, "t"))
+    co = pair_counts(corpus, pairs, "t").join(nt, "t")
     pij, pi, pj = F.col("c_ij") / F.col("n"), F.col("c_i") / F.col("n"), F.col("c_j") / F.col("n")
     s = F.when(pij >= 1.0, F.lit(1.0)).otherwise(F.log(pij / (pi * pj + EPS)) / (-F.log(pij + EPS)))
     scores = co.select("t", "wi", "wj", s.alias("score"))

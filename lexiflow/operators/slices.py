@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiflow.operators.cleaning import rank_rows
+from lexiflow.operators.ordered import in_order, running_last
+
 
 def _micros(c: str) -> Column:
     """Microseconds since epoch of a TIMESTAMP or TIMESTAMP_NTZ column (session zone UTC)."""
@@ -64,6 +67,29 @@ def nearest_slice(df: DataFrame, ts_col: str, slices: DataFrame, slice_ts_col: s
              .drop("_slices", "_x"))
 
 
+def nearest_slice_asof(df: DataFrame, ts_col: str, slices: DataFrame, slice_ts_col: str,
+                       out_col: str = "t") -> DataFrame:
+    """Z04 for slice tables of any size: the result of ``nearest_slice`` by an as-of merge.
+
+    Rows and numbered slice timestamps are merged in ranges of time; the last
+    slice at or before a row and the next one after it are carried along the
+    order, over range borders too, and the nearer one is taken (the earlier on a
+    tie). Rows without a time get none; no slice table is held in a row or task.
+    """
+    kept = df.columns
+    marks = slices.select(_micros(slice_ts_col).alias("_x")).where(F.col("_x").isNotNull()).distinct()
+    marks = rank_rows(marks, ["_x"], name="_t")
+    mark = F.struct(F.col("_x").alias("x"), F.col("_t").alias("t"))
+    rows = df.select(F.struct(*kept).alias("_row"), _micros(ts_col).alias("_x"), F.lit(None).cast("struct<x:bigint,t:bigint>").alias("_mark"))
+    merged = rows.unionByName(marks.select(F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), "_x", mark.alias("_mark")))
+    o = in_order(merged, ["_x", F.col("_row").isNotNull()], "asof")      # a slice comes before the rows of its own time
+    o = running_last(o, F.col("_mark"), "_before")
+    o = running_last(o, F.col("_mark"), "_after", forward=False).where(F.col("_row").isNotNull())
+    later = F.col("_before").isNull() | (F.col("_after.x") - F.col("_x") < F.col("_x") - F.col("_before.x"))
+    t = F.when(F.col("_x").isNull(), None).when(F.col("_after").isNotNull() & later, F.col("_after.t")).otherwise(F.col("_before.t"))
+    return o.select("_row.*", t.cast("bigint").alias(out_col))
+
+
 def equal_width_bins(df: DataFrame, ts_col: str, nr_bins: int, out_col: str = "bin") -> DataFrame:
     """``nr_bins`` equal-width bins over the time span, last edge inclusive."""
     lo = df.select(F.min(_micros(ts_col))).scalar()

@@ -44,6 +44,20 @@ def q_scan_comments_lenient(spark, sf_dir):
                  F.count_if(F.col("_corrupt").isNotNull()).alias("n_corrupt"))
 
 
+@register("scan_comments_recovered")
+def q_scan_comments_recovered(spark, sf_dir):
+    """The comments as CSV records over several lines, some one-line comments preceded by a record whose
+    quote is never closed; all records read back, the malformed ones with their text."""
+    p = _scratch(spark, "comments_damaged")
+    c = comments(spark, sf_dir).withColumn("published_at", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"))
+    good = F.to_csv(F.struct(*[f.name for f in S.COMMENT_SCHEMA.fields]), {"escape": '"'})
+    damaged = F.when((F.col("doc_id") % 7 == 0) & ~F.col("comment").contains("\n"),
+                     F.concat(F.col("doc_id").cast("string"), F.lit(',"never closed '), F.col("language")))
+    c.select(F.explode(F.array_compact(F.array(damaged, good))).alias("value")).write.text(p)
+    r = S.scan_comments_recovered(spark, p)
+    return r.select("doc_id", "comment", F.to_timestamp("published_at").alias("published_at"), "language", "platform", "malformed")
+
+
 @register("scan_text_lines")
 def q_scan_text_lines(spark, sf_dir):
     """Document texts written as text files and read back line by line."""

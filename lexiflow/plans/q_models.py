@@ -8,13 +8,15 @@ from pyspark.ml.clustering import LocalLDAModel
 from pyspark.sql import functions as F
 
 from lexiflow.functions import text as X
+from lexiflow.operators import bundle as B
 from lexiflow.operators import cleaning as C
 from lexiflow.operators import corpus as V
 from lexiflow.operators import models as ML
 from lexiflow.operators import topics as M
 from lexiflow.plans.catalog import register
+from lexiflow.plans.q_text import prepared_corpus
 from lexiflow.plans.q_topics import N_WORDS, topic_docs
-from lexiflow.session import ensure_checkpoint_dir
+from lexiflow.session import ensure_checkpoint_dir, stage
 from lexiflow.sources.tables import documents_with_topics, table, vectors
 
 K_TOPICS = 10
@@ -118,3 +120,33 @@ def q_filter_outliers(spark, sf_dir):
     from lexiflow.operators.outliers import filter_outliers
     v, lab = _iforest(spark, sf_dir)
     return filter_outliers(v, lab).select("doc_id")
+
+
+def _fitted_bundle(spark, sf_dir):
+    """(bundle fitted on the train split of the prepared corpus, its documents with tokens)."""
+    state, t = prepared_corpus(spark, sf_dir)
+    docs = stage(t["docs"].select("doc_id", "slice", "split", X.tokenize_vectorizer("processed").alias("tokens")), "bundle-docs")
+    cv, lda, _ = ML.fit_lda(docs.where(F.col("split") == "train").select("doc_id", "tokens"), k=K_LDA, vocab_size=10000, min_df=5, max_df=0.9)
+    return B.TopicBundle(cv, lda, state.time_map.select("slice", "t")), docs
+
+
+@register("topic_bundle")
+def q_topic_bundle(spark, sf_dir):
+    """The fitted bundle saved, reloaded, and used on the test split: per document the number and sum of its
+    weights, and whether they equal those of the model in memory."""
+    bundle, docs = _fitted_bundle(spark, sf_dir)
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lexiflow-models/bundle-{uuid.uuid4().hex}"
+    B.save(bundle, root)
+    test = docs.where(F.col("split") == "test")
+    here = bundle.infer(test).withColumnRenamed("weight", "own")
+    both = B.load(spark, root).infer(test).join(here.drop("t"), ["doc_id", "topic"])
+    same = F.bool_and(F.abs(F.col("weight") - F.col("own")) < 1e-9)
+    return both.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n_topics"), F.round(F.sum("weight"), 6).alias("total"), same.alias("same"))
+
+
+@register("topic_activity_fitted")
+def q_topic_activity_fitted(spark, sf_dir):
+    """M06 on fitted weights: mean weight per (topic, slice) of the train split."""
+    bundle, docs = _fitted_bundle(spark, sf_dir)
+    train = docs.where(F.col("split") == "train")
+    return ML.topic_activity(bundle.infer(train).drop("t"), train, "slice")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexiflow.functions import text as X
 from lexiflow.plans.catalog import register
 from lexiflow.plans.q_vectors import CMS
+from lexiflow.sources import corpus_store
 from lexiflow.sources.tables import table
 from lexiflow.streaming import jobs as S
 
@@ -43,3 +44,37 @@ def q_stream_sketch(spark, sf_dir):
     out = f"{root}/out"
     S.run_available(s, root, writer=S.sketch_writer(out, CMS))
     return S.merged_cells(spark, out, CMS).withColumn("row", F.col("row").cast("bigint"))
+
+
+N_ARRIVALS = 5
+
+
+@register("stream_windows_append")
+def q_stream_windows_append(spark, sf_dir):
+    """Five files of events, six days each; every 97th event of the first three comes with the last file. Days
+    closed behind a watermark of three days, days still open, and the number of late rows."""
+    root = S.stream_root(spark, "stream_windows_append")
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    due = F.least(F.lit(N_ARRIVALS - 1), F.floor((F.dayofmonth("ts") - 1) / 6))
+    e = e.withColumn("arrival", F.when((F.col("event_id") % 97 == 0) & (due < 3), N_ARRIVALS - 1).otherwise(due))
+    path = S.arrivals(e, "arrival", N_ARRIVALS, f"{root}/in")
+    stream = spark.readStream.schema(e.drop("arrival").schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = S.run_available(S.window_counts(stream, "ts", "event_type", "1 day", "3 days"), root)
+    return S.settled_windows(spark, root, out, e.select(F.count(F.lit(1))).scalar())
+
+
+@register("stream_sketch_ledger")
+def q_stream_sketch_ledger(spark, sf_dir):
+    """Five files of documents, every micro-batch delivered twice as after a failure; the merged sketch."""
+    root = S.stream_root(spark, "stream_sketch_ledger")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = S.arrivals(d.withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(N_ARRIVALS))), "arrival", N_ARRIVALS, f"{root}/in")
+    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    write = S.ledger_sketch_writer(f"{root}/store", CMS)
+
+    def twice(batch, batch_id):
+        write(batch, batch_id)
+        write(batch, batch_id)
+
+    S.run_available(stream.select("doc_id", X.tokenize_words("text").alias("tokens")), root, writer=twice)
+    return corpus_store.load(spark, f"{root}/store")["cells"].withColumn("row", F.col("row").cast("bigint"))

@@ -208,6 +208,13 @@ def q_nearest_slice(spark, sf_dir):
     return Z.nearest_slice(d.select("doc_id", "published_at"), "published_at", slices, "ts")
 
 
+@register("nearest_slice_asof")
+def q_nearest_slice_asof(spark, sf_dir):
+    d = documents_with_topics(spark, sf_dir)
+    days = d.filter(F.col("topic") != -1).select(F.date_trunc("day", "published_at").alias("ts"))
+    return Z.nearest_slice_asof(d.select("doc_id", "published_at"), "published_at", days, "ts")
+
+
 @register("equal_width_bins")
 def q_equal_width_bins(spark, sf_dir):
     return Z.equal_width_bins(comments(spark, sf_dir).select("doc_id", "published_at"), "published_at", 20)

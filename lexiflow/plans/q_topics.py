@@ -188,7 +188,7 @@ def _pairs_and_counts(spark, sf_dir, variant):
     pairs = (D.ttc_pair_rows(grid, v).select("wi", "wj").unionByName(D.tc_pair_rows(grid).select("wi", "wj"))
              .join(needed.select(F.col("w").alias("wi")), "wi", "left_semi")
              .join(needed.select(F.col("w").alias("wj")), "wj", "left_semi"))
-    co = D.pair_cooccurrence(pairs, D.word_incidence(corpus, needed))
+    co = D.pair_cooccurrence(pairs, corpus)
     return co, corpus.select(F.count(F.lit(1))).scalar(), v
 
 

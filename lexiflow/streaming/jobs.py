@@ -18,6 +18,7 @@ from lexiflow.functions import text as X
 from lexiflow.operators import sketch as K
 from lexiflow.operators import tokens as T
 from lexiflow.session import ensure_checkpoint_dir
+from lexiflow.sources import corpus_store
 
 
 def stream_root(spark: SparkSession, name: str) -> str:
@@ -82,3 +83,56 @@ def merged_cells(spark: SparkSession, out: str, spec: K.SketchSpec) -> DataFrame
     """K06 over all batch outputs: equals a one-shot build over the same documents."""
     cells = spark.read.parquet(out).drop("batch_id")
     return K.sketch_merge([cells], [spec])
+
+
+def arrivals(df: DataFrame, arrival_col: str, n: int, folder: str) -> str:
+    """Write the rows of arrival 0..n-1 as files that come one after the other; returns the path to stream from."""
+    for k in range(n):
+        df.where(F.col(arrival_col) == k).drop(arrival_col).coalesce(1).write.parquet(f"{folder}/arrival-{k}")
+    return f"{folder}/arrival-*"
+
+
+def window_counts(stream: DataFrame, ts_col: str, key_col: str, window: str, delay: str) -> DataFrame:
+    """X02 in append mode: (window_start, window_end, key, n), each window once, when the watermark has passed it; its
+    state is dropped then, and later rows of it are too."""
+    w = F.window(ts_col, window)
+    return (stream.withWatermark(ts_col, delay).groupBy(w.alias("w"), F.col(key_col).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "key", "n"))
+
+
+def open_windows(spark: SparkSession, root: str) -> DataFrame:
+    """(window_start, window_end, key, n) of the windows that a finished ``window_counts`` run still holds in its state."""
+    state = spark.read.format("statestore").load(f"{root}/_checkpoint")
+    window, key = (F.col("key")[c] for c in state.schema["key"].dataType.names)
+    return state.select(window["start"].alias("window_start"), window["end"].alias("window_end"), key.alias("key"),
+                        F.col("value")[state.schema["value"].dataType.names[0]].alias("n"))
+
+
+def settled_windows(spark: SparkSession, root: str, out: str, n_input) -> DataFrame:
+    """Closed and open windows of a run, with ``closed``, and one row (nulls, 'late', n) for the rows that came behind the
+    watermark: the ``n_input`` rows read less those counted."""
+    closed = spark.read.parquet(out).drop("batch_id").withColumn("closed", F.lit(True))
+    counted = closed.unionByName(open_windows(spark, root).withColumn("closed", F.lit(False)))
+    late = counted.agg((n_input - F.coalesce(F.sum("n"), F.lit(0))).alias("n")).select(
+        F.lit(None).cast("timestamp").alias("window_start"), F.lit(None).cast("timestamp").alias("window_end"),
+        F.lit("late").alias("key"), "n", F.lit(None).cast("boolean").alias("closed"))
+    return counted.unionByName(late)
+
+
+def ledger_sketch_writer(store: str, spec: K.SketchSpec, tokens_col: str = "tokens"):
+    """X03 with a batch ledger: one merged sketch, published (``corpus_store``) together with the ids of the batches in
+    it. A batch that the published ledger lists is skipped, so a retried merge changes nothing, and a merge that dies
+    before its publication was never made. The cells are width x depth rows, whatever the stream holds."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        seen = corpus_store.latest(spark, store)
+        cells = K.sketch_build(T.document_frequency(batch, tokens_col), spec)
+        ledger = spark.createDataFrame([(batch_id,)], "batch_id long")
+        if seen is not None:
+            held = corpus_store.load(spark, store, seen.version)
+            if held["ledger"].where(F.col("batch_id") == batch_id).count():
+                return
+            cells = K.sketch_merge([held["cells"], cells], [spec, spec])
+            ledger = held["ledger"].unionByName(ledger)
+        corpus_store.publish({"cells": cells, "ledger": ledger}, store)
+    return write
