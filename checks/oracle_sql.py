@@ -853,7 +853,7 @@ SQL["stream_windows_append"] = """
 WITH e AS (SELECT event_id, ts, event_type, least(4, (day(ts) - 1) // 6) AS due FROM events),
 a AS (SELECT *, date_trunc('day', ts) AS s, date_trunc('day', ts) + INTERVAL 1 DAY AS z,
              CASE WHEN event_id % 97 = 0 AND due < 3 THEN 4 ELSE due END AS arrival FROM e),
-m AS (SELECT max(ts) FILTER (WHERE arrival < 4) - INTERVAL 3 DAY AS before_last, max(ts) - INTERVAL 3 DAY AS final FROM a),
+m AS (SELECT max(ts) FILTER (WHERE arrival < 3) - INTERVAL 3 DAY AS before_last, max(ts) - INTERVAL 3 DAY AS final FROM a),
 l AS (SELECT a.*, arrival = 4 AND z <= before_last AS late, z <= final AS closed FROM a, m)
 SELECT CAST(s AS TIMESTAMP) AS window_start, CAST(z AS TIMESTAMP) AS window_end, event_type AS key, count(*) AS n, closed
 FROM l WHERE NOT late GROUP BY ALL

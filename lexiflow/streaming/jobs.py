@@ -94,7 +94,8 @@ def arrivals(df: DataFrame, arrival_col: str, n: int, folder: str) -> str:
 
 def window_counts(stream: DataFrame, ts_col: str, key_col: str, window: str, delay: str) -> DataFrame:
     """X02 in append mode: (window_start, window_end, key, n), each window once, when the watermark has passed it; its
-    state is dropped then, and later rows of it are too."""
+    state is dropped then, and rows of it that come in a later micro-batch are too. The watermark of a micro-batch
+    follows the event times of those before it."""
     w = F.window(ts_col, window)
     return (stream.withWatermark(ts_col, delay).groupBy(w.alias("w"), F.col(key_col).alias("key")).agg(F.count(F.lit(1)).alias("n"))
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "key", "n"))
