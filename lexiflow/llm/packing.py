@@ -17,16 +17,18 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiflow.llm.common import materialize
 
 CAPACITY = 2048
-SALTS = 256
+CELL = 20000           # pieces of one length that are ranked in one task, about
 TOP = 24               # commonest lengths from which patterns of three and four are formed
 SWEEPS = 30
 
@@ -47,25 +49,65 @@ def _tokenizer(path):
     return _TOKENIZERS[path]
 
 
-CACHE = 1 << 19        # tokenized chunks that a Python worker keeps at once; the rest are encoded anew
-_CHUNK_IDS: dict = {}
+CACHE = 1 << 20        # tokenized chunks that a Python worker keeps at once; the rest are encoded anew
+SLICE = 16 << 20       # bytes of text that are split into chunks at once
 
 
-def _split(text):
-    return (text or "").replace("\n", " ").split(" ")
+class _Chunks:
+    """Token ids of the chunks met so far, one after the other."""
+
+    def __init__(self):
+        self.at, self.ids, self.first, self.size = {}, np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def places(self, tokenizer, words: list) -> np.ndarray:
+        """Place of each of the distinct ``words``; new ones are encoded."""
+        if len(self.at) > CACHE:
+            self.__init__()
+        new = [w for w in words if w not in self.at]
+        if new:
+            found = [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), "<u4", int(size.sum()))])
+            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
+        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+
+
+_CHUNKS: dict = {}
+
+
+def encode_column(tokenizer, texts: pa.Array):
+    """(token ids of all texts one after the other, offsets of the texts). The vocabulary drops white space, so a text's
+    ids are those of its chunks between spaces and line feeds. The chunks of all texts are split and dictionary-encoded
+    in Arrow, each distinct chunk is encoded once, and the ids are gathered by offsets."""
+    texts = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " ")
+    chunks = pc.split_pattern(texts, " ")
+    coded = chunks.flatten().dictionary_encode()
+    known = _CHUNKS.setdefault(id(tokenizer), _Chunks())
+    at = known.places(tokenizer, coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+    size = known.size[at]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    ids = known.ids[np.repeat(known.first[at] - ends[:-1], size) + np.arange(ends[-1])]
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(chunks).to_numpy())])
+    return ids, ends[bounds]
 
 
 def encode_whole(tokenizer, texts: list) -> list:
-    """Token ids of whole texts as little-endian bytes. The vocabulary drops white
-    space, so a text's ids are those of its chunks between spaces and line feeds;
-    equal chunks are encoded once."""
-    chunks = [_split(t) for t in texts]
-    if len(_CHUNK_IDS) > CACHE:
-        _CHUNK_IDS.clear()
-    new = [c for c in {c for cs in chunks for c in cs} if c not in _CHUNK_IDS]
-    for c, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-        _CHUNK_IDS[c] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join([_CHUNK_IDS[c] for c in cs]) for cs in chunks]
+    """Token ids of whole texts as little-endian bytes."""
+    ids, ends = encode_column(tokenizer, pa.array(texts, pa.large_string()))
+    return [ids[a:z].tobytes() for a, z in zip(ends, ends[1:])]
+
+
+def _slices(batch: pa.RecordBatch):
+    """Consecutive rows with about ``SLICE`` bytes of text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(size // SLICE, prepend=0)) if len(size) else []
+    at = 0
+    for cut in [*(int(c) for c in cuts if c > 0), batch.num_rows]:
+        if cut > at:
+            yield batch.slice(at, cut - at)
+            at = cut
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -76,14 +118,18 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     def run(batches):
         t = _tokenizer(tokenizer_path)
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
+            for part in _slices(b):
                 out = [[] for _ in names]
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode_whole(t, part.column("text").to_pylist())):
-                    ids += end
-                    for i, s in enumerate(range(0, len(ids), 4 * capacity)):
-                        p = ids[s:s + 4 * capacity]
-                        for c, v in zip(out, (doc_id, i, s // 4, len(p) // 4, zlib.crc32(p))):
+                ids, ends = encode_column(t, part.column("text"))
+                ids = memoryview(ids).cast("B")
+                for doc_id, a, z in zip(part.column("doc_id").to_pylist(), (4 * ends).tolist(), (4 * ends[1:]).tolist()):
+                    last = (z - a) // (4 * capacity)        # the piece that the end token is in
+                    for i in range(last + 1):
+                        p = ids[a + 4 * capacity * i:min(z, a + 4 * capacity * (i + 1))]
+                        crc, n = zlib.crc32(p), len(p) // 4
+                        if i == last:
+                            crc, n = zlib.crc32(end, crc), n + 1
+                        for c, v in zip(out, (doc_id, i, capacity * i, n, crc)):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()),
                                                   *(pa.array(c, pa.int64()) for c in out[2:])], names)
@@ -171,16 +217,18 @@ def plan_slots(plan):
 def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): one row per piece."""
     pieces = token_pieces(docs, tokenizer_path or default_tokenizer(), capacity)
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS))
-    pieces = materialize(pieces.withColumn("salt", salt), "packing-pieces")
-    cells = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
+    pieces = materialize(pieces.withColumn("nr", F.monotonically_increasing_id()), "packing-pieces")
     hist = np.zeros(capacity + 1, np.int64)
-    for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect():   # at most ``capacity`` rows
-        hist[r.length] = r.n
+    for r in pieces.groupBy("length").count().collect():   # at most ``capacity`` rows
+        hist[r["length"]] = r["count"]
     key, first, seq, offset = plan_slots(plan_packing(hist, capacity))
+    # a common length is ranked in cells, which are as many as it has pieces; equal rows differ in their number
+    salts = F.element_at(F.lit([int(n // CELL) + 1 for n in hist]), F.col("length").cast("int") + 1)
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("nr"), salts))
+    cells = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("cell_start"))
-    nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
+    nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("nr"))
     ranked = (pieces.withColumn("nth", nth).join(starts, ["length", "salt"])
               .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("cell_start") + F.col("nth") - 1).alias("rank")))
 
