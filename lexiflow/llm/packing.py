@@ -49,29 +49,46 @@ def _tokenizer(path):
     return _TOKENIZERS[path]
 
 
-CACHE = 1 << 20        # tokenized chunks that a Python worker keeps at once; the rest are encoded anew
-SLICE = 16 << 20       # bytes of text that are split into chunks at once
+CACHE = 800_000        # tokenized chunks that a Python worker keeps at once; the rest are encoded anew
+SLICE = 8 << 20        # bytes of text that are split into chunks at once
 
 
 class _Chunks:
-    """Token ids of the chunks met so far, one after the other."""
+    """Token ids of the chunks met so far, one after the other. When there are too many, those met in one slice only
+    are forgotten (and all, should that not be enough)."""
 
     def __init__(self):
-        self.at, self.ids, self.first, self.size = {}, np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._hold({}, np.zeros(0, "<u4"), *[np.zeros(0, np.int64)] * 3)
+
+    def _hold(self, at, ids, first, size, met):
+        self.at, self.ids, self.first, self.size, self.met = at, ids, first, size, met
+
+    def _forget(self):
+        keep = np.flatnonzero(self.met > 1)
+        if len(keep) > CACHE // 2:
+            return self.__init__()
+        size = self.size[keep]
+        first = np.cumsum(size) - size
+        ids = self.ids[np.repeat(self.first[keep] - first, size) + np.arange(size.sum())]
+        often = self.met > 1
+        at = {w: i for i, w in enumerate(w for w, i in self.at.items() if often[i])}
+        self._hold(at, ids, first, size, np.ones(len(keep), np.int64))
 
     def places(self, tokenizer, words: list) -> np.ndarray:
         """Place of each of the distinct ``words``; new ones are encoded."""
         if len(self.at) > CACHE:
-            self.__init__()
+            self._forget()
         new = [w for w in words if w not in self.at]
         if new:
             found = [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
             size = np.fromiter(map(len, found), np.int64, len(found))
-            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), "<u4", int(size.sum()))])
+            ids = np.fromiter(chain.from_iterable(found), "<u4", int(size.sum()))
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
-        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+            self._hold(self.at, *(np.concatenate(x) for x in ((self.ids, ids), (self.first, len(self.ids) + np.cumsum(size) - size),
+                                                              (self.size, size), (self.met, np.zeros(len(new), np.int64)))))
+        places = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        self.met[places] += 1
+        return places
 
 
 _CHUNKS: dict = {}
@@ -85,7 +102,7 @@ def encode_column(tokenizer, texts: pa.Array):
     chunks = pc.split_pattern(texts, " ")
     coded = chunks.flatten().dictionary_encode()
     known = _CHUNKS.setdefault(id(tokenizer), _Chunks())
-    at = known.places(tokenizer, coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+    at = known.places(tokenizer, coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
     size = known.size[at]
     ends = np.concatenate([[0], np.cumsum(size)])
     ids = known.ids[np.repeat(known.first[at] - ends[:-1], size) + np.arange(ends[-1])]
