@@ -7,9 +7,10 @@ half of the host's pages where these are fewer than 20, on ``min_pages`` and ``S
 them on larger hosts, on none on hosts of one or two pages. Paragraphs, headings, lists and
 tables inside an article are never taken for template: a site may print one passage twice.
 
-A page is parsed once. What its elements' names alone rule out (scripts, styles, navigation,
-forms, reader comments) is left out there; the remaining texts are kept as short segments with
-the subtrees as ranges of segments, and only these meet the templates.
+What the elements' names alone rule out (scripts, styles, navigation, forms, reader comments) is
+left out when a page is read; the remaining texts are short segments with the subtrees as ranges
+of segments. The subtrees are written and counted without texts. A second reading gives the
+segments, which alone meet the deleted ranges; html is never shuffled.
 
 The main part is what article and main elements hold, if any text is left in them; else it
 is the rest of the page. Articles in dropped parts are no main part; articles marked as
@@ -259,55 +260,68 @@ def main_text(html: str | None, template=frozenset()) -> str:
     return choose(page.texts, page.blocks, page.flags, [s[1:] for s in page.subtrees if s[0] in template])
 
 
-_PARSED = ("nr long, page_id long, url string, host long, k1 long, k2 long, texts array<string>, blocks array<int>, flags array<int>, "
-           "subtrees array<long>, firsts array<int>, ends array<int>")
+_KEY = ["host", "k1", "k2"]      # copies of a page (same host, same html) share one key
+_OUTLINE = "host long, k1 long, k2 long, subtrees array<long>, firsts array<int>, ends array<int>"
+_SEGMENTS = "page_id long, url string, host long, k1 long, k2 long, texts array<string>, blocks array<int>, flags array<int>"
+_ARROW = {"page_id": pa.int64(), "url": pa.string(), "host": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "texts": pa.list_(pa.string()),
+          "blocks": pa.list_(pa.int32()), "flags": pa.list_(pa.int32()), "subtrees": pa.list_(pa.int64()), "firsts": pa.list_(pa.int32()),
+          "ends": pa.list_(pa.int32())}
 
 
-def parsed_pages(pages: DataFrame) -> DataFrame:
-    """Every page parsed once: its number, host and content key, segments, and subtrees as ranges of segments."""
+def _parsed(pages: DataFrame, schema: str) -> DataFrame:
+    """The columns of ``schema`` of every page: its name, host and content key, segments, or subtrees as ranges of segments."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
     def run(batches):
         for b in batches:
-            out = [[] for _ in range(8)]
+            out = {c: [] for c in names if c not in b.schema.names}
             for html in b.column("html"):
                 html = html.as_py() or ""
                 page = Page(html)
                 k = xxhash.xxh3_128_intdigest(html.encode("utf-8", "replace"))
-                for c, v in zip(out, ((k >> 64) - (1 << 63), (k & (1 << 64) - 1) - (1 << 63), page.texts, page.blocks, page.flags,
-                                      [s[0] for s in page.subtrees], [s[1] for s in page.subtrees], [s[2] for s in page.subtrees])):
-                    c.append(v)
-            ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-            kinds = pa.int64(), pa.int64(), pa.list_(pa.string()), ints, ints, longs, ints, ints
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("nr", "page_id", "url", "host")), *(pa.array(c, t) for c, t in zip(out, kinds))],
-                                             [c.split()[0] for c in _PARSED.split(", ")])
+                found = {"k1": (k >> 64) - (1 << 63), "k2": (k & (1 << 64) - 1) - (1 << 63), "texts": page.texts, "blocks": page.blocks,
+                         "flags": page.flags, "subtrees": [s[0] for s in page.subtrees], "firsts": [s[1] for s in page.subtrees],
+                         "ends": [s[2] for s in page.subtrees]}
+                for c, values in out.items():
+                    values.append(found[c])
+            yield pa.RecordBatch.from_arrays([pa.array(out[c], _ARROW[c]) if c in out else b.column(c) for c in names], names)
 
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    return pages.select(F.monotonically_increasing_id().alias("nr"), F.col("page_id").cast("long").alias("page_id"), "url",
-                        F.xxhash64(host).alias("host"), "html").mapInArrow(run, _PARSED)
+    own = [F.col("page_id").cast("long").alias("page_id"), "url"] if "page_id" in names else []
+    return pages.select(*own, F.xxhash64(host).alias("host"), "html").mapInArrow(run, schema)
+
+
+def outlines(pages: DataFrame) -> DataFrame:
+    """The subtrees of every distinct page, without its text."""
+    return materialize(_parsed(pages, _OUTLINE).groupBy(*_KEY).agg(*[F.any_value(c).alias(c) for c in ("subtrees", "firsts", "ends")]), "html-outlines")
 
 
-def site_templates(parsed: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+def site_templates(distinct: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, subtree): subtrees that recur on enough distinct pages of their host."""
-    distinct = parsed.groupBy("host", "k1", "k2").agg(F.min("nr").alias("nr"))
-    held = (parsed.where(F.size("subtrees") > 0).select("nr", "host", F.array_distinct("subtrees").alias("subtrees"))
-            .join(distinct.select("nr"), "nr", "left_semi"))
-    counts = (held.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
-              .where(F.col("n") >= FEWEST).withColumn("part", F.pmod("subtree", F.lit(SALTS))))
+    counts = (distinct.select("host", F.explode(F.array_distinct("subtrees")).alias("subtree")).groupBy("host", "subtree")
+              .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FEWEST).withColumn("part", F.pmod("subtree", F.lit(SALTS))))
     n = F.col("pages")
     enough = F.when(n < 2 * min_pages, F.greatest(F.lit(FEWEST), F.ceil(n / 2))).otherwise(F.greatest(F.lit(min_pages), F.ceil(n * SHARE)))
     hosts = (distinct.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-             .select("host", enough.alias("enough"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part")))   # a large host's subtrees spread
+             .select("host", enough.alias("enough"), _parts()))        # a large host's subtrees spread
     return counts.join(hosts, ["host", "part"]).where(F.col("n") >= F.col("enough")).select("host", "subtree")
 
 
+def _parts():
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part")
+
+
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars): one row per row of ``pages``."""
-    parsed = materialize(parsed_pages(pages), "html-parsed")
-    template = site_templates(parsed, min_pages).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    ranges = F.inline(F.arrays_zip("subtrees", "firsts", "ends"))
-    held = parsed.select("nr", "host", F.pmod("nr", F.lit(SALTS)).cast("int").alias("part"), ranges).withColumnRenamed("subtrees", "subtree")
-    gone = (held.join(template, ["host", "subtree", "part"]).groupBy("nr")
-            .agg(F.collect_list(F.struct("firsts", "ends")).alias("gone")))
-    rows = parsed.select("nr", "page_id", "url", "texts", "blocks", "flags").join(gone, "nr", "left").drop("nr")
+    distinct = outlines(pages)
+    template = site_templates(distinct, min_pages).select("*", _parts())
+    held = distinct.select(*_KEY, F.pmod("k1", F.lit(SALTS)).cast("int").alias("part"), F.inline(F.arrays_zip("subtrees", "firsts", "ends")))
+    gone = (held.withColumnRenamed("subtrees", "subtree").join(template, ["host", "subtree", "part"])
+            .groupBy(*_KEY).agg(F.collect_list(F.struct("firsts", "ends")).alias("gone")))
+    # written first, so that the planner knows its size before it decides whether the texts must be shuffled
+    gone = materialize(gone, "html-gone").select("*", _parts())
+    rows = (_parsed(pages, _SEGMENTS).withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))    # copies spread
+            .join(gone, [*_KEY, "part"], "left").select("page_id", "url", "texts", "blocks", "flags", "gone"))
 
     def run(batches):
         for b in batches:
