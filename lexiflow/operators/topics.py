@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiflow.session import stage
+
 
 def class_term_counts(docs: DataFrame, class_cols: list[str], tokens_col: str = "tokens") -> DataFrame:
     """(class..., term, tf)."""
@@ -26,7 +28,11 @@ def class_term_counts(docs: DataFrame, class_cols: list[str], tokens_col: str =
 
 def ctfidf_idf(docs: DataFrame, topic_col: str = "topic", tokens_col: str = "tokens") -> DataFrame:
     """(term, idf) with ``idf = ln(1 + A / f(t))`` fitted on topic classes."""
-    ct = class_term_counts(docs, [topic_col], tokens_col)
+    return idf_of_counts(class_term_counts(docs, [topic_col], tokens_col), topic_col)
+
+
+def idf_of_counts(ct: DataFrame, topic_col: str = "topic") -> DataFrame:
+    """The same from counts (topic, ..., term, tf)."""
     f = ct.groupBy("term").agg(F.sum("tf").alias("f"))
     avg_words = ct.agg(F.sum("tf") / F.count_distinct(topic_col)).scalar()
     return f.select("term", F.log(F.lit(1.0) + avg_words / F.col("f")).alias("idf"))
@@ -34,7 +40,11 @@ def ctfidf_idf(docs: DataFrame, topic_col: str = "topic", tokens_col: str = "tok
 
 def ctfidf(docs: DataFrame, class_cols: list[str], idf: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     """(class..., term, tf, weight) with L1-normalised tf times idf."""
-    ct = class_term_counts(docs, class_cols, tokens_col)
+    return weights_of_counts(class_term_counts(docs, class_cols, tokens_col), class_cols, idf)
+
+
+def weights_of_counts(ct: DataFrame, class_cols: list[str], idf: DataFrame) -> DataFrame:
+    """The same from counts (class..., term, tf)."""
     tot = ct.groupBy(*class_cols).agg(F.sum("tf").alias("_tot"))
     return (ct.join(tot, class_cols).join(idf, "term")
               .select(*class_cols, "term", "tf", (F.col("tf") / F.col("_tot") * F.col("idf")).alias("weight")))
@@ -60,8 +70,8 @@ def collect_ranked_words(top: DataFrame, class_cols: list[str]) -> DataFrame:
 def topic_words(docs: DataFrame, n_words: int = 10, topic_col: str = "topic",
                 tokens_col: str = "tokens") -> DataFrame:
     """(topic, rank, term, weight) top terms per topic by class TF-IDF."""
-    idf = ctfidf_idf(docs, topic_col, tokens_col)
-    return top_terms(ctfidf(docs, [topic_col], idf, tokens_col), [topic_col], n_words)
+    ct = stage(class_term_counts(docs, [topic_col], tokens_col), "topic-terms")       # the texts are read once
+    return top_terms(weights_of_counts(ct, [topic_col], idf_of_counts(ct, topic_col)), [topic_col], n_words)
 
 
 def topics_over_time(docs: DataFrame, slice_col: str, n_words: int = 10, topic_col: str = "topic",
@@ -74,10 +84,13 @@ def topics_over_time(docs: DataFrame, slice_col: str, n_words: int = 10, topic_c
     weight; with ``evolution_tuning`` it is then averaged with the topic's
     weight of the previous slice (same term), when that exists.
     """
-    idf = ctfidf_idf(docs, topic_col, tokens_col)
-    w = ctfidf(docs, [topic_col, slice_col], idf, tokens_col)
+    # The texts are read once: counts by topic are sums of those by topic and slice.
+    ct = stage(class_term_counts(docs, [topic_col, slice_col], tokens_col), "topic-slice-terms")
+    by_topic = ct.groupBy(topic_col, "term").agg(F.sum("tf").alias("tf"))
+    idf = idf_of_counts(by_topic, topic_col)
+    w = weights_of_counts(ct, [topic_col, slice_col], idf)
     if global_tuning:
-        g = ctfidf(docs, [topic_col], idf, tokens_col).select(topic_col, "term", F.col("weight").alias("_g"))
+        g = weights_of_counts(by_topic, [topic_col], idf).select(topic_col, "term", F.col("weight").alias("_g"))
         w = (w.join(g, [topic_col, "term"], "left")
               .withColumn("weight", (F.col("weight") + F.coalesce("_g", F.lit(0.0))) / 2).drop("_g"))
     if evolution_tuning:
@@ -152,7 +165,8 @@ def topic_similarity(docs: DataFrame, n_topics: int = 20, topic_col: str = "topi
     the (topic, topic) cells are summed by partial aggregation. Nothing is
     joined by term with itself. Topics that share no term have similarity 0.
     """
-    weights = ctfidf(docs, [topic_col], ctfidf_idf(docs, topic_col))
+    ct = stage(class_term_counts(docs, [topic_col]), "topic-terms")
+    weights = weights_of_counts(ct, [topic_col], idf_of_counts(ct, topic_col))
     largest = (docs.where(F.col(topic_col) != outlier).groupBy(topic_col).agg(F.count(F.lit(1)).alias("_n"))
                .orderBy(F.desc("_n"), topic_col).limit(n_topics).select(topic_col))
     kept = weights.join(F.broadcast(largest), topic_col, "left_semi")

@@ -15,7 +15,7 @@ from lexiflow.operators import models as ML
 from lexiflow.operators import topics as M
 from lexiflow.plans.catalog import register
 from lexiflow.plans.q_text import prepared_corpus
-from lexiflow.plans.q_topics import N_WORDS, topic_docs
+from lexiflow.plans.q_topics import N_WORDS, topic_docs, topic_docs_once
 from lexiflow.session import ensure_checkpoint_dir, stage
 from lexiflow.sources.tables import documents_with_topics, table, vectors
 
@@ -46,7 +46,7 @@ def q_fit_topics(spark, sf_dir):
 
 @register("infer_topics")
 def q_infer_topics(spark, sf_dir):
-    docs = topic_docs(spark, sf_dir).withColumn("slice", F.date_format("published_at", "yyyy-MM"))
+    docs = topic_docs_once(spark, sf_dir).withColumn("slice", F.date_format("published_at", "yyyy-MM"))
     split = C.stratified_split(docs.select("doc_id", "slice"), "slice", "doc_id", 0.1, 42)
     d = docs.join(split.select("doc_id", "split"), "doc_id")
     cv, lda, _ = _lda(spark, sf_dir, d.filter(F.col("split") == "train"))
@@ -66,7 +66,7 @@ def q_save_topic_model(spark, sf_dir):
 
 @register("topic_activity")
 def q_topic_activity(spark, sf_dir):
-    docs = topic_docs(spark, sf_dir)
+    docs = topic_docs_once(spark, sf_dir)
     th = ML.hashed_theta(docs.select("doc_id"), K_TOPICS)
     return ML.topic_activity(th, docs, "quarter").withColumn("activity", F.round("activity", 6)) \
              .withColumn("topic", F.col("topic").cast("bigint"))
@@ -85,7 +85,7 @@ def q_topic_classification(spark, sf_dir):
 
 
 def _static_topics(spark, sf_dir):
-    docs = topic_docs(spark, sf_dir)
+    docs = topic_docs_once(spark, sf_dir)
     return docs, M.topic_words(docs, N_WORDS)
 
 

@@ -15,7 +15,7 @@ from lexiflow.operators import slices as Z
 from lexiflow.operators import tokens as T
 from lexiflow.operators.language import filter_language
 from lexiflow.plans.catalog import register
-from lexiflow.session import ensure_checkpoint_dir
+from lexiflow.session import ensure_checkpoint_dir, stage
 from lexiflow.sources.corpus_store import load, publish
 from lexiflow.sources.tables import comments, documents_with_topics
 
@@ -26,13 +26,16 @@ EN_STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from",
                 "of", "on", "or", "that", "the", "this", "to", "was", "with"]
 
 
-def cleaned(spark, sf_dir):
+def cleaned(spark, sf_dir, with_time=False):
     """Comments with the normalised letters-only text (P06) and its word tokens."""
-    c = comments(spark, sf_dir)
-    # Read by several branches (term statistics, document count, bag of
-    # words): the regex cleaning runs once.
+    c = comments(spark, sf_dir, with_time)
     return (c.withColumn("clean", X.clean_letters_normalized("comment", ALPHA))
-             .withColumn("tokens", X.tokenize_vectorizer("clean"))).persist()
+             .withColumn("tokens", X.tokenize_vectorizer("clean")))
+
+
+def cleaned_once(spark, sf_dir, *cols):
+    """The given columns of ``cleaned``, staged: vocabulary and counts both read them."""
+    return stage(cleaned(spark, sf_dir, "published_at" in cols).select("doc_id", "tokens", *cols), "cleaned-comments")
 
 
 def _text(name, fn):
@@ -49,7 +52,7 @@ _text("clean_letters_normalized", lambda c: X.clean_letters_normalized(c, ALPHA)
 
 @register("filter_min_length")
 def q_filter_min_length(spark, sf_dir):
-    c = filter_language(comments(spark, sf_dir), "en")
+    c = filter_language(comments(spark, sf_dir, with_time=False), "en")
     c = c.withColumn("clean", X.clean_letters_normalized("comment", ALPHA))
     return C.filter_min_length(c, "clean", 15).select("doc_id", F.length("clean").cast("bigint").alias("n_chars"))
 
@@ -130,21 +133,21 @@ def q_build_vocabulary(spark, sf_dir):
 
 @register("bag_of_words")
 def q_bag_of_words(spark, sf_dir):
-    docs = cleaned(spark, sf_dir)
+    docs = cleaned_once(spark, sf_dir)
     vocab = V.build_vocabulary(docs, min_df=2, max_df=0.9, max_features=5000)
     return V.bag_of_words(docs, vocab, max_terms=5000)
 
 
 @register("filter_min_terms")
 def q_filter_min_terms(spark, sf_dir):
-    docs = cleaned(spark, sf_dir)
+    docs = cleaned_once(spark, sf_dir)
     vocab = V.build_vocabulary(docs, min_df=2, max_df=0.9, max_features=5000)
     return V.filter_min_terms(V.bag_of_words(docs, vocab, max_terms=5000), 50)
 
 
 @register("time_word_frequency")
 def q_time_word_frequency(spark, sf_dir):
-    docs = cleaned(spark, sf_dir).withColumn("time_slice", Z.slice_label(F.col("published_at"), "quarter"))
+    docs = cleaned_once(spark, sf_dir, "published_at").withColumn("time_slice", Z.slice_label(F.col("published_at"), "quarter"))
     vocab = V.build_vocabulary(docs, min_df=2, max_df=0.9, max_features=5000)
     return V.time_word_frequency(V.bag_of_words(docs, vocab, max_terms=5000), docs)
 

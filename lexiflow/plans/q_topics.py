@@ -12,7 +12,7 @@ from lexiflow.operators import dtm as D
 from lexiflow.operators import slices as Z
 from lexiflow.operators import topics as M
 from lexiflow.plans.catalog import register
-from lexiflow.session import cut_lineage
+from lexiflow.session import cut_lineage, stage
 from lexiflow.sources.tables import documents_with_topics
 
 ALPHA = X.ALPHABET_ANY
@@ -20,16 +20,21 @@ N_WORDS = 10
 TOP_TOPICS = 30
 
 
-def topic_docs(spark, sf_dir):
+def topic_docs(spark, sf_dir, with_time=True):
     """Documents with topic labels, cleaned (letters only), length >= 15,
     vectorizer tokens for class TF-IDF and quarter/month slice starts."""
-    d = documents_with_topics(spark, sf_dir)
+    d = documents_with_topics(spark, sf_dir, with_time)
     d = d.withColumn("processed", X.clean_letters("comment", ALPHA))
-    d = C.filter_min_length(d, "processed", 15)
-    # Read by many branches of every topic query (regex cleaning runs once).
-    return (d.withColumn("tokens", X.tokenize_vectorizer("processed"))
-             .withColumn("quarter", Z.slice_start(F.col("published_at"), "quarter"))
-             .withColumn("month", Z.slice_start(F.col("published_at"), "month"))).persist()
+    d = C.filter_min_length(d, "processed", 15).withColumn("tokens", X.tokenize_vectorizer("processed"))
+    if not with_time:
+        return d
+    return (d.withColumn("quarter", Z.slice_start(F.col("published_at"), "quarter"))
+             .withColumn("month", Z.slice_start(F.col("published_at"), "month")))
+
+
+def topic_docs_once(spark, sf_dir):
+    """``topic_docs`` without the raw comments, staged: the metric queries read it in many branches."""
+    return stage(topic_docs(spark, sf_dir).drop("comment"), "topic-docs")
 
 
 def over_time(spark, sf_dir, slice_col="quarter", **kw):
@@ -48,19 +53,19 @@ def _joined(df: DataFrame, col="words", sep=", ") -> DataFrame:
 
 @register("topic_words")
 def q_topic_words(spark, sf_dir):
-    w = M.topic_words(topic_docs(spark, sf_dir), N_WORDS)
+    w = M.topic_words(topic_docs(spark, sf_dir, False), N_WORDS)
     return _r(w.select("topic", F.col("rank").cast("bigint").alias("rank"), "term", "weight"), "weight")
 
 
 @register("topic_info")
 def q_topic_info(spark, sf_dir):
-    docs = topic_docs(spark, sf_dir)
+    docs = topic_docs(spark, sf_dir, False)
     return M.topic_info(docs, M.topic_words(docs, N_WORDS), 5)
 
 
 @register("topic_similarity")
 def q_topic_similarity(spark, sf_dir):
-    return _r(M.topic_similarity(topic_docs(spark, sf_dir), 20), "similarity")
+    return _r(M.topic_similarity(topic_docs(spark, sf_dir, False), 20), "similarity")
 
 
 @register("topics_over_time")
@@ -75,22 +80,22 @@ def q_topics_over_time_tuned(spark, sf_dir):
 
 @register("topic_distribution")
 def q_topic_distribution(spark, sf_dir):
-    return M.topic_distribution(topic_docs(spark, sf_dir), 20)
+    return M.topic_distribution(topic_docs(spark, sf_dir, False), 20)
 
 
 @register("topics_per_platform")
 def q_topics_per_platform(spark, sf_dir):
-    return M.topics_per_platform(topic_docs(spark, sf_dir))
+    return M.topics_per_platform(topic_docs(spark, sf_dir, False))
 
 
 @register("topic_report")
 def q_topic_report(spark, sf_dir):
-    docs = topic_docs(spark, sf_dir)
+    docs = topic_docs_once(spark, sf_dir)
     return M.topic_report(docs, M.topic_words(docs, N_WORDS))
 
 
 def over_time_by_platform(spark, sf_dir):
-    docs = topic_docs(spark, sf_dir)
+    docs = topic_docs_once(spark, sf_dir)
     parts = [M.topics_over_time(docs.filter(F.col("platform") == p), "quarter", N_WORDS)
              .withColumn("platform", F.lit(p)) for p in ("YouTube", "Telegram")]
     return parts[0].unionByName(parts[1])
@@ -105,7 +110,7 @@ def q_over_time_summary(spark, sf_dir):
 
 def dtm_inputs(spark, sf_dir, variant: str, docs=None, ot=None):
     """(grid, corpus, vocab) for one preset, built from the fixture tables."""
-    docs = docs if docs is not None else topic_docs(spark, sf_dir)
+    docs = docs if docs is not None else topic_docs_once(spark, sf_dir)
     if variant == "B":
         ot = ot if ot is not None else M.topics_over_time(docs, "month", N_WORDS)
         topics = D.select_topics_by_docs(docs, None)
@@ -229,7 +234,7 @@ def q_rank_topics_and_slices(spark, sf_dir):
 
 @register("integrated_profile")
 def q_integrated_profile(spark, sf_dir):
-    docs = topic_docs(spark, sf_dir)
+    docs = topic_docs_once(spark, sf_dir)
     ot = M.topics_over_time(docs, "quarter", N_WORDS)
     grid, corpus, vocab = dtm_inputs(spark, sf_dir, "D", docs=docs, ot=ot)
     m = D.dtm_metrics(grid, corpus, vocab, "D")
@@ -240,7 +245,7 @@ def q_integrated_profile(spark, sf_dir):
 def q_combined_report(spark, sf_dir):
     """Over-time rows with TC/TD/TQ of their slice, TTQ of their topic,
     TTC/TTS of (topic, slice) and the overall metrics repeated."""
-    docs = topic_docs(spark, sf_dir)
+    docs = topic_docs_once(spark, sf_dir)
     ot = M.topics_over_time(docs, "quarter", N_WORDS)
     grid, corpus, vocab = dtm_inputs(spark, sf_dir, "C", docs=docs, ot=ot)
     m = D.dtm_metrics(grid, corpus, vocab, "C")
@@ -259,7 +264,7 @@ def q_combined_report(spark, sf_dir):
 @register("platform_comparison")
 def q_platform_comparison(spark, sf_dir):
     """Metric x platform (variant D per platform), 4 decimals."""
-    docs = topic_docs(spark, sf_dir)
+    docs = topic_docs_once(spark, sf_dir)
     parts = []
     for p in ("YouTube", "Telegram"):
         dp = docs.filter(F.col("platform") == p)
@@ -270,7 +275,7 @@ def q_platform_comparison(spark, sf_dir):
 
 
 def _dynamic_inputs(spark, sf_dir):
-    docs = topic_docs(spark, sf_dir)
+    docs = topic_docs_once(spark, sf_dir)
     ot = M.topics_over_time(docs, "quarter", N_WORDS)
     grid, _, vocab = dtm_inputs(spark, sf_dir, "C", docs=docs, ot=ot)
     st = D.slice_times(ot)

@@ -10,7 +10,7 @@ from lexiflow.operators import sketch as K
 from lexiflow.operators import tokens as T
 from lexiflow.operators import vectors as N
 from lexiflow.plans.catalog import register
-from lexiflow.session import cut_lineage
+from lexiflow.session import cut_lineage, stage
 from lexiflow.sources.tables import table, vectors
 
 CMS = K.cms_spec(0.01, 0.01)
@@ -23,12 +23,11 @@ TOP_K = 5
 def text_docs(spark, sf_dir):
     """(doc_id, lang, tokens): lower-cased word tokens of each whole document."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    # Tokens feed document frequency, the document count, lengths and tf.
-    return d.select("doc_id", "lang", X.tokenize_words("text").alias("tokens")).persist()
+    return d.select("doc_id", "lang", X.tokenize_words("text").alias("tokens"))
 
 
 def _df(spark, sf_dir):
-    return T.document_frequency(text_docs(spark, sf_dir))
+    return stage(T.document_frequency(text_docs(spark, sf_dir)), "document-frequency")     # built from and queried
 
 
 def _cells(df):
@@ -68,9 +67,8 @@ def q_sketch_merge(spark, sf_dir):
 
 @register("sidf_weight")
 def q_sidf_weight(spark, sf_dir):
-    docs = text_docs(spark, sf_dir)
-    df = T.document_frequency(docs)
-    n = docs.select(F.count(F.lit(1))).scalar()
+    df = _df(spark, sf_dir)
+    n = table(spark, sf_dir, "documents").select(F.count(F.lit(1))).scalar()
     p_cms = K.sketch_query(df, K.sketch_build(df, CMS), CMS).withColumnRenamed("estimate", "p_cms")
     p_cs = K.sketch_query(df, K.sketch_build(df, CS), CS).withColumnRenamed("estimate", "p_cs")
     x = p_cms.join(p_cs, "term")

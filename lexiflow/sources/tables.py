@@ -19,10 +19,6 @@ TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Timestamps are zone-free in the data model: period labels and event-time
-    # windows are computed in UTC whatever the caller's session zone is.
-    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     key = TEXT_TABLES.get(name)
     if key is not None:
@@ -77,9 +73,9 @@ def topic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").alias("doc_id"), F.col("label").cast("int").alias("topic"))
 
 
-def documents_with_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents_with_topics(spark: SparkSession, sf_dir: str, with_time: bool = True) -> DataFrame:
     """Comments plus (topic, probability); probability is a deterministic score."""
-    c = comments(spark, sf_dir)
+    c = comments(spark, sf_dir, with_time)
     return (c.join(topic_labels(spark, sf_dir), "doc_id", "left")
             .withColumn("topic", F.coalesce(F.col("topic"), F.lit(-1)))
             .withColumn("probability", score01(F.col("doc_id"), seed="p")))
