@@ -10,7 +10,8 @@ mask holds the spans of the assistants' texts.
 
 Defined results: null role or text is empty; turns with one number are ordered by
 role, then text; a record of unknown layout, or no JSON object, has null turns and is
-returned with its fingerprint; repeated rows are separate turns; an empty table
+returned with its fingerprint; a wrong type anywhere makes an unknown layout; an empty
+or null list of turns gives no turns; optional keys are ignored; repeated rows are separate turns; an empty table
 gives an empty result.
 """
 
@@ -24,11 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: paths of a layout -> (list path, role key, text key) or ordered (role, field) pairs
+#: paths of a layout -> (list path, role key, text key) or ordered (role, field) pairs; a list path is a path too, and a
+#: path that holds anything but strings and nulls has its type's name behind it, so it belongs to none of these layouts
 LAYOUTS = {
     ("turns", "turns[].role", "turns[].text"): ("turns", "role", "text"),
     ("messages", "messages[].content", "messages[].role"): ("messages", "role", "content"),
+    ("messages", "messages[].content", "messages[].content[].text", "messages[].content[].type", "messages[].role"): ("messages", "role", "content"),
     ("conversations", "conversations[].from", "conversations[].value"): ("conversations", "from", "value"),
+    ("turns",): ("turns", "role", "text"),
+    ("messages",): ("messages", "role", "content"),
+    ("conversations",): ("conversations", "from", "value"),
     ("instruction", "output"): [("user", "instruction"), ("assistant", "output")],
     ("input", "instruction", "output"): [("user", "instruction"), ("user", "input"), ("assistant", "output")],
     ("completion", "prompt"): [("user", "prompt"), ("assistant", "completion")],
@@ -36,24 +42,23 @@ LAYOUTS = {
     ("answer", "question"): [("user", "question"), ("assistant", "answer")],
     ("response", "system", "user"): [("system", "system"), ("user", "user"), ("assistant", "response")],
 }
+#: paths that a record may have besides, whatever they hold
+OPTIONAL = frozenset(("id", "source", "messages[].name", "messages[].id", "turns[].name", "turns[].id"))
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 RENAMED = frozenset({"conversations"})   # layouts whose role names are mapped by ROLES
 CONTROL = re.compile(r"\\|</?s>|\[/?INST\]")
 _SCAN = re.compile(r"\\(.)|<s>|</s>|\n", re.S)
 
 
-def field_paths(record, prefix="") -> set:
-    out: set = set()
-    if isinstance(record, dict):
-        for k, v in record.items():
-            p = f"{prefix}.{k}" if prefix else k
-            out |= field_paths(v, p) or {p}
-            if not prefix and isinstance(v, list):
-                out.add(p)
-    elif isinstance(record, list):
-        for v in record:
-            out |= field_paths(v, f"{prefix}[]")
-    return out
+def field_paths(value, path="") -> set:
+    """Nested field paths of a record, list positions dropped, without the optional ones."""
+    if path in OPTIONAL:
+        return set()
+    if isinstance(value, dict):
+        return set().union(*(field_paths(v, f"{path}.{k}" if path else k) for k, v in value.items())) if value else {f"{path}:object"}
+    if isinstance(value, list):
+        return {path}.union(*(field_paths(v, f"{path}[]") for v in value))
+    return {path if value is None or isinstance(value, str) else f"{path}:{type(value).__name__}"}
 
 
 def fingerprint(paths) -> str:
@@ -70,11 +75,21 @@ def canonical_turns(record):
     if m is None or not isinstance(record, dict):
         return fp, None
     if isinstance(m, tuple):
+        turns = record[m[0]]
+        if turns is not None and not isinstance(turns, list):
+            return fp, None
         names = ROLES if m[0] in RENAMED else {}
-        return fp, [(names.get(t.get(m[1]), t.get(m[1])) or "", t.get(m[2]) or "") for t in record[m[0]]]
+        return fp, [(names.get(t.get(m[1]), t.get(m[1])) or "", _text(t.get(m[2]))) for t in turns or ()]
     return fp, [(role, record[f] or "") for role, f in m if f != "input" or record[f]]
 
 
+def _text(content) -> str:
+    """A content is a string, or a list of parts whose texts follow each other."""
+    if isinstance(content, list):
+        return "".join(p.get("text") or "" for p in content)
+    return content or ""
+
+
 def _escape(text: str) -> str:
     return CONTROL.sub(lambda x: "\\" + x[0], text)
 
@@ -140,11 +155,19 @@ def format_records(df: DataFrame, json_col: str, id_col: str) -> DataFrame:
 
 
 def records_from_turns(rows: DataFrame) -> DataFrame:
-    """(conv_id, record JSON) from rows (conv_id, turn, role, text). One conversation is one record."""
+    """(conv_id, record JSON) from rows (conv_id, turn, role, text). One conversation is one record, in one of three
+    layouts by its id: turns, messages, or messages whose contents are lists of parts."""
     empty = F.lit("")
     turns = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))))
+
+    def record(name, text, of):
+        return F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), of(x["text"]).alias(text))).alias(name)))
+
+    parts = record("messages", "content", lambda t: F.array(F.struct(F.lit("text").alias("type"), t.alias("text"))))
+    kind = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(3))
     return (rows.groupBy("conv_id").agg(turns.alias("t"))
-            .select("conv_id", F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))).alias("record")))
+            .select("conv_id", F.when(kind == 0, record("turns", "text", lambda t: t)).when(kind == 1, record("messages", "content", lambda t: t))
+                    .otherwise(parts).alias("record")))
 
 
 def digests(formatted: DataFrame) -> DataFrame:

@@ -149,15 +149,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """Model from at most ``sample`` labelled documents, or None without two classes."""
     lab = bounded_sample(labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", "quality"), "doc_id", sample)
     # the broadcast side has at most ``sample`` rows
-    rows = (docs.select("doc_id", "text").join(F.broadcast(lab.groupBy("doc_id").agg(F.min("quality").alias("quality"))), "doc_id"))
+    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(lab.groupBy("doc_id").agg(F.min("quality").alias("quality"))), "doc_id"))
 
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([[float(v) for v in statistics(t.as_py())[1]] for t in b.column("text")], pa.list_(pa.float64())),
-                 b.column("quality").cast(pa.float64())], ["x", "y"])
+                [b.column("doc_id"), pa.array([[float(v) for v in statistics(t.as_py())[1]] for t in b.column("text")], pa.list_(pa.float64())),
+                 b.column("quality").cast(pa.float64())], ["doc_id", "x", "y"])
 
-    got = sorted((r.y, tuple(r.x)) for r in rows.mapInArrow(run, "x array<double>, y double").collect())
+    # one row per labelled id, however often it is repeated: at most ``sample`` rows
+    one = rows.mapInArrow(run, "doc_id long, x array<double>, y double").groupBy("doc_id").agg(F.min(F.struct("y", "x")).alias("r"))
+    got = sorted((r.y, tuple(r.x)) for r in one.select("r.*").collect())
     if len({y for y, _ in got}) < 2:
         return None
     y, x = np.array([g[0] for g in got]), np.array([g[1] for g in got])

@@ -19,6 +19,7 @@ in one class; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -213,8 +214,9 @@ def keep_one_per_component(df: DataFrame, text_col="text", id_col="doc_id", **kw
     """Rows of ``df``, one per component: that of the smallest id. Of repeated rows
     with this id, one stays (first by a hash of the row). Rows without id stay."""
     comp = simhash_components(df, text_col, id_col, **kw)
-    best = comp.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = df.join(best, df[id_col] == best["_keep"], "left_semi")
+    keep, nth = (f"_simhash_{uuid.uuid4().hex}" for _ in range(2))       # no column of ``df`` has such a name
+    best = comp.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(keep)).distinct()
+    kept = df.join(best, df[id_col] == best[keep], "left_semi")
     one = Window.partitionBy(F.col(id_col)).orderBy(F.xxhash64(text_col), F.col(text_col))
-    kept = kept.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth")
+    kept = kept.withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).drop(nth)
     return kept.unionByName(df.where(F.col(id_col).isNull()))

@@ -8,6 +8,9 @@ separator between them, and updates the sums on the path to the root.
 Edits are (start, stop, text) in code points of the text as it then stands, applied in
 order; positions beyond the text are moved to its end.
 
+``build_trees`` gives the leaves as a table to keep; ``edit_trees`` takes that table and a batch of edits, and gives the
+table after them. ``count_edited`` does both for edits that come with their documents.
+
 Defined results: null text is empty and counts 0; null edits are none; repeated rows
 are separate documents; an empty table gives an empty result.
 """
@@ -41,18 +44,25 @@ class Counted:
     """A text with its token count; ``encoded`` is the number of code points encoded so far."""
 
     def __init__(self, text: str, count):
-        self._count = count
-        self.leaf = segments(text)
+        leaves = segments(text)
+        self._fill(leaves, count(leaves), count)
         self.encoded = len(text)
-        self.size = 1
+
+    def _fill(self, leaves, tokens, count):
+        self._count, self.leaf, self.encoded, self.size = count, leaves, 0, 1
         while self.size < len(self.leaf):
             self.size *= 2
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i, n in enumerate(count(self.leaf)):
+        for i, n in enumerate(tokens):
             self.chars[self.size + i], self.tokens[self.size + i] = len(self.leaf[i]), n
         for i in range(self.size - 1, 0, -1):
             self._pull(i)
 
+    def kept(self):
+        """(segments, their token counts) that are not empty."""
+        held = [(x, n) for x, n in zip(self.leaf, self.tokens[self.size:]) if x]
+        return [x for x, _ in held], [n for _, n in held]
+
     def _pull(self, i):
         self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
         self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
@@ -82,9 +92,18 @@ class Counted:
             i //= 2
             self._pull(i)
 
-    def edit(self, start: int, stop: int, new: str):
-        start = min(max(0, start), self.chars[1])
-        stop = min(max(start, stop), self.chars[1])
+    @classmethod
+    def stored(cls, leaves: list, tokens: list, count):
+        """A document from its kept segments, without encoding anything."""
+        doc = cls.__new__(cls)
+        doc._fill(leaves or [""], tokens or [0], count)
+        return doc
+
+    def edit(self, start: int | None, stop: int | None, new: str | None):
+        """Replace start..stop; a null start is the text's end, a null stop the start, a null text empty."""
+        start = self.chars[1] if start is None else min(max(0, start), self.chars[1])
+        stop = start if stop is None else min(max(start, stop), self.chars[1])
+        new = new or ""
         first, at = self._find(start)
         last, merged, n = first, self.leaf[first], len(self.leaf)
         while at + len(merged) < stop:
@@ -118,12 +137,60 @@ def count_edited(docs: DataFrame, edits_col: str, tokenizer_path: str | None = N
             for doc_id, text, edits in zip(b.column("doc_id"), b.column("text"), b.column("edits")):
                 doc = Counted(text.as_py() or "", count)
                 before, whole = doc.n_tokens, doc.encoded
-                edits = edits.as_py() or []
+                edits = [e for e in edits.as_py() or () if e is not None]
                 for e in edits:
-                    doc.edit(e["start"], e["stop"], e["text"] or "")
+                    doc.edit(e["start"], e["stop"], e["text"])
                 for c, x in zip(out, (doc_id.as_py(), before, doc.n_tokens, doc.chars[1], len(edits), doc.encoded - whole)):
                     c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names)
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(edits_col).alias("edits"))
             .mapInArrow(run, ", ".join(f"{c} long" for c in names)))
+
+
+_TREES = "doc_id long, leaves array<string>, tokens array<int>, n_tokens long, n_chars long, reencoded_chars long"
+_KINDS = pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64()
+
+
+def _tree_rows(docs) -> pa.RecordBatch:
+    rows = [(i, *d.kept(), d.n_tokens, d.chars[1], d.encoded) for i, d in docs]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_KINDS)], [c.split()[0] for c in _TREES.split(", ")])
+
+
+def _counter(path):
+    t = _tokenizer(path)
+    return lambda texts: [len(x) // 4 for x in encode_whole(t, texts)]
+
+
+def build_trees(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+    """The leaves of every document's trees, to be kept as a table: (doc_id, leaves, tokens, n_tokens, n_chars, reencoded_chars)."""
+    path = tokenizer_path or default_tokenizer()
+
+    def run(batches):
+        count = _counter(path)
+        for b in batches:
+            yield _tree_rows((i.as_py(), Counted(t.as_py() or "", count)) for i, t in zip(b.column("doc_id"), b.column("text")))
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _TREES)
+
+
+def edit_trees(trees: DataFrame, edits: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+    """The kept trees after a batch of ``edits`` (doc_id, nr, start, stop, text), applied by ``nr``: only segments that an
+    edit touches are encoded again, which ``reencoded_chars`` counts; documents without edits pass as they are. Edits of
+    unknown documents change nothing."""
+    path = tokenizer_path or default_tokenizer()
+    by_doc = edits.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_doc")).agg(
+        F.array_sort(F.collect_list(F.struct("nr", "start", "stop", "text"))).alias("edits"))
+
+    def run(batches):
+        count = _counter(path)
+        for b in batches:
+            docs = []
+            for i, leaves, tokens, change in zip(*(b.column(c).to_pylist() for c in ("doc_id", "leaves", "tokens", "edits"))):
+                doc = Counted.stored(leaves, tokens, count)
+                for e in change or ():
+                    doc.edit(e["start"], e["stop"], e["text"])
+                docs.append((i, doc))
+            yield _tree_rows(docs)
+
+    return (trees.join(by_doc, trees["doc_id"] == by_doc["_doc"], "left").select("doc_id", "leaves", "tokens", "edits").mapInArrow(run, _TREES))

@@ -102,15 +102,18 @@ def severity(model, text):
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     lab = bounded_sample(labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", "toxic"), "doc_id", sample)
     # the broadcast side has at most ``sample`` rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(lab.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(lab.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))), "doc_id")
 
     def run(batches):
         for b in batches:
             f = [word_ids(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in f], pa.list_(pa.int32())), pa.array([x[1] for x in f], pa.list_(pa.int32())),
-                                              b.column("toxic").cast(pa.int32())], ["ids", "counts", "toxic"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x[0] for x in f], pa.list_(pa.int32())),
+                                              pa.array([x[1] for x in f], pa.list_(pa.int32())), b.column("toxic").cast(pa.int32())],
+                                             ["doc_id", "ids", "counts", "toxic"])
 
-    got = rows.mapInArrow(run, "ids array<int>, counts array<int>, toxic int").collect()
+    # one row per labelled id, however often it is repeated: at most ``sample`` rows
+    one = F.min(F.struct(F.xxhash64("ids", "counts").alias("h"), "ids", "counts", "toxic")).alias("r")
+    got = rows.mapInArrow(run, "doc_id long, ids array<int>, counts array<int>, toxic int").groupBy("doc_id").agg(one).select("r.*").collect()
     got.sort(key=lambda r: (r.toxic, r.ids, r.counts))
     return fit_ordinal([(r.ids, r.counts) for r in got], np.array([r.toxic for r in got], int))
 
