@@ -6,8 +6,9 @@ family, and the family's regexes. A detection is an interval of words with a lab
 and a priority; one that lies inside another of equal or better priority is
 suppressed. Base phrases are counted apart and always keep their labels.
 
-The rules are built from families (label, keyword, name regex) and templates
-(priority, relevance, regex around the name). A match consists of rule words only
+Standard notices, titles and openings of license texts have rules of their own; the
+others are built from families (label, keyword, name regex) and templates (priority,
+relevance, regex around the name). A match consists of rule words only
 (words that occur in some rule), so one pass cuts a text at all other words, and the
 rules run on the few runs of rule words that hold an anchor and a keyword. Intervals
 that contain one another lie in one run, so suppression within runs is complete.
@@ -97,8 +98,41 @@ EXTRA = [
     ("cc-by-sa", "cc", 3, 0.85, r"cc by sa(?: [1-4] [05])?"),
     ("cc-by-nd", "cc", 3, 0.85, r"cc by nd(?: [1-4] [05])?"),
     ("cc-by", "cc", 3, 0.7, r"cc by(?: [1-4] [05])?"),
+    # standard notices
+    ("gpl-2", "gnu", 1, 1.0, r"gnu general public license as published by the free software foundation either version 2(?: of the license)?"),
+    ("gpl-3", "gnu", 1, 1.0, r"gnu general public license as published by the free software foundation either version 3(?: of the license)?"),
+    ("gpl-2", "gnu", 1, 1.0, r"gnu general public license version 2(?: only)? as published by the free software foundation"),
+    ("gpl-3", "gnu", 1, 1.0, r"gnu general public license version 3(?: only)? as published by the free software foundation"),
+    ("lgpl-2.1", "gnu", 1, 1.0, r"gnu (?:lesser|library) general public license as published by the free software foundation either version 2(?: 1)?(?: of the license)?"),
+    ("lgpl-3", "gnu", 1, 1.0, r"gnu lesser general public license as published by the free software foundation either version 3(?: of the license)?"),
+    ("agpl-3", "gnu", 1, 1.0, r"gnu affero general public license as published by the free software foundation either version 3(?: of the license)?"),
+    ("gfdl", "gnu", 1, 0.95, r"copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("mpl-2", "mozilla", 1, 1.0, r"this source code form is subject to the terms of the mozilla public license v(?:ersion)? 2 0"),
+    ("mpl-1.1", "mozilla", 1, 1.0, r"subject to the mozilla public license version 1 1"),
+    ("apache-2", "apache", 1, 0.95, r"www apache org licenses license 2 0"),
+    ("epl-2", "eclipse", 1, 0.95, r"made available under the terms of the eclipse public license 2 0"),
+    ("boost-1", "boost", 1, 0.95, r"distributed under the boost software license version 1 0"),
+    # titles of license texts
+    ("gpl-2", "gnu", 3, 0.75, r"gnu general public license(?: version| v)? ?2(?: 0)?"),
+    ("gpl-3", "gnu", 3, 0.75, r"gnu general public license(?: version| v)? ?3(?: 0)?"),
+    ("lgpl-2.1", "gnu", 3, 0.75, r"gnu (?:lesser|library) general public license(?: version| v)? ?2(?: [01])?"),
+    ("lgpl-3", "gnu", 3, 0.75, r"gnu lesser general public license(?: version| v)? ?3(?: 0)?"),
+    ("agpl-3", "gnu", 3, 0.75, r"gnu affero general public license(?: version| v)? ?3(?: 0)?"),
+    ("apache-2", "apache", 3, 0.75, r"apache(?: software)? license(?: version| v)? ?2(?: 0)?"),
+    ("mpl-1.1", "mozilla", 3, 0.75, r"mozilla public license(?: version| v)? ?1 [01]"),
+    ("mpl-2", "mozilla", 3, 0.75, r"mozilla public license(?: version| v)? ?2(?: 0)?"),
+    ("epl-1", "eclipse", 3, 0.75, r"eclipse public license(?: version| v)? ?1(?: 0)?"),
+    ("epl-2", "eclipse", 3, 0.75, r"eclipse public license(?: version| v)? ?2(?: 0)?"),
+    ("boost-1", "boost", 3, 0.75, r"boost software license(?: version)? 1 0"),
+    ("eupl-1.2", "european", 3, 0.75, r"european union public licen[cs]e(?: version| v)? ?1 2"),
+    ("artistic-2", "artistic", 3, 0.75, r"the artistic license(?: version)? 2 0"),
+    # openings of license texts
+    ("bsd-3-clause", "neither", 2, 0.95, r"neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("unlicense", "unencumbered", 1, 1.0, r"this is free and unencumbered software released into the public domain"),
+    ("zlib", "altered", 2, 0.9, r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("ofl-1.1", "font", 2, 0.9, r"this font software is licensed under the sil open font license version 1 1"),
 ]
-ANCHORS = ["licen", "permi", "redistribution", " spdx ", " under ", " cc ", " domain ", " reserved ", " subject to ", " governed by ", " pursuant to "]
+ANCHORS = ["licen", "permi", "redistribution", " neither ", " unencumbered ", " misrepresented ", " spdx ", " under ", " cc ", " domain ", " reserved ", " subject to ", " governed by ", " pursuant to "]
 
 
 def rules():
