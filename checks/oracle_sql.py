@@ -790,6 +790,11 @@ SELECT metric, round(value, 6) AS value,
                    WHEN 'TTQ' THEN CASE WHEN value > 0.5 THEN 'Excellent' WHEN value > 0.3 THEN 'Good'
                                         WHEN value > 0.1 THEN 'Moderate' ELSE 'Poor' END END AS band
 FROM v
+UNION ALL SELECT 'advice_DTQ', round(value, 6),
+          CASE WHEN value > 0.7 THEN 'Continue using current parameters'
+               WHEN value > 0.5 THEN 'Consider fine-tuning parameters for potential improvements'
+               WHEN value > 0.3 THEN 'Consider adjusting model parameters, preprocessing steps, or number of topics'
+               ELSE 'Review data preprocessing, model parameters, and topic number selection' END FROM v WHERE metric = 'DTQ'
 UNION ALL SELECT 'advice_TTC', round(value, 6), 'Consider improving topic coherence across time' FROM v
           WHERE metric = 'TTC' AND value < 0.05
 UNION ALL SELECT 'advice_TTS', round(value, 6), 'Topics change significantly over time' FROM v
@@ -860,3 +865,16 @@ FROM l WHERE NOT late GROUP BY ALL
 UNION ALL SELECT NULL, NULL, 'late', count(*) FILTER (WHERE late), NULL FROM l"""
 SQL["topic_bundle"] = f"""WITH {PREPARED}
 SELECT doc_id, t, 20::BIGINT AS n_topics, 1.0::DOUBLE AS total, TRUE AS same FROM ps WHERE split = 'test'"""
+_w20 = f"({TOK['tokenize_words']('comment')})[1:20]"
+SQL["sink_csv"] = f"""WITH {COMMENTS}, w AS (SELECT doc_id, platform, {_w20} AS w FROM comments)
+SELECT doc_id, platform, CASE WHEN len(w) > 0 THEN array_to_string(w, ', ') END AS words FROM w"""
+SQL["sink_json"] = f"""WITH {COMMENTS}, w AS (SELECT doc_id, platform, {_w20} AS w FROM comments)
+SELECT doc_id, platform, len(w)::BIGINT AS n_words, array_to_string(w, '|') AS words FROM w"""
+SQL["parse_time_strict"] = f"""WITH {COMMENTS}
+SELECT doc_id, date_trunc('second', published_at) AS parsed FROM comments WHERE published_at IS NOT NULL"""
+SQL["parse_topic_words"] = f"""WITH {COMMENTS},
+w AS (SELECT doc_id, list_transform(string_split({_nz('comment')}, ','), lambda x: trim(x, ' ')) AS w FROM comments)
+SELECT doc_id, array_to_string((list_filter(list_transform(w, lambda x: CASE WHEN starts_with(x, 'the ') THEN substr(x, 5) ELSE x END),
+                                            lambda x: x <> ''))[1:10], '|') AS words FROM w"""
+SQL["add_model_prefix"] = f"""WITH {COMMENTS}
+SELECT doc_id, md5('clustering: ' || {CLEAN['clean_letters_normalized']('comment')}) AS digest FROM comments"""

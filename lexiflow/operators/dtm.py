@@ -265,6 +265,13 @@ DTQ_BANDS = [(0.7, "Excellent"), (0.5, "Good"), (0.3, "Moderate")]
 TTC_BANDS = [(0.1, "High"), (0.05, "Medium")]
 TTS_BANDS = [(0.5, "High"), (0.3, "Medium")]
 TTQ_BANDS = [(0.5, "Excellent"), (0.3, "Good"), (0.1, "Moderate")]
+# Advice by the band of DTQ.
+DTQ_ADVICE = {
+    "Excellent": "Continue using current parameters",
+    "Good": "Consider fine-tuning parameters for potential improvements",
+    "Moderate": "Consider adjusting model parameters, preprocessing steps, or number of topics",
+    "Poor": "Review data preprocessing, model parameters, and topic number selection",
+}
 
 
 def _band(x: Column, bands, default: str) -> Column:
@@ -275,7 +282,7 @@ def _band(x: Column, bands, default: str) -> Column:
 
 
 def quality_bands(overall: DataFrame) -> DataFrame:
-    """(metric, value, band) with advice rows when TTC < .05 or TTS < .3."""
+    """(metric, value, band) with advice rows when TTC < .05 or TTS < .3, and one for the band of DTQ."""
     v = overall.select("metric", "value")
     banded = v.select("metric", "value", F.when(F.col("metric") == "DTQ", _band(F.col("value"), DTQ_BANDS, "Poor"))
                       .when(F.col("metric") == "TTC", _band(F.col("value"), TTC_BANDS, "Low"))
@@ -288,6 +295,7 @@ def quality_bands(overall: DataFrame) -> DataFrame:
                F.lit("Consider improving topic coherence across time"))
          .when((F.col("metric") == "TTS") & (F.col("value") < 0.3),
                F.lit("Topics change significantly over time"))
+         .when(F.col("metric") == "DTQ", _band(F.col("value"), [(b, DTQ_ADVICE[name]) for b, name in DTQ_BANDS], DTQ_ADVICE["Poor"]))
          .alias("band")).filter(F.col("band").isNotNull())
     return banded.unionByName(advice)
 

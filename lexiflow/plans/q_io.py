@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from lexiflow.functions import text as X
 from lexiflow.operators import embed as E
 from lexiflow.operators import sketch as K
 from lexiflow.operators import tokens as T
@@ -89,6 +90,25 @@ def q_scan_jsonlines(spark, sf_dir):
     return S.scan_jsonlines(spark, p).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("sink_csv")
+def q_sink_csv(spark, sf_dir):
+    """Token lists as CSV (arrays joined by comma), read back."""
+    p = _scratch(spark, "tokens_csv")
+    d = comments(spark, sf_dir, with_time=False).select("doc_id", "platform", F.slice(X.tokenize_words("comment"), 1, 20).alias("words"))
+    S.sink_csv(d, p)
+    return spark.read.schema("doc_id long, platform string, words string").option("header", True).option("escape", '"').csv(p)
+
+
+@register("sink_json")
+def q_sink_json(spark, sf_dir):
+    """The same rows as JSON lines with the arrays kept, read back."""
+    p = _scratch(spark, "tokens_json")
+    d = comments(spark, sf_dir, with_time=False).select("doc_id", "platform", F.slice(X.tokenize_words("comment"), 1, 20).alias("words"))
+    S.sink_json(d, p)
+    r = spark.read.schema("doc_id long, platform string, words array<string>").json(p)
+    return r.select("doc_id", "platform", F.size("words").cast("bigint").alias("n_words"), F.array_join("words", "|").alias("words"))
+
+
 @register("sink_parquet_batches")
 def q_sink_parquet_batches(spark, sf_dir):
     """Pair rows written one folder per batch and read back per batch."""

@@ -150,3 +150,10 @@ def q_topic_activity_fitted(spark, sf_dir):
     bundle, docs = _fitted_bundle(spark, sf_dir)
     train = docs.where(F.col("split") == "train")
     return ML.topic_activity(bundle.infer(train).drop("t"), train, "slice")
+
+
+@register("topic_classification_fitted")
+def q_topic_classification_fitted(spark, sf_dir):
+    """M11 on fitted weights: accuracy and macro F1 of the labels predicted from the documents' topic weights."""
+    bundle, docs = _fitted_bundle(spark, sf_dir)
+    return ML.topic_classification(stage(bundle.infer(docs).drop("t"), "theta"), _labels(spark, sf_dir), K_LDA)

@@ -71,6 +71,27 @@ def q_parse_time_coerce(spark, sf_dir):
                     C.parse_time_coerce(F.substring("comment", 1, 19)).alias("parsed_bad"))
 
 
+@register("parse_time_strict")
+def q_parse_time_strict(spark, sf_dir):
+    """P10: times written as text and parsed strictly (an invalid one would end the query)."""
+    c = comments(spark, sf_dir).where(F.col("published_at").isNotNull())
+    return c.select("doc_id", C.parse_time_strict(F.date_format("published_at", "yyyy-MM-dd HH:mm:ss")).alias("parsed"))
+
+
+@register("parse_topic_words")
+def q_parse_topic_words(spark, sf_dir):
+    """The comma-separated parts of a comment as a word list; the prefix 'the ' is stripped."""
+    c = comments(spark, sf_dir, with_time=False)
+    return c.select("doc_id", F.array_join(X.parse_topic_words("comment", 10, "the "), "|").alias("words"))
+
+
+@register("add_model_prefix")
+def q_add_model_prefix(spark, sf_dir):
+    """Cleaned comments with the model's prefix, by digest."""
+    c = comments(spark, sf_dir, with_time=False)
+    return c.select("doc_id", F.md5(X.add_prefix(X.clean_letters_normalized("comment", ALPHA))).alias("digest"))
+
+
 @register("calendar_parts")
 def q_calendar_parts(spark, sf_dir):
     c = C.tag_source(comments(spark, sf_dir), "fixture", "source_name")
