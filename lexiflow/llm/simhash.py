@@ -1,15 +1,23 @@
-"""SimHash near-duplicates through a sharded vantage-point tree.
+"""SimHash near-duplicates through sharded vantage-point trees.
 
 A 64-bit fingerprint per document (majority of the bits of its shingles' XXH64).
-Equal fingerprints form one class at once. Distinct fingerprints are dealt to the
-leaves of a vantage-point tree fitted on a bounded sample: inside a node's radius
-to the left, else to the right. By the triangle inequality a partner within
-``max_bits`` of an inside point can lie outside only if that point is nearer than
-``max_bits`` to the radius; only such boundary points also go right. Every pair
-therefore meets in a leaf, where distances are computed exactly in blocks (again
-pruned by the distances to a vantage point). A leaf returns one row per linked
-fingerprint with its leaf-local component, never the pairs; components that share
-a fingerprint are then joined by label propagation over the components alone.
+Equal fingerprints form one class at once. On all 64 bits a radius hardly prunes: the
+distances of unrelated fingerprints lie close to 32, so the boundary of ``max_bits``
+around any radius holds a third of them. The bits are therefore split into
+``max_bits + 1`` parts of like information, and each part has a vantage-point tree of its own: two
+fingerprints within ``max_bits`` agree in one part at least, and by the triangle
+inequality their distances to a vantage point of that part's tree are equal, so they
+meet in a leaf of that tree without boundary copies. A fingerprint stands in
+``max_bits + 1`` leaves, however large the table is.
+
+A tree is fitted on a bounded sample. The points of a leaf that is still above ``bound``
+are dealt again, by trees over the bits not yet agreed on, fitted on these points; when
+``REST`` bits or fewer are left, the agreed bits themselves divide the leaf. Within a leaf,
+points are sorted by the distance to a vantage point on all bits and cut into shards;
+each shard meets those whose distances overlap its own by ``max_bits``, where pairs are
+computed exactly. A leaf returns one row per linked fingerprint with its leaf-local
+component, never the pairs; components that share a fingerprint are then joined by label
+propagation over the components alone.
 
 Defined results: null text is the empty text; a text without words has
 fingerprint zero; shorter texts hash their whole word sequence; repeated rows fall
@@ -32,8 +40,9 @@ from lexiflow.llm.common import bounded_sample, materialize
 
 SHINGLE = 3
 MAX_BITS = 3
-SAMPLE = 8192          # fingerprints that the tree is fitted on, at most
-LEAF = 2000            # distinct fingerprints aimed at per leaf, boundary copies aside
+SAMPLE = 32768         # fingerprints that a round's trees are fitted on, at most
+LEAF = 2000            # distinct fingerprints aimed at per leaf; leaves of over twice as many are dealt again
+REST = 11              # bits that 2,048 distinct fingerprints may still differ in
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _BLOCK = 1 << 14       # shingles whose bits are unpacked at once
@@ -70,48 +79,107 @@ def distances(fps: np.ndarray, v) -> np.ndarray:
     return np.bitwise_count(fps ^ v).astype(np.int16)
 
 
-def fit_tree(sample: np.ndarray, leaves: int):
-    """Nested (vantage, radius, left, right); a leaf is None. The vantage point is
-    the sample point whose best radius has the fewest points in the boundary."""
+def parts(used: int, n: int, sample: np.ndarray) -> list[int]:
+    """Masks of ``n`` parts of the bits outside ``used``; bits that divide the sample evenly are
+    spread over the parts, so that no part is left with bits in which all points agree."""
+    free = [b for b in range(64) if not used >> b & 1]
+    ones = np.array([float((sample >> np.uint64(b) & np.uint64(1)).mean()) for b in free])
+    even = np.array(free)[np.argsort(-ones * (1 - ones), kind="stable")]
+    return [sum(1 << int(b) for b in even[i::n]) for i in range(n)]
+
+
+def fit_tree(sample: np.ndarray, leaves: int, part: int):
+    """Nested (vantage, radius, left, right) over the bits of ``part``; a leaf is None.
+    Of some sample points and radii, those are taken whose larger side is smallest."""
     if leaves <= 1 or len(sample) < 16:
         return None
-    best = None
-    for v in sample[:: max(1, len(sample) // 24)]:
-        d = distances(sample, v)
-        for q in (0.35, 0.5, 0.65):
-            r = int(np.quantile(d, q))
-            inside = int((d <= r).sum())
-            if min(inside, len(d) - inside) < 0.2 * len(d):
-                continue
-            cost = int(((d > r - MAX_BITS) & (d <= r)).sum())
-            if best is None or cost < best[0]:
-                best = (cost, v, r)
-    if best is None:
+    mask, best = np.uint64(part), None
+    for v in sample[:: max(1, len(sample) // 8)]:
+        inside = np.cumsum(np.bincount(distances(sample & mask, v & mask), minlength=65))
+        larger = np.maximum(inside, len(sample) - inside)
+        r = int(larger.argmin())
+        if best is None or larger[r] < best[0]:
+            best = (int(larger[r]), v, r)
+    if best[0] == len(sample):
         return None
     _, v, r = best
-    d = distances(sample, v)
-    left = max(1, round(leaves * float((d <= r).mean())))
-    return (v, r, fit_tree(sample[d <= r], left), fit_tree(sample[d > r - MAX_BITS], max(1, leaves - left)))
+    near = distances(sample & mask, v & mask) <= r
+    left = max(1, round(leaves * float(near.mean())))
+    return (v, r, fit_tree(sample[near], left, part), fit_tree(sample[~near], max(1, leaves - left), part))
 
 
-def deal(tree, fps: np.ndarray, max_bits: int):
-    """(index, leaf) of every point: its own leaf, and those right of a boundary it is near to."""
-    rows, leaf = [], []
+def deal(tree, fps: np.ndarray, part: int) -> np.ndarray:
+    """The leaf of every point: its path in the tree, 1 at the root."""
+    mask, leaf = np.uint64(part), np.ones(len(fps), np.int64)
 
-    def down(node, idx, name):
-        if len(idx) == 0:
-            return
-        if node is None:
-            rows.append(idx)
-            leaf.append(np.full(len(idx), name, np.int64))
+    def down(node, idx):
+        if node is None or len(idx) == 0:
             return
         v, r, a, b = node
-        d = distances(fps[idx], v)
-        down(a, idx[d <= r], 2 * name)
-        down(b, idx[d > r - max_bits], 2 * name + 1)
+        far = distances(fps[idx] & mask, v & mask) > r
+        leaf[idx] = 2 * leaf[idx] + far
+        down(a, idx[~far])
+        down(b, idx[far])
+
+    down(tree, np.arange(len(fps)))
+    return leaf
+
+
+def dealt_again(points: DataFrame, largest: int, max_bits: int, leaf: int) -> DataFrame:
+    """(fp, leaf, used): the points of ``points`` (the same columns) in the leaves of new
+    trees, one for each part of the bits that their leaves have not agreed on yet."""
+    n = max_bits + 1
+    forest = {}
+    for used in sorted(r.used for r in points.select("used").distinct().collect()):     # n ** round at most
+        mask = used & (2 ** 64 - 1)
+        if 64 - mask.bit_count() <= REST:
+            continue
+        sample = np.array([r.fp for r in bounded_sample(points.where(F.col("used") == used), "fp", SAMPLE).collect()], np.int64).view(np.uint64)
+        sample = np.unique(sample)
+        forest[used] = [(part, fit_tree(sample, -(-largest // leaf), part)) for part in parts(mask, n, sample)]
 
-    down(tree, np.arange(len(fps)), 1)
-    return np.concatenate(rows), np.concatenate(leaf)
+    def run(batches):
+        for b in batches:
+            fp, old, was = (b.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "leaf", "used"))
+            for used in np.unique(was):
+                here = was == used
+                x, mask = fp[here].view(np.uint64), int(used) & (2 ** 64 - 1)
+                trees = forest.get(int(used))
+                if trees is None:      # few bits left: the agreed ones are the leaf
+                    out = [(x & np.uint64(mask)).view(np.int64)], [mask]
+                else:
+                    out = [deal(tree, x, part) for part, tree in trees], [mask | part for part, _ in trees]
+                for tree, (name, now) in enumerate(zip(*out)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(fp[here]), pa.array(old[here]), pa.array(np.full(len(x), tree, np.int32)), pa.array(name),
+                         pa.array(np.full(len(x), now, np.uint64).view(np.int64))], ["fp", "old", "tree", "name", "used"])
+
+    new = points.select("fp", "leaf", "used").mapInArrow(run, "fp long, old long, tree int, name long, used long")
+    return new.select("fp", F.xxhash64("old", "tree", "name", "used").alias("leaf"), "used")
+
+
+def leaves_of(fps: DataFrame, max_bits: int = MAX_BITS, leaf: int = LEAF) -> DataFrame:
+    """(fp, leaf) of the distinct fingerprints ``fps`` (fp): every two within ``max_bits``
+    share a leaf; no leaf holds more than ``2 * leaf``, or ``2 ** REST`` if that is more."""
+    bound, least = 2 * leaf, 2 ** REST
+    points = fps.select("fp", F.lit(0).cast("long").alias("leaf"), F.lit(0).cast("long").alias("used"))
+    done = []
+    while True:
+        sizes = points.groupBy("leaf", "used").agg(F.count(F.lit(1)).alias("size"))
+        # few free bits and the agreed bits as the leaf: nothing is left to divide
+        last = F.bit_count("used") >= 64 - REST
+        over = sizes.where(F.col("size") > F.when(last, max(bound, least)).otherwise(bound))
+        largest = over.agg(F.max("size")).first()[0]
+        if largest is None:
+            done.append(points)
+            break
+        big = over.select("leaf")
+        done.append(points.join(big, "leaf", "left_anti"))
+        points = materialize(dealt_again(points.join(big, "leaf", "left_semi"), largest, max_bits, leaf), "simhash-dealt")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out.select("fp", "leaf")
 
 
 def leaf_components(fps: np.ndarray, max_bits: int):
@@ -139,27 +207,15 @@ def leaf_components(fps: np.ndarray, max_bits: int):
 
 def linked_components(fps: DataFrame, max_bits: int = MAX_BITS, leaf: int = LEAF) -> DataFrame:
     """(fp, label) of the distinct fingerprints ``fps`` (fp) that link to another; label is a fingerprint."""
-    n = fps.count()
-    sample = np.array([r.fp for r in bounded_sample(fps, "fp", SAMPLE).collect()], np.int64).view(np.uint64)
-    tree = fit_tree(sample, -(-n // leaf))
-
-    def assign(batches):
-        for b in batches:
-            x = b.column(0).to_numpy(zero_copy_only=False)
-            if len(x):
-                i, name = deal(tree, x.view(np.uint64), max_bits)
-                yield pa.RecordBatch.from_arrays([pa.array(x[i]), pa.array(name)], ["fp", "leaf"])
-
     def components(t: pa.Table) -> pa.Table:
-        x = np.sort(t.column("fp").to_numpy())
+        x = np.unique(t.column("fp").to_numpy())
         lab = leaf_components(x.view(np.uint64), max_bits)
         many = np.bincount(lab, minlength=len(x))[lab] > 1
         leaf_name = t.column("leaf")[0].as_py()
         return pa.table({"fp": x[many], "leaf": np.full(int(many.sum()), leaf_name), "root": x[lab[many]]},
                         schema=pa.schema([("fp", pa.int64()), ("leaf", pa.int64()), ("root", pa.int64())]))
 
-    dealt = fps.select("fp").mapInArrow(assign, "fp long, leaf long")
-    local = materialize(dealt.groupBy("leaf").applyInArrow(components, "fp long, leaf long, root long")
+    local = materialize(leaves_of(fps, max_bits, leaf).groupBy("leaf").applyInArrow(components, "fp long, leaf long, root long")
                         .select("fp", F.struct("leaf", "root").alias("comp")), "simhash-local")
     prev = F.lag("comp").over(Window.partitionBy("fp").orderBy("comp"))
     edges = (local.withColumn("prev", prev).where(F.col("prev").isNotNull())
