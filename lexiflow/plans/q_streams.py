@@ -12,9 +12,11 @@ from lexiflow.sources.tables import table
 from lexiflow.streaming import jobs as S
 
 
-def _doc_stream(spark, sf_dir):
+def _doc_stream(spark, sf_dir, whole=False):
+    """The documents as they come, as many files at once as there are task slots; ``whole``: all files at once, where
+    the result would hang on their order (a watermark)."""
     like = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return S.file_stream(spark, sf_dir, "documents.parquet", like)
+    return S.file_stream(spark, sf_dir, "documents.parquet", like, None if whole else spark.sparkContext.defaultParallelism)
 
 
 @register("stream_clean")
@@ -30,7 +32,7 @@ def q_stream_language_counts(spark, sf_dir):
     root = S.stream_root(spark, "stream_language_counts")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"),
                                                    F.col("o_orderdate").cast("timestamp").alias("published_at"))
-    s = _doc_stream(spark, sf_dir).select("doc_id", F.col("lang").alias("language")).join(orders, "doc_id")
+    s = _doc_stream(spark, sf_dir, whole=True).select("doc_id", F.col("lang").alias("language")).join(orders, "doc_id")
     counts = S.language_window_counts(s, "published_at", "30 days", "90 days")
     out = S.run_available(counts, root, output_mode="update")
     final = S.latest_per_key(spark.read.parquet(out), ["w", "language"])
@@ -65,16 +67,15 @@ def q_stream_windows_append(spark, sf_dir):
 
 @register("stream_sketch_ledger")
 def q_stream_sketch_ledger(spark, sf_dir):
-    """Five files of documents, every micro-batch delivered twice as after a failure; the merged sketch."""
+    """Five arrivals of documents, every micro-batch delivered twice as after a failure; the merged sketch."""
     root = S.stream_root(spark, "stream_sketch_ledger")
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    path = S.arrivals(d.withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(N_ARRIVALS))), "arrival", N_ARRIVALS, f"{root}/in")
-    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(path)
     write = S.ledger_sketch_writer(f"{root}/store", CMS)
 
     def twice(batch, batch_id):
         write(batch, batch_id)
         write(batch, batch_id)
 
-    S.run_available(stream.select("doc_id", X.tokenize_words("text").alias("tokens")), root, writer=twice)
+    S.run_arrivals(d.withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(N_ARRIVALS))), "arrival", N_ARRIVALS, root,
+                   lambda stream: stream.select("doc_id", X.tokenize_words("text").alias("tokens")), twice)
     return corpus_store.load(spark, f"{root}/store")["cells"].withColumn("row", F.col("row").cast("bigint"))

@@ -25,13 +25,15 @@ def stream_root(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/lexiflow-streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def file_stream(spark: SparkSession, folder: str, glob: str, like: DataFrame,
-                max_files_per_trigger: int = 1) -> DataFrame:
-    """Parquet file stream over ``folder`` restricted to ``glob``; schema taken from ``like``."""
-    return (spark.readStream.schema(like.schema)
-            .option("maxFilesPerTrigger", max_files_per_trigger)
-            .option("pathGlobFilter", glob)
-            .parquet(folder))
+def file_stream(spark: SparkSession, folder: str, name: str, like: DataFrame,
+                max_files_per_trigger: int | None = 1) -> DataFrame:
+    """Parquet file stream over the table ``name`` of ``folder``, one file or a folder of files; schema taken from
+    ``like``. With ``max_files_per_trigger`` None a micro-batch takes all files that are there."""
+    reader = spark.readStream.schema(like.schema)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    # as a pattern the path may name a file as well as a folder
+    return reader.parquet(f"{folder}/{name[:-1]}[{name[-1]}]")
 
 
 def _batch_writer(out: str):
@@ -92,6 +94,16 @@ def arrivals(df: DataFrame, arrival_col: str, n: int, folder: str) -> str:
     return f"{folder}/arrival-*"
 
 
+def run_arrivals(df: DataFrame, arrival_col: str, n: int, root: str, stream_of, writer) -> None:
+    """The rows of arrival 0..n-1 written, each by all tasks, and processed one arrival to a micro-batch: a run over the
+    same checkpoint takes the files that are new, all at once. ``stream_of`` makes the stream of the read rows."""
+    spark = df.sparkSession
+    for k in range(n):
+        df.where(F.col(arrival_col) == k).drop(arrival_col).write.parquet(f"{root}/in/arrival-{k}")
+        stream = spark.readStream.schema(df.drop(arrival_col).schema).parquet(f"{root}/in/arrival-*")
+        run_available(stream_of(stream), root, writer=writer)
+
+
 def window_counts(stream: DataFrame, ts_col: str, key_col: str, window: str, delay: str) -> DataFrame:
     """X02 in append mode: (window_start, window_end, key, n), each window once, when the watermark has passed it; its
     state is dropped then, and rows of it that come in a later micro-batch are too. The watermark of a micro-batch
