@@ -24,8 +24,8 @@ def topic_docs(spark, sf_dir, with_time=True):
     """Documents with topic labels, cleaned (letters only), length >= 15,
     vectorizer tokens for class TF-IDF and quarter/month slice starts."""
     d = documents_with_topics(spark, sf_dir, with_time)
-    d = d.withColumn("processed", X.clean_letters("comment", ALPHA))
-    d = C.filter_min_length(d, "processed", 15).withColumn("tokens", X.tokenize_vectorizer("processed"))
+    d = C.with_once(d, "processed", X.clean_letters("comment", ALPHA))
+    d = C.with_once(C.filter_min_length(d, "processed", 15), "tokens", X.tokenize_vectorizer("processed"))
     if not with_time:
         return d
     return (d.withColumn("quarter", Z.slice_start(F.col("published_at"), "quarter"))
