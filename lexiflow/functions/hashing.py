@@ -8,6 +8,9 @@ which is what makes sketch and embedding results checkable by an oracle.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +26,16 @@ def hash32(x: Column | str, seed) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 
+def hash32_words(words: list, seeds: list) -> np.ndarray:
+    """(seeds, words) matrix of ``hash32``: one digest per seed and word, for the distinct words of an Arrow batch."""
+    encoded = [w.encode() for w in words]
+    out = np.zeros((len(seeds), len(encoded)), np.int64)
+    for k, seed in enumerate(seeds):
+        head = f"{seed}:".encode()
+        out[k] = np.frombuffer(b"".join([hashlib.md5(head + w).digest() for w in encoded]), ">u4")[::4]
+    return out
+
+
 def bucket(x: Column | str, seed, width: int | Column) -> Column:
     """Bucket index ``h(seed, x) mod width``."""
     w = width if isinstance(width, Column) else F.lit(int(width))

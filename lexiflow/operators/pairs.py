@@ -1,20 +1,27 @@
 """Skip-gram training pairs with negative samples, hashed ids and PMI.
 
-A file is one row, so all per-file work (neighbour shifts, context lists,
-seeded permutations for negatives) is done with array functions inside the
-row: no shuffle, no window over a batch, and a huge batch never becomes one
-task. The unit of the negative-sample permutation is the file (see README).
+A file is one row, so all per-file work needs no shuffle: neighbour shifts and
+context lists are array functions inside the row, seeded permutations for
+negatives are taken on Arrow batches of files. A batch of files of bounded
+size is one group, a larger one is ordered by ranges. The unit of the negative-sample permutation is the file (see README).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexiflow.functions.hashing import hash32
-from lexiflow.operators.cleaning import number_rows, rank_rows
+from lexiflow.functions.hashing import hash32, hash32_words
+from lexiflow.operators.cleaning import number_rows, rank_rows, with_once
 from lexiflow.session import stage
 
+FILES = 128                # files whose context rows are held at once
+BATCH_CHARS = 1 << 22      # characters of a batch whose negatives are drawn in one task; larger batches go by ranges
+
 
 def file_batches(files: DataFrame, batch_size: int = 100, id_col: str = "doc_id") -> DataFrame:
     """The listed files in id order, ``batch_size`` to a batch (the last may be smaller)."""
@@ -60,12 +67,12 @@ def context_list(tokens: Column, window: int = 1) -> Column:
     parts = []
     for d in range(1, window + 1):
         parts += [pairs(d, -d), pairs(d, d)]
-    return F.filter(F.array_sort(F.concat(*parts)), lambda s: s["context"] != "")
+    return F.filter(F.sort_array(F.concat(*parts)), lambda s: s["context"] != "")
 
 
 def _contexts(files: DataFrame, window: int, text_col: str, id_col: str) -> DataFrame:
-    t = files.select(F.col(id_col).alias("doc_id"), line_tokens(F.col(text_col)).alias("_t"))
-    return t.select("doc_id", context_list(F.col("_t"), window).alias("c"))
+    t = with_once(files.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "_t", line_tokens(F.col("_text")))
+    return with_once(t.select("doc_id", "_t"), "c", context_list(F.col("_t"), window)).select("doc_id", "c")
 
 
 def skipgram_pairs(files: DataFrame, window: int = 1, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -78,12 +85,33 @@ def skipgram_pairs(files: DataFrame, window: int = 1, text_col: str = "text", id
     return x.select("doc_id", F.inline(rows))
 
 
-def _permuted(ctx: Column, doc_id: Column, seed: int) -> Column:
-    """Context list reordered by a seeded hash of (doc, index): a permutation."""
-    keyed = F.transform(ctx, lambda c, i: F.struct(
-        hash32(F.concat(doc_id.cast("string"), F.lit(":"), i.cast("string")), seed).alias("h"),
-        i.alias("i"), c.alias("c")))
-    return F.transform(F.array_sort(keyed), lambda s: s["c"])
+def _negative_rows(doc_id: pa.Array, key: list, tokens: pa.Array, seeds: list[int], window: int, whole: bool) -> list:
+    """Columns (doc_id, r, center, context, neg_0..neg_{k-1}) of the given files: the context rows of ``context_list``
+    in file order, and as negatives the contexts in the order of a seeded hash of (doc, r), within each file or,
+    with ``whole``, over all of them."""
+    sides = np.array([d for d in range(-window, window + 1) if d])
+    words, n = tokens.flatten(), pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
+    first = np.cumsum(n) - n
+    file = np.repeat(np.arange(len(n)), n)
+    center = np.repeat(np.arange(len(words)), len(sides))
+    context = center + np.tile(sides, len(words))
+    of = file[center]
+    kept = (context >= first[of]) & (context < (first + n)[of])
+    center, context, of = center[kept], context[kept], of[kept]
+    kept = pc.not_equal(words, "").to_numpy(zero_copy_only=False)[context]
+    center, context, of = center[kept], context[kept], of[kept]
+    r = np.arange(len(of)) - np.searchsorted(of, of)                       # index in the file's context list
+    places = [f"{key[f]}:{i}" for f, i in zip(of.tolist(), r.tolist())]
+    known = np.array([k is not None for k in key], bool)[of]               # a file without an id keeps its order
+    out = [doc_id.take(pa.array(of)), pa.array(r), words.take(pa.array(center)), words.take(pa.array(context))]
+    for h in hash32_words(places, seeds):
+        h = np.where(known, h, 0)
+        out.append(words.take(pa.array(context[np.argsort(h, kind="stable") if whole else np.lexsort((h, of))])))
+    return out
+
+
+def _tokenized(files: DataFrame, *more: str) -> DataFrame:
+    return files.select(*more, "doc_id", F.col("doc_id").cast("string").alias("key"), line_tokens(F.col("text")).alias("tokens"))
 
 
 def negative_samples(files: DataFrame, seeds: list[int], window: int = 1, text_col: str = "text",
@@ -94,16 +122,18 @@ def negative_samples(files: DataFrame, seeds: list[int], window: int = 1, text_c
     permutation of the file's context column, so negatives follow the
     context unigram distribution of the file (no collision rejection).
     """
-    x = _contexts(files, window, text_col, id_col)
-    ctx = F.transform("c", lambda s: s["context"])
-    x = x.select("doc_id", "c", *[_permuted(ctx, F.col("doc_id"), s).alias(f"_n{k}") for k, s in enumerate(seeds)])
-    # One struct per context row: the positive pair and its k negatives,
-    # emitted with inline() (the array is read once per file).
-    z = F.transform("c", lambda s_, i: F.struct(i.cast("bigint").alias("r"), s_["center"].alias("center_word"),
-                                                s_["context"].alias("context_word")))
-    for j in range(len(seeds)):
-        z = _with_neg(z, f"_n{j}", f"neg_{j}")
-    return x.select("doc_id", F.inline(z))
+    x = _tokenized(files.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    schema = T.StructType([x.schema["doc_id"], T.StructField("r", T.LongType()), T.StructField("center_word", T.StringType()),
+                           T.StructField("context_word", T.StringType()), *(T.StructField(f"neg_{k}", T.StringType()) for k in range(len(seeds)))])
+
+    def negatives(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, FILES):
+                part = b.slice(at, FILES)
+                yield pa.RecordBatch.from_arrays(_negative_rows(part.column("doc_id"), part.column("key").to_pylist(), part.column("tokens"), seeds, window, False),
+                                                 schema.names)
+
+    return x.mapInArrow(negatives, schema)
 
 
 def negative_samples_batch(files: DataFrame, seeds: list[int], batch_size: int = 100, window: int = 1,
@@ -114,12 +144,45 @@ def negative_samples_batch(files: DataFrame, seeds: list[int], batch_size: int =
     order; negative k of row r is the context that a seeded permutation of the
     whole batch puts at place r, so every negative column holds the batch's
     contexts, each as often as it occurs. A permutation is the order of a
-    seeded hash, numbered by ranges (``rank_rows``), so a batch may be of any
-    size; the columns meet by (batch, row).
+    seeded hash. The tokens of a batch of at most ``BATCH_CHARS`` characters
+    meet in one task, where context rows are made and permuted, so that no
+    context row is shuffled; a larger batch is numbered by ranges (``rank_rows``)
+    and its columns meet by (batch, row), so a batch may be of any size.
     """
-    ids = file_batches(files.select(id_col), batch_size, id_col)
-    x = skipgram_pairs(files, window, text_col, id_col).join(ids.select(F.col(id_col).alias("doc_id"), "batch_id"), "doc_id")
-    x = stage(x.select("batch_id", "doc_id", "r", "center_word", "context_word"), "batch-contexts")
+    ids = file_batches(files.select(id_col), batch_size, id_col).select(F.col(id_col).alias("doc_id"), "batch_id")
+    x = files.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id")
+    x = stage(x, "batch-files")
+    chars = x.groupBy("batch_id").agg(F.sum(F.length("text")).alias("_chars"))
+    large = chars.where(F.col("_chars") > BATCH_CHARS).select("batch_id")
+    small = x.join(large, "batch_id", "left_anti")
+    out = _batch_negatives(small, seeds, window)
+    if large.isEmpty():
+        return out
+    return out.unionByName(_batch_negatives_by_ranges(x.join(large, "batch_id", "left_semi"), seeds, window))
+
+
+def _batch_negatives(files: DataFrame, seeds: list[int], window: int) -> DataFrame:
+    """Negatives of whole batches, each in one task."""
+    names = ["center_word", "context_word", *(f"neg_{k}" for k in range(len(seeds)))]
+    schema = T.StructType([T.StructField("batch_id", T.LongType()), T.StructField("row", T.LongType()), files.schema["doc_id"],
+                           *(T.StructField(n, T.StringType()) for n in names)])
+
+    def negatives(batch: pa.Table) -> pa.Table:
+        batch = batch.sort_by("doc_id")
+        doc_id, tokens = (batch.column(c).combine_chunks() for c in ("doc_id", "tokens"))
+        doc_id, _, *words = _negative_rows(doc_id, batch.column("key").to_pylist(), tokens, seeds, window, True)
+        number = batch.column("batch_id")[0].as_py()
+        return pa.Table.from_arrays([pa.array(np.full(len(doc_id), number, np.int64)), pa.array(np.arange(len(doc_id))), doc_id, *words], schema.names)
+
+    return _tokenized(files, "batch_id").groupBy("batch_id").applyInArrow(negatives, schema)
+
+
+def _batch_negatives_by_ranges(files: DataFrame, seeds: list[int], window: int) -> DataFrame:
+    """The same for batches of any size: permutations are orders by ranges, and the columns meet by (batch, row)."""
+    t = files.select("batch_id", "doc_id", context_list(line_tokens(F.col("text")), window).alias("c"))
+    rows = F.transform("c", lambda s_, i: F.struct(i.cast("bigint").alias("r"), s_["center"].alias("center_word"),
+                                                   s_["context"].alias("context_word")))
+    x = stage(t.select("batch_id", "doc_id", F.inline(rows)), "batch-contexts")
     out = rank_rows(x, ["doc_id", "r"], ["batch_id"], "row")
     place = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("r").cast("string"))
     for k, s in enumerate(seeds):
@@ -129,11 +192,6 @@ def negative_samples_batch(files: DataFrame, seeds: list[int], batch_size: int =
     return out.select("batch_id", "row", "doc_id", "center_word", "context_word", *[f"neg_{k}" for k in range(len(seeds))])
 
 
-def _with_neg(z: Column, src: str, name: str) -> Column:
-    """Attach the aligned element of array column ``src`` as field ``name``."""
-    return F.zip_with(z, F.col(src), lambda a, b: a.withField(name, b))
-
-
 def label_pairs(neg: DataFrame, k: int) -> DataFrame:
     """[positive, neg_0..neg_{k-1}] exploded with labels [1, 0, ..., 0]."""
     arr = F.array(F.col("context_word"), *[F.col(f"neg_{i}") for i in range(k)])
@@ -143,10 +201,22 @@ def label_pairs(neg: DataFrame, k: int) -> DataFrame:
 
 
 def hash_features(pairs: DataFrame, seeds: list[int]) -> DataFrame:
-    """Seeded 32-bit hashes of centre and context words (BIGINT, unsigned range)."""
-    cols = [hash32(F.col("center_word"), s).alias(f"centw_{i}") for i, s in enumerate(seeds)]
-    cols += [hash32(F.col("context_word"), s).alias(f"contw_{i}") for i, s in enumerate(seeds)]
-    return pairs.select(*pairs.columns, *cols)
+    """Seeded 32-bit hashes of centre and context words (BIGINT, unsigned range).
+
+    Words repeat within a batch of rows, so each distinct one is hashed once per batch and seed."""
+    words = {"centw": "center_word", "contw": "context_word"}
+    schema = T.StructType([*pairs.schema.fields, *(T.StructField(f"{w}_{i}", T.LongType()) for w in words for i in range(len(seeds)))])
+
+    def features(batches):
+        for b in batches:
+            columns = list(b.columns)
+            both = pa.concat_arrays([b.column(c).cast(pa.string()) for c in words.values()]).dictionary_encode()
+            hashes = [pa.array(h) for h in hash32_words(both.dictionary.to_pylist(), seeds)]
+            for at in (both.indices[:b.num_rows], both.indices[b.num_rows:]):
+                columns += [h.take(at) for h in hashes]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return pairs.mapInArrow(features, schema)
 
 
 def pmi_pairs(pairs: DataFrame) -> DataFrame:

@@ -22,3 +22,42 @@ def test_label_pairs_shape(spark):
     lp = W.label_pairs(W.negative_samples(files, [1, 2, 3]), 3)
     assert lp.count() == 6 * 4
     assert lp.filter(F.col("label") == 1).count() == 6
+
+
+def _sorted(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_batches_by_ranges_equal_whole_batches(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 11}" for k in range(i % 9)) + "\n\nx  y") for i in range(25)] + [(None, "a b"), (30, None)]
+    f = spark.createDataFrame(rows, "doc_id long, text string")
+    for window in (1, 2):
+        monkeypatch.setattr(W, "BATCH_CHARS", 1 << 22)
+        small = _sorted(W.negative_samples_batch(f, [1, 2], 10, window))
+        monkeypatch.setattr(W, "BATCH_CHARS", 0)
+        assert small == _sorted(W.negative_samples_batch(f, [1, 2], 10, window)) and small
+
+
+def test_a_small_batch_shuffles_no_context_rows(spark):
+    f = spark.createDataFrame([(1, "a b c"), (2, "d e")], "doc_id long, text string")
+    plan = W.negative_samples_batch(f, [1, 2, 3], 10)._jdf.queryExecution().toString()
+    assert plan.count("Exchange") <= 4 and "FlatMapGroupsInArrow" in plan
+
+
+def test_hashed_words_equal_the_expression(spark):
+    from lexiflow.functions.hashing import hash32
+    p = spark.createDataFrame([(1, "a", "é b"), (2, None, ""), (3, "a", "a")], "doc_id long, center_word string, context_word string")
+    got = W.hash_features(p, [1, 2])
+    assert "MapInArrow" in got._jdf.queryExecution().toString()                       # each word once per batch
+    want = p.select("*", *[hash32(F.col(c), s).alias(f"{c[:4]}w_{k}") for c in ("center_word", "context_word") for k, s in enumerate([1, 2])])
+    assert _sorted(got) == _sorted(want)
+
+
+def test_negatives_follow_the_hash_of_place(spark):
+    import hashlib
+    rows = W.negative_samples(spark.createDataFrame([(7, "a b  c\nd a b"), (8, None)], "doc_id long, text string"), [5]).collect()
+    rows = sorted(rows, key=lambda r: r.r)
+    order = sorted(range(len(rows)), key=lambda i: hashlib.md5(f"5:7:{i}".encode()).hexdigest()[:8])
+    assert [r.neg_0 for r in rows] == [rows[i].context_word for i in order]
+    assert [(r.center_word, r.context_word) for r in rows] == [
+        ("a", "b"), ("b", "a"), ("", "b"), ("", "c"), ("c", "d"), ("d", "c"), ("d", "a"), ("a", "d"), ("a", "b"), ("b", "a")]
