@@ -88,7 +88,7 @@ def skipgram_pairs(files: DataFrame, window: int = 1, text_col: str = "text", id
 def _negative_rows(doc_id: pa.Array, key: list, tokens: pa.Array, seeds: list[int], window: int, whole: bool) -> list:
     """Columns (doc_id, r, center, context, neg_0..neg_{k-1}) of the given files: the context rows of ``context_list``
     in file order, and as negatives the contexts in the order of a seeded hash of (doc, r), within each file or,
-    with ``whole``, over all of them."""
+    with ``whole``, over all of them, which come in the order of their ids."""
     sides = np.array([d for d in range(-window, window + 1) if d])
     words, n = tokens.flatten(), pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
     first = np.cumsum(n) - n
@@ -101,6 +101,10 @@ def _negative_rows(doc_id: pa.Array, key: list, tokens: pa.Array, seeds: list[in
     kept = pc.not_equal(words, "").to_numpy(zero_copy_only=False)[context]
     center, context, of = center[kept], context[kept], of[kept]
     r = np.arange(len(of)) - np.searchsorted(of, of)                       # index in the file's context list
+    if whole and len(set(key)) < len(key):                                 # files of one id are numbered as one, by r
+        place = np.cumsum([k != p for k, p in zip(key, [None, *key])])
+        order = np.lexsort((r, place[of]))
+        center, context, of, r = center[order], context[order], of[order], r[order]
     places = [f"{key[f]}:{i}" for f, i in zip(of.tolist(), r.tolist())]
     known = np.array([k is not None for k in key], bool)[of]               # a file without an id keeps its order
     out = [doc_id.take(pa.array(of)), pa.array(r), words.take(pa.array(center)), words.take(pa.array(context))]

@@ -30,6 +30,7 @@ def _sorted(df):
 
 def test_batches_by_ranges_equal_whole_batches(spark, monkeypatch):
     rows = [(i, " ".join(f"w{(i * 7 + k) % 11}" for k in range(i % 9)) + "\n\nx  y") for i in range(25)] + [(None, "a b"), (30, None)]
+    rows += rows[3:8:4]                                                               # repeated files
     f = spark.createDataFrame(rows, "doc_id long, text string")
     for window in (1, 2):
         monkeypatch.setattr(W, "BATCH_CHARS", 1 << 22)
