@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #   Cyrillic alphabet of the source: а-яё (lower case, ё listed separately);
 #   with Latin: а-яёa-z.
 # ---------------------------------------------------------------------------
-URL_MENTION = r"http\S+|www\S+|@[\p{L}\p{N}_]+"
+URL_MENTION = r"(?=[hw@])(?:http\S+|www\S+|@[\p{L}\p{N}_]+)"       # one look at most characters
 WORD_CHARS = r"\p{L}\p{N}_"
 NON_WORD_RUN = r"[^\p{L}\p{N}_]+"
 PUNCT_FULL = r".,!?;:-"
@@ -41,7 +41,7 @@ def null_to_empty(x) -> Column:
 
 def collapse_ws(x) -> Column:
     """Whitespace runs -> one space, then trim."""
-    return F.trim(F.regexp_replace(_c(x), r"\s+", " "))
+    return F.trim(F.regexp_replace(_c(x), r"\s(?:\s+|(?<=[\t-\r]))", " "))       # a single space is left as it is
 
 
 def keep_chars(x, alphabet: str, extra: str = "") -> Column:
@@ -121,8 +121,8 @@ def tokenize_space(x) -> Column:
 
 
 def tokenize_vectorizer(x, min_len: int = 2) -> Column:
-    """Lower-cased word tokens of at least ``min_len`` characters."""
-    return F.filter(tokenize_words(x), lambda t: F.length(t) >= min_len)
+    """Lower-cased word tokens of at least ``min_len`` characters, in one match of the text."""
+    return F.regexp_extract_all(F.lower(null_to_empty(x)), F.lit(f"[{WORD_CHARS}]{{{max(min_len, 1)},}}"), 0)
 
 
 SEGMENT_PATTERN = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]"

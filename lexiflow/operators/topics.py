@@ -9,7 +9,8 @@ topic classes over the whole corpus.
 Per-class totals are joined from a grouped table rather than taken with a
 window, so a huge topic never becomes one window partition; per-class top-n
 uses ``row_number() <= n`` which Spark plans with a partial group limit
-before the shuffle.
+before the shuffle. Where only the top terms are wanted, ``leading_terms``
+bounds every weight by its count and weighs and ranks only those that can win.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 from lexiflow.session import stage
 
+LEADING = 5        # so many times n terms of the highest counts are weighed for the bar of a class
+
 
 def class_term_counts(docs: DataFrame, class_cols: list[str], tokens_col: str = "tokens") -> DataFrame:
     """(class..., term, tf)."""
@@ -60,6 +63,40 @@ def top_terms(weights: DataFrame, class_cols: list[str], n: int, weight_col: str
     return weights.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+def leading_terms(ct: DataFrame, class_cols: list[str], n: int, topic_col: str = "topic") -> DataFrame:
+    """The rows of ``top_terms`` over all weights of the counts ``ct`` (class..., term, tf), without weighing each term.
+
+    A term's corpus count is at least its count in the class, so ``tf / tot *
+    ln(1 + A / tf)`` bounds its weight, and grows with tf. The terms of the
+    highest counts of a class are weighed first; the n-th best weight among
+    them is the bar of the class, and the terms whose bound reaches the bar
+    hold the top n, ties included. A class of fewer than n terms has no bar.
+    Corpus counts are summed for these terms only, so the counts are scanned
+    a few times but neither sorted nor shuffled. ``ct`` must be cheap to read
+    again (staged).
+    """
+    cells = ct.groupBy(*class_cols, "tf").agg(F.count(F.lit(1)).alias("_n"))
+    above = Window.partitionBy(*class_cols).orderBy(F.desc("tf")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_above", F.coalesce(F.sum("_n").over(above), F.lit(0)))
+    classes = stage(cells.groupBy(*class_cols).agg(F.sum(F.col("tf") * F.col("_n")).alias("_tot"), F.min(F.when(F.col("_above") < LEADING * n, F.col("tf"))).alias("_cut")), "classes")
+    avg_words = classes.agg(F.sum("_tot") / F.count_distinct(topic_col)).scalar()
+
+    def weight(f: str):
+        return F.col("tf") / F.col("_tot") * F.log(F.lit(1.0) + avg_words / F.col(f))
+
+    def weigh(rows: DataFrame) -> DataFrame:
+        f = ct.join(rows, "term", "left_semi").groupBy("term").agg(F.sum("tf").alias("f"))
+        return top_terms(rows.join(f, "term").select(*class_cols, "term", "tf", weight("f").alias("weight")), class_cols, n)
+
+    lowest = classes.select(F.min("_cut")).scalar()
+    high = ct.where(F.col("tf") >= lowest).join(classes, class_cols).where(F.col("tf") >= F.col("_cut"))
+    high = stage(high.select(*class_cols, "term", "tf", "_tot"), "high-counts")
+    bar = weigh(high).where(F.col("rank") == n).select(*class_cols, (F.round("weight", 10) - 1e-10).alias("_bar"))     # less what rounding may add
+    bars = stage(classes.join(bar, class_cols, "left").select(*class_cols, "_tot", F.coalesce("_bar", F.lit(0.0)).alias("_bar")), "bars")
+    able = stage(ct.join(bars, class_cols).where(weight("tf") >= F.col("_bar")).select(*class_cols, "term", "tf", "_tot"), "able-terms")
+    return weigh(able)
+
+
 def collect_ranked_words(top: DataFrame, class_cols: list[str]) -> DataFrame:
     """(class..., words ARRAY<STRING>) in rank order; at most n rows per class."""
     return (top.groupBy(*class_cols)
@@ -71,21 +108,11 @@ def topic_words(docs: DataFrame, n_words: int = 10, topic_col: str = "topic",
                 tokens_col: str = "tokens") -> DataFrame:
     """(topic, rank, term, weight) top terms per topic by class TF-IDF."""
     ct = stage(class_term_counts(docs, [topic_col], tokens_col), "topic-terms")       # the texts are read once
-    return top_terms(weights_of_counts(ct, [topic_col], idf_of_counts(ct, topic_col)), [topic_col], n_words)
+    return leading_terms(ct, [topic_col], n_words, topic_col)
 
 
-def topics_over_time(docs: DataFrame, slice_col: str, n_words: int = 10, topic_col: str = "topic",
-                     tokens_col: str = "tokens", global_tuning: bool = False,
-                     evolution_tuning: bool = False) -> DataFrame:
-    """(topic, timestamp, words ARRAY<STRING>, frequency) per (topic, slice).
-
-    ``frequency`` is the number of documents of the topic in the slice. With
-    ``global_tuning`` the weight is averaged with the topic's whole-corpus
-    weight; with ``evolution_tuning`` it is then averaged with the topic's
-    weight of the previous slice (same term), when that exists.
-    """
-    # The texts are read once: counts by topic are sums of those by topic and slice.
-    ct = stage(class_term_counts(docs, [topic_col, slice_col], tokens_col), "topic-slice-terms")
+def _tuned_weights(ct: DataFrame, topic_col: str, slice_col: str, global_tuning: bool, evolution_tuning: bool) -> DataFrame:
+    """(topic, slice, term, tf, weight) of all terms, averaged as ``topics_over_time`` says."""
     by_topic = ct.groupBy(topic_col, "term").agg(F.sum("tf").alias("tf"))
     idf = idf_of_counts(by_topic, topic_col)
     w = weights_of_counts(ct, [topic_col, slice_col], idf)
@@ -101,7 +128,26 @@ def topics_over_time(docs: DataFrame, slice_col: str, n_words: int = 10, topic_c
         w = (w.join(prev, [topic_col, "term", "_i"], "left")
               .withColumn("weight", F.when(F.col("_p").isNull(), F.col("weight"))
                           .otherwise((F.col("weight") + F.col("_p")) / 2)).drop("_p", "_i"))
-    words = collect_ranked_words(top_terms(w, [topic_col, slice_col], n_words), [topic_col, slice_col])
+    return w
+
+
+def topics_over_time(docs: DataFrame, slice_col: str, n_words: int = 10, topic_col: str = "topic",
+                     tokens_col: str = "tokens", global_tuning: bool = False,
+                     evolution_tuning: bool = False) -> DataFrame:
+    """(topic, timestamp, words ARRAY<STRING>, frequency) per (topic, slice).
+
+    ``frequency`` is the number of documents of the topic in the slice. With
+    ``global_tuning`` the weight is averaged with the topic's whole-corpus
+    weight; with ``evolution_tuning`` it is then averaged with the topic's
+    weight of the previous slice (same term), when that exists.
+    """
+    # The texts are read once: counts by topic are sums of those by topic and slice.
+    ct = stage(class_term_counts(docs, [topic_col, slice_col], tokens_col), "topic-slice-terms")
+    if global_tuning or evolution_tuning:
+        top = top_terms(_tuned_weights(ct, topic_col, slice_col, global_tuning, evolution_tuning), [topic_col, slice_col], n_words)
+    else:
+        top = leading_terms(ct, [topic_col, slice_col], n_words, topic_col)
+    words = collect_ranked_words(top, [topic_col, slice_col])
     freq = docs.groupBy(topic_col, slice_col).agg(F.count(F.lit(1)).alias("frequency"))
     return (freq.join(words, [topic_col, slice_col], "left")
                 .select(F.col(topic_col).alias("topic"), F.col(slice_col).alias("timestamp"),

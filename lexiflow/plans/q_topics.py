@@ -130,7 +130,7 @@ def dtm_inputs(spark, sf_dir, variant: str, docs=None, ot=None):
         return grid, corpus, vocab
     sel = docs if variant == "B" else docs.join(topics.select("topic"), "topic", "left_semi")
     corpus = sel.select("doc_id", X.tokenize_whitespace("processed").alias("tokens"))
-    vt = sel.select("doc_id", X.tokenize_vectorizer("processed").alias("tokens"))
+    vt = sel.select("doc_id", "tokens")
     if variant == "A":
         vocab = V.build_vocabulary(vt, min_df=2, max_df=0.9, max_features=5000)
     elif variant == "B":
