@@ -110,7 +110,7 @@ def _negative_rows(doc_id: pa.Array, key: list, tokens: pa.Array, seeds: list[in
     out = [doc_id.take(pa.array(of)), pa.array(r), words.take(pa.array(center)), words.take(pa.array(context))]
     for h in hash32_words(places, seeds):
         h = np.where(known, h, 0)
-        out.append(words.take(pa.array(context[np.argsort(h, kind="stable") if whole else np.lexsort((h, of))])))
+        out.append(words.take(pa.array(context[np.argsort(h, kind="stable") if whole else np.argsort((of << 32) + h, kind="stable")])))
     return out
 
 

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from lexiflow.functions import hashing
 from lexiflow.operators import pairs as W
 
 
@@ -62,3 +63,16 @@ def test_negatives_follow_the_hash_of_place(spark):
     assert [r.neg_0 for r in rows] == [rows[i].context_word for i in order]
     assert [(r.center_word, r.context_word) for r in rows] == [
         ("a", "b"), ("b", "a"), ("", "b"), ("", "c"), ("c", "d"), ("d", "c"), ("d", "a"), ("a", "d"), ("a", "b"), ("b", "a")]
+
+
+def test_words_are_hashed_together(monkeypatch):
+    words = ["", "a", "é", "日本" * 9, *("x" * n for n in range(45, 70)), "y" * 300, *(f"{i}:{i * 7}" for i in range(700))]
+    called = []
+    real = hashing.hashlib.md5
+    monkeypatch.setattr(hashing.hashlib, "md5", lambda x: (called.append(x), real(x))[1])
+    monkeypatch.setattr(hashing, "LANES", 500)
+    for seeds in ([1, 2, 10], ["abc"], []):
+        got = hashing.hash32_words(words, seeds)
+        assert got.tolist() == [[int(real(f"{s}:{w}".encode()).hexdigest()[:8], 16) for w in words] for s in seeds]
+    assert len(called) < 100 and min(map(len, called)) > 50            # only words longer than a block, one by one
+    assert hashing.hash32_words([], [1]).shape == (1, 0)
