@@ -20,6 +20,7 @@ from lexiflow.operators.cleaning import number_rows, rank_rows, with_once
 from lexiflow.session import stage
 
 FILES = 128                # files whose context rows are held at once
+ROWS = 4096                # context rows labelled at once
 BATCH_CHARS = 1 << 22      # characters of a batch whose negatives are drawn in one task; larger batches go by ranges
 
 
@@ -137,7 +138,9 @@ def negative_samples(files: DataFrame, seeds: list[int], window: int = 1, text_c
                 yield pa.RecordBatch.from_arrays(_negative_rows(part.column("doc_id"), part.column("key").to_pylist(), part.column("tokens"), seeds, window, False),
                                                  schema.names)
 
-    return x.mapInArrow(negatives, schema)
+    out = x.mapInArrow(negatives, schema)
+    out._steps = x, [negatives]
+    return out
 
 
 def negative_samples_batch(files: DataFrame, seeds: list[int], batch_size: int = 100, window: int = 1,
@@ -199,9 +202,33 @@ def _batch_negatives_by_ranges(files: DataFrame, seeds: list[int], window: int)
 def label_pairs(neg: DataFrame, k: int) -> DataFrame:
     """[positive, neg_0..neg_{k-1}] exploded with labels [1, 0, ..., 0]."""
     arr = F.array(F.col("context_word"), *[F.col(f"neg_{i}") for i in range(k)])
-    return neg.select("doc_id", "r", "center_word", F.posexplode(arr).alias("slot", "ctx")).select(
+    out = neg.select("doc_id", "r", "center_word", F.posexplode(arr).alias("slot", "ctx")).select(
         "doc_id", "r", F.col("slot").cast("bigint").alias("slot"), "center_word",
         F.col("ctx").alias("context_word"), F.when(F.col("slot") == 0, 1).otherwise(0).alias("label"))
+    source, steps = _steps(neg)
+    if steps:
+        out._steps = source, [*steps, _labelled(k)]
+    return out
+
+
+def _steps(df: DataFrame) -> tuple[DataFrame, list]:
+    """(source, functions of Arrow batches) that ``df`` is made by, or (df, []): an operator that goes on in Arrow runs them
+    before its own function in one Python pass, so the rows between do not go through the JVM."""
+    return df.__dict__.get("_steps", (df, []))
+
+
+def _labelled(k: int):
+    """``label_pairs`` on Arrow batches, of at most ``ROWS`` rows put in."""
+    def step(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                row, slot = np.repeat(np.arange(b.num_rows), k + 1), np.tile(np.arange(k + 1), b.num_rows)
+                words = pa.concat_arrays([b.column(c) for c in ("context_word", *(f"neg_{i}" for i in range(k)))])
+                doc_id, r, center = (b.column(c).take(pa.array(row)) for c in ("doc_id", "r", "center_word"))
+                yield pa.RecordBatch.from_arrays([doc_id, r, pa.array(slot), center, words.take(pa.array(slot * b.num_rows + row)), pa.array((slot == 0).astype(np.int32))],
+                                                 ["doc_id", "r", "slot", "center_word", "context_word", "label"])
+    return step
 
 
 def hash_features(pairs: DataFrame, seeds: list[int]) -> DataFrame:
@@ -210,8 +237,11 @@ def hash_features(pairs: DataFrame, seeds: list[int]) -> DataFrame:
     Words repeat within a batch of rows, so each distinct one is hashed once per batch and seed."""
     words = {"centw": "center_word", "contw": "context_word"}
     schema = T.StructType([*pairs.schema.fields, *(T.StructField(f"{w}_{i}", T.LongType()) for w in words for i in range(len(seeds)))])
+    source, steps = _steps(pairs)
 
     def features(batches):
+        for step in steps:
+            batches = step(batches)
         for b in batches:
             columns = list(b.columns)
             both = pa.concat_arrays([b.column(c).cast(pa.string()) for c in words.values()]).dictionary_encode()
@@ -220,7 +250,7 @@ def hash_features(pairs: DataFrame, seeds: list[int]) -> DataFrame:
                 columns += [h.take(at) for h in hashes]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return pairs.mapInArrow(features, schema)
+    return source.mapInArrow(features, schema)
 
 
 def pmi_pairs(pairs: DataFrame) -> DataFrame:

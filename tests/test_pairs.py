@@ -76,3 +76,15 @@ def test_words_are_hashed_together(monkeypatch):
         assert got.tolist() == [[int(real(f"{s}:{w}".encode()).hexdigest()[:8], 16) for w in words] for s in seeds]
     assert len(called) < 100 and min(map(len, called)) > 50            # only words longer than a block, one by one
     assert hashing.hash32_words([], [1]).shape == (1, 0)
+
+
+def test_hashed_pairs_are_made_in_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(W, "ROWS", 3)
+    files = spark.createDataFrame([(1, "a b\nc d"), (2, "x  y"), (3, None), (3, "q r q"), (None, "s t")], "doc_id long, text string")
+    labelled = W.label_pairs(W.negative_samples(files, [7, 8]), 2)
+    apart = W.hash_features(labelled.select("*"), [1, 2])                # a new frame: rows go through the JVM
+    fused = W.hash_features(labelled, [1, 2])
+    assert fused.schema == apart.schema
+    assert sorted(map(str, fused.collect())) == sorted(map(str, apart.collect()))
+    plan = fused.drop("center_word")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Generate" not in plan
